@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, exact_dedup
+from sparkloom.llm import bpe, exact_dedup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op5_mixing": mixing.OP5_SQL,
 }
