@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sparkloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from sparkloom.llm.shared import stage
+
+#: Not every stage can be said in SQL, so there is no SQL for the whole (see ORACLE_SQL).
+STAGES = [
+    ("toxicity", toxicity.drop_toxic),
+    ("exact dedup", exact_dedup.keep_first),
+    ("SimHash near-dedup", simhash.one_of_each),
+    ("mixing sources to target weights", mixing.mix),
+    ("BPE encoding and decoding", bpe.encode_stage),
+]
+#: The first stage is a trained classifier: tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, step in STAGES:
+        docs = step(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stage(docs, "pipeline")
     return docs

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of each per-worker memo; a full memo gives way, so memory is bounded.
@@ -318,3 +319,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
         lambda it: digest_batches(decode_batches(encode_batches(it, path), path)),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last pipeline stage: every row with its ids, their number and the decoded text."""
+    path = vocabulary_path()
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in ("ids", "decoded")), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    out = docs.mapInArrow(lambda it: decode_batches(encode_batches(it, path), path), schema)
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
