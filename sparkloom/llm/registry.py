@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from sparkloom.llm import bpe, exact_dedup, mixing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op6_quality": quality.op6_quality,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
@@ -19,4 +20,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_quality": quality.OP6_SQL,
 }
