@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chat, exact_dedup, mixing, quality, simhash, toxicity
+from sparkloom.llm import bpe, chat, exact_dedup, licences, mixing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality": quality.op6_quality,
+    "op7_licences": licences.op7_licences,
     "op8_chat": chat.op8_chat,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_quality": quality.OP6_SQL,
+    "op7_licences": licences.OP7_SQL,
 }
