@@ -1,0 +1,101 @@
+"""The driver's tables as files, commits, dependencies, activity and an import graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.functions import paths as P
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text, lang, ext: documents as source files."""
+    d = table(spark, sf_dir, "documents")
+    ext = F.when(F.col("lang") == "en", "js").when(F.col("lang") == "fr", "py").when(F.col("lang") == "de", "go").otherwise("ts")
+    path = F.concat(F.lit("src/"), F.col("source"), F.when(F.col("doc_id") % 7 == 0, "/tests/doc_").otherwise("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    return d.select("doc_id", path.alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("lang", P.language_of(F.col("path")))
+
+
+FILES = """
+files AS (SELECT doc_id, 'src/' || source || CASE WHEN doc_id % 7 = 0 THEN '/tests/doc_' ELSE '/doc_' END || doc_id || '.' ||
+            CASE lang WHEN 'en' THEN 'js' WHEN 'fr' THEN 'py' WHEN 'de' THEN 'go' ELSE 'ts' END AS path, coalesce(text, '') AS text,
+            CASE lang WHEN 'en' THEN 'javascript' WHEN 'fr' THEN 'python' WHEN 'de' THEN 'go' ELSE 'typescript' END AS lang FROM documents)
+"""
+
+
+def edges(spark: SparkSession, sf_dir: str, least: int = 40) -> DataFrame:
+    """src, dst: parts on consecutive lines of one order, both of at least ``least`` pieces."""
+    x = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_linenumber", "l_partkey")
+    a, b = x.alias("a"), x.alias("b")
+    on = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1) & (F.col("a.l_partkey") != F.col("b.l_partkey"))
+    return a.join(b, on).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct()
+
+
+def edges_sql(least: int = 40) -> str:
+    return f"""
+edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
+          ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+          WHERE a.l_partkey <> b.l_partkey AND a.l_quantity >= {least} AND b.l_quantity >= {least})
+"""
+
+
+def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The denser graph with every edge turned upwards: no cycles."""
+    return edges(spark, sf_dir, 38).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+DAG = edges_sql(38).replace("edges AS", "e0 AS", 1) + ", edges AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e0)"
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, name, folder, complexity, loc, is_test and is_entry of every part."""
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.col("p_brand").alias("folder"), F.col("p_size").cast("long").alias("complexity"),
+        F.floor("p_retailprice").cast("long").alias("loc"), (F.col("p_partkey") % 10 == 0).alias("is_test"), (F.col("p_partkey") % 97 == 0).alias("is_entry"),
+    )
+
+
+NODES = """
+nodes AS (SELECT p_partkey AS node, p_name AS name, p_brand AS folder, p_size::BIGINT AS complexity, floor(p_retailprice)::BIGINT AS loc,
+                 p_partkey % 10 = 0 AS is_test, p_partkey % 97 = 0 AS is_entry FROM part)
+"""
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commit, author, day (text), path: distinct parts of every order."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    touched = li.select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path")).distinct()
+    return o.select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("author"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).join(touched, "commit")
+
+
+COMMITS = """
+commits AS (SELECT o_orderkey AS "commit", o_custkey AS author, strftime(o_orderdate, '%Y-%m-%d') AS day, path
+            FROM orders JOIN (SELECT DISTINCT l_orderkey AS k, l_partkey AS path FROM lineitem) ON k = o_orderkey)
+"""
+
+
+def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, ecosystem, version, dev: dependencies that a manifest names."""
+    p = table(spark, sf_dir, "part").where("p_size <= 25")
+    eco = F.when(F.col("p_type").startswith("ECONOMY"), "pip").when(F.col("p_type").startswith("PROMO"), "go").when(F.col("p_type").startswith("SMALL"), "cargo").otherwise("npm")
+    return p.select(F.col("p_partkey").alias("name"), F.col("p_name").alias("label"), eco.alias("ecosystem"), F.concat(F.lit("^"), F.col("p_size").cast("string"), F.lit(".0 rc")).alias("version"), (F.col("p_size") % 5 == 0).alias("dev"))
+
+
+DECLARED = """
+declared AS (SELECT p_partkey AS name, p_name AS label, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'pip' WHEN p_type LIKE 'PROMO%' THEN 'go' WHEN p_type LIKE 'SMALL%' THEN 'cargo' ELSE 'npm' END AS ecosystem,
+                    '^' || p_size || '.0 rc' AS version, p_size % 5 = 0 AS dev FROM part WHERE p_size <= 25)
+"""
+
+
+def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src (supplier as a file), name (part as a package) of imports from outside."""
+    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    return li.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("name"))
+
+
+IMPORTED = "imported AS (SELECT l_suppkey AS src, l_partkey AS name FROM lineitem WHERE l_quantity >= 49)"

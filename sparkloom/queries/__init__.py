@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.queries import graphs
+from sparkloom.queries import files, graphs, history, search
 
-QUERIES = {**graphs.QUERIES}
-ORACLES = {**graphs.ORACLES}
+MODULES = (files, graphs, history, search)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
