@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ CACHE_ENTRIES = 400_000
 CACHE_CHARS = 40
 #: Fragments up to this many bytes use the list algorithm, longer ones a heap.
 SHORT = 48
+#: Characters of the texts whose new words are merged side by side.
+MANY_CHARS = 5_000_000
+_TABLE_BITS = 18
+_TABLE_MASK = np.uint64((1 << _TABLE_BITS) - 1)
+_MULTIPLIER = np.int64(0x1E3779B97F4A7C15)
 
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -106,10 +112,20 @@ class ForcedBoundaryBPE:
                 inside[x, y] = True
         #: certain[x] holds the bytes y for which a cut between x and y is certain.
         self.certain = [frozenset(np.flatnonzero(~inside[x]).tolist()) for x in range(256)]
+        self._inner_array, self._last_array = np.array(self._inner, np.int32), np.array(self._last, np.int32)
+        self._made_array, self._certain_array = np.array(self._made, np.int32), ~inside
+        self._table_key = np.full(1 << _TABLE_BITS, -1, np.int64)
+        self._table_rank = np.zeros(1 << _TABLE_BITS, np.int32)
+        for key, rank in self._rank.items():
+            at = (key * int(_MULTIPLIER) & (1 << 64) - 1) >> (64 - _TABLE_BITS)
+            while self._table_key[at] >= 0:
+                at = (at + 1) & int(_TABLE_MASK)
+            self._table_key[at], self._table_rank[at] = key, rank
         self._fragments: dict[bytes, bytes] = {}
         self._ends: dict[bytes, bytes] = {}
         self._chunks: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._marks = {c: self._word(c.encode()) for c in ".,;:!?"}
 
     # -- encoding -----------------------------------------------------------
     def fragments(self, word: bytes) -> list[bytes]:
@@ -205,14 +221,17 @@ class ForcedBoundaryBPE:
         self._chunks[chunk] = packed
         return packed
 
-    def _plain(self, text: str) -> bytes:
+    def _normal(self, text: str) -> str:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if self._has_young_case(text):
                 text = text.translate(self._young_case)
             text = text.replace("Σ", "σ")  # lower() alone would choose the form by context
-        text = text.lower()
+        return text.lower()
+
+    def _plain(self, text: str) -> bytes:
+        text = self._normal(text)
         chunks = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
         out = list(map(self._chunks.get, chunks))
         if None in out:
@@ -220,6 +239,123 @@ class ForcedBoundaryBPE:
             out = [p or new(c) for p, c in zip(out, chunks)]
         return b"".join(out)
 
+    # -- many texts at once -------------------------------------------------
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of every pair, or ``_none``: an open hash table in arrays."""
+        key = left.astype(np.int64) << 17 | right
+        at = (key * _MULTIPLIER).view(np.uint64) >> np.uint64(64 - _TABLE_BITS)
+        out = np.full(len(key), self._none, np.int32)
+        rows = np.arange(len(key))
+        while len(rows):
+            found = self._table_key[at]
+            hit = found == key
+            out[rows[hit]] = self._table_rank[at[hit]]
+            go = ~hit & (found >= 0)
+            rows, key, at = rows[go], key[go], (at[go] + np.uint64(1)) & _TABLE_MASK
+        return out
+
+    def _merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many short words: all fragments take their merges side by side."""
+        blob = np.frombuffer(b"".join(words), np.uint8)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size)
+        sym = self._inner_array[blob]
+        sym[end - 1] = self._last_array[blob[end - 1]]
+        first = np.zeros(len(blob), bool)
+        first[1:] = self._certain_array[blob[:-1], blob[1:]]
+        first[end[:-1]] = True
+        first[0] = True
+        slot = np.arange(len(blob))
+        done = np.full(len(blob), -1, np.int32)
+        rank = np.append(self._ranks(sym[:-1], sym[1:]), np.int32(self._none))
+        rank[:-1][first[1:]] = self._none
+        while len(sym):
+            start = np.flatnonzero(first)
+            length = np.diff(np.append(start, len(sym)))
+            low = np.minimum.reduceat(rank, start)
+            place = np.flatnonzero((rank == np.repeat(low, length)) & (rank != self._none))
+            fragment = np.searchsorted(start, place, side="right")
+            place = place[np.append(True, fragment[1:] != fragment[:-1])] if len(place) else place  # the leftmost
+            over = np.repeat(low == self._none, length)
+            done[slot[over]] = sym[over]
+            sym[place] = self._made_array[rank[place]]
+            keep = ~over
+            keep[place + 1] = False
+            now = np.cumsum(keep)[place] - 1
+            sym, first, slot, rank = sym[keep], first[keep], slot[keep], rank[keep]
+            n = len(sym)
+            for k in (now, now - 1):  # ranks of the pairs on either side of what was merged
+                k = k[k >= 0]
+                inside = k + 1 < n
+                inside[inside] = ~first[k[inside] + 1]
+                rank[k] = self._none
+                k = k[inside]
+                rank[k] = self._ranks(sym[k], sym[k + 1])
+        valid = done >= 0
+        stop = (4 * np.cumsum(valid)[end - 1]).tolist()
+        packed = done[valid].astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *stop], stop)]
+
+    def _learn(self, chunks: dict[str, None]) -> dict[str, bytes]:
+        """Packed ids of chunks not in the memo."""
+        new: dict[str, bytes] = {}
+        words: dict[str, None] = {}
+        tails: list[str] = []
+        older, known = self._older.get, self._chunks.get
+        for c in chunks:
+            if (packed := older(c)) is not None:
+                new[c] = packed
+            elif len(c) > CACHE_CHARS:
+                new[c] = self._chunk(c)
+            elif c.isalpha():
+                words[c] = None
+            elif c[-1] in self._marks and c[:-1].isalpha():
+                tails.append(c)
+                if known(c[:-1]) is None:
+                    words[c[:-1]] = None
+            else:
+                new[c] = self._chunk(c)
+        if words:
+            new.update(zip(words, self._merge_all([w.encode() for w in words])))
+        for c in tails:
+            head = c[:-1]
+            new[c] = (known(head) or new[head]) + self._marks[c[-1]]
+        if len(self._chunks) + len(new) > CACHE_ENTRIES:
+            self._older, self._chunks = self._chunks, {}
+        self._chunks.update((c, p) for c, p in new.items() if len(c) <= CACHE_CHARS)
+        return new
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of every text; new words of all texts are merged together."""
+        out: list[bytes] = [b""] * len(texts)
+        todo: list[int] = []
+        chars = 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if "<|" in text or _SEPARATORS.search(text):
+                out[k] = self.encode_packed(text)
+                continue
+            todo.append(k)
+            chars += len(text)
+            if chars > MANY_CHARS:
+                self._many(texts, todo, out)
+                todo, chars = [], 0
+        self._many(texts, todo, out)
+        return out
+
+    def _many(self, texts: list[str | None], todo: list[int], out: list[bytes]) -> None:
+        lists = [self._normal(texts[k]).split() for k in todo]
+        flat = [c for chunks in lists for c in chunks]
+        packed = list(map(self._chunks.get, flat))
+        if None in packed:
+            new = self._learn({c: None for c, p in zip(flat, packed) if p is None})
+            packed = [new[c] if p is None else p for c, p in zip(flat, packed)]
+        at = 0
+        for k, chunks in zip(todo, lists):
+            out[k] = b"".join(packed[at : at + len(chunks)])
+            at += len(chunks)
+
     def encode_packed(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -255,11 +391,26 @@ def _replace(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), values], [*names, name])
 
 
+#: Bytes of text that are turned into ids and back at a time.
+PIECE_BYTES = 6_000_000
+
+
+def pieces(batches: Batches, text: str = "text") -> Batches:
+    """The same rows in batches of about PIECE_BYTES of text, one row at least."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // PIECE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def encode_batches(batches: Batches, path: str, text: str = "text", ids: str = "ids") -> Batches:
     """Adds the ids of every row's text as a list of integers."""
     bpe = encoder(path)
-    for batch in batches:
-        packed = [bpe.encode_packed(t.as_py()) for t in batch.column(text)]
+    for batch in pieces(batches, text):
+        packed = bpe.encode_many(batch.column(text).to_pylist())
         ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
         values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
         yield _replace(batch, ids, pa.LargeListArray.from_arrays(pa.array(ends), values).cast(pa.list_(pa.int32())))

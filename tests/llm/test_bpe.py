@@ -43,6 +43,14 @@ def test_any_text(text):
     same(LIBRARY, text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.sampled_from(ODD)), max_size=8))
+def test_many_texts(texts):
+    enc = bpe.ForcedBoundaryBPE.__new__(bpe.ForcedBoundaryBPE)
+    enc.__dict__ |= bpe.encoder(PATH).__dict__ | {"_chunks": {}, "_older": {}}
+    assert enc.encode_many(texts) == [np.array(LIBRARY.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_cuts_are_certain():
     enc = bpe.encoder(PATH)
     word = "zqxjthstßqwé".encode()
