@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chat, exact_dedup, licences, mixing, quality, simhash, substring_dedup, toxicity
+from sparkloom.llm import bpe, chat, exact_dedup, licences, mixing, quality, simhash, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_substrings": substring_dedup.op3_substrings,
+    "op4_token_files": token_files.op4_token_files,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality": quality.op6_quality,
     "op7_licences": licences.op7_licences,
