@@ -36,7 +36,7 @@ def q_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return B.table(spark, sf, "part").select("p_partkey", S.fuzzy(F.col("p_name"), "at1").alias("score")).where("score is not null")
+    return B.table(spark, sf, "part").select("p_partkey", S.fuzzy(F.col("p_name"), "lwt").alias("score")).where("score is not null")
 
 
 def q_occurrence(spark: SparkSession, sf: str) -> DataFrame:
