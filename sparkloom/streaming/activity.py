@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from sparkloom.storage import shared_dir
 
 
-def source(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """Parquet files as a stream with a watermark on ts."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def source(spark: SparkSession, folder: str, names: str = "*.parquet", late: str = "1 hour") -> DataFrame:
+    """The Parquet files of a folder with such names as a stream with a watermark on ts."""
+    schema = spark.read.option("pathGlobFilter", names).parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 

@@ -6,7 +6,7 @@ from sparkloom.streaming import activity
 
 
 def test_hours_equal_batch(spark, sf_dir):
-    stream = activity.source(spark, f"{sf_dir}/events.parquet")
+    stream = activity.source(spark, sf_dir, "events.parquet")
     got = activity.finish(activity.hourly(activity.distinct_events(stream)), "hours")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     want = events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -17,5 +17,5 @@ def test_hours_equal_batch(spark, sf_dir):
 
 
 def test_sessions(spark, sf_dir):
-    got = activity.finish(activity.sessions(activity.source(spark, f"{sf_dir}/events.parquet")), "sessions")
+    got = activity.finish(activity.sessions(activity.source(spark, sf_dir, "events.parquet")), "sessions")
     assert got.count() > 0 and got.where("n < 1").count() == 0
