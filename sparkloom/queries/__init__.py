@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.queries import files, graphs, history, search
+from sparkloom.queries import files, graphs, history, more, search
 
-MODULES = (files, graphs, history, search)
+MODULES = (files, graphs, history, search, more)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -62,6 +62,6 @@ def truncated(files: DataFrame, most: int) -> DataFrame:
     return files.orderBy(P.depth_of(F.col("path")), "path").limit(most)
 
 
-def cache_key(files: DataFrame) -> Column:
-    """A fingerprint of a scan: order does not matter."""
+def cache_key() -> Column:
+    """An aggregate: a fingerprint of files (path, size) in which order does not matter."""
     return F.lpad(F.lower(F.hex(F.bit_xor(F.xxhash64("path", "size")))), 16, "0").alias("key")
