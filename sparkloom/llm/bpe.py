@@ -76,7 +76,8 @@ def young_characters(path: str) -> tuple[frozenset[str], dict[int, str]]:
 class ForcedBoundaryBPE:
     """Encoder and decoder of a word-end BPE vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self._entries = entries
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -182,7 +183,7 @@ class ForcedBoundaryBPE:
             ids[-1] = self._last[fragment[-1]]
         packed = array("I", (self._merge if len(ids) <= SHORT else self._merge_long)(ids)).tobytes()
         if len(fragment) <= CACHE_CHARS:
-            if len(memo) >= CACHE_ENTRIES:
+            if len(memo) >= self._entries:
                 memo.clear()
             memo[fragment] = packed
         return packed
@@ -216,7 +217,7 @@ class ForcedBoundaryBPE:
                 packed = b"".join([self._word(word.encode()) for word in self._split(chunk)])
             if len(chunk) > CACHE_CHARS:
                 return packed
-        if len(self._chunks) >= CACHE_ENTRIES:
+        if len(self._chunks) >= self._entries:
             self._older, self._chunks = self._chunks, {}
         self._chunks[chunk] = packed
         return packed
@@ -320,7 +321,7 @@ class ForcedBoundaryBPE:
         for c in tails:
             head = c[:-1]
             new[c] = (known(head) or new[head]) + self._marks[c[-1]]
-        if len(self._chunks) + len(new) > CACHE_ENTRIES:
+        if len(self._chunks) + len(new) > self._entries:
             self._older, self._chunks = self._chunks, {}
         self._chunks.update((c, p) for c, p in new.items() if len(c) <= CACHE_CHARS)
         return new
@@ -378,9 +379,9 @@ class ForcedBoundaryBPE:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ForcedBoundaryBPE:
-    """One encoder a worker process and vocabulary file."""
-    return ForcedBoundaryBPE(path)
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> ForcedBoundaryBPE:
+    """One encoder a worker process, vocabulary file and size of its memos."""
+    return ForcedBoundaryBPE(path, entries)
 
 
 Batches = Iterator[pa.RecordBatch]
@@ -395,30 +396,30 @@ def _replace(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBat
 PIECE_BYTES = 6_000_000
 
 
-def pieces(batches: Batches, text: str = "text") -> Batches:
-    """The same rows in batches of about PIECE_BYTES of text, one row at least."""
+def pieces(batches: Batches, text: str = "text", most: int = PIECE_BYTES) -> Batches:
+    """The same rows in batches of about ``most`` bytes of text, one row at least."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(size) // PIECE_BYTES
+        part = np.cumsum(size) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
 
 
-def encode_batches(batches: Batches, path: str, text: str = "text", ids: str = "ids") -> Batches:
+def encode_batches(batches: Batches, path: str, text: str = "text", ids: str = "ids", entries: int = CACHE_ENTRIES, most: int = PIECE_BYTES) -> Batches:
     """Adds the ids of every row's text as a list of integers."""
-    bpe = encoder(path)
-    for batch in pieces(batches, text):
+    bpe = encoder(path, entries)
+    for batch in pieces(batches, text, most):
         packed = bpe.encode_many(batch.column(text).to_pylist())
         ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
         values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
         yield _replace(batch, ids, pa.LargeListArray.from_arrays(pa.array(ends), values).cast(pa.list_(pa.int32())))
 
 
-def decode_batches(batches: Batches, path: str, ids: str = "ids", decoded: str = "decoded") -> Batches:
+def decode_batches(batches: Batches, path: str, ids: str = "ids", decoded: str = "decoded", entries: int = CACHE_ENTRIES) -> Batches:
     """Adds the decoded text of every row's ids; null ids decode like none."""
-    bpe = encoder(path)
+    bpe = encoder(path, entries)
     for batch in batches:
         col = batch.column(ids)
         out = [bpe.decode(v.values.to_pylist()) if v.is_valid else "" for v in col]
@@ -476,5 +477,6 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Last pipeline stage: every row with its ids, their number and the decoded text."""
     path = vocabulary_path()
     schema = T.StructType([*(f for f in docs.schema.fields if f.name not in ("ids", "decoded")), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    out = docs.mapInArrow(lambda it: decode_batches(encode_batches(it, path), path), schema)
+    small = {"entries": 100_000}  # earlier stages' memory is still held by the executors
+    out = docs.mapInArrow(lambda it: decode_batches(encode_batches(it, path, most=2_000_000, **small), path, **small), schema)
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
