@@ -10,7 +10,8 @@ Every byte inside a string of ``LENGTH`` bytes that also starts elsewhere goes.
   segments (by hash of anchor and of content) are kept once with their number.
 * **Suffix arrays.** A task sorts the suffixes of all its segments in two stages
   (see ``suffixes``) and compares neighbours; windows whose neighbour shares
-  LENGTH bytes, byte for byte, repeat.
+  LENGTH bytes, byte for byte, repeat.  An anchor with more than MANY_SEGMENTS
+  different segments is not one task's work: its windows are counted one by one.
 * **Removal.** Repeated windows become byte ranges of every document that has the
   segment; their union is cut out.
 
@@ -36,12 +37,14 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.filters import bitmap_of, marked
 from sparkloom.llm.shared import stage
-from sparkloom.llm.suffixes import _INVERSE, _ODD, repeated_windows
+from sparkloom.llm.suffixes import _INVERSE, _ODD, repeated_windows, window_hashes
 
 LENGTH = 200
 GRAM = 32
 #: Bytes of segments whose suffixes are sorted together.
 SORT_BYTES = 3_000_000
+#: Segments of one anchor that one task may sort; the windows of any more are dealt out one by one.
+MANY_SEGMENTS = 20_000
 #: Bytes of a text whose anchors are searched at a time (places take 24 bits).
 PART_BYTES = 1 << 22
 HASH_BITS, DOC_BITS = 27, 26
@@ -166,6 +169,26 @@ def repeated_ranges(cut: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, content long, froms array<int>, tos array<int>")
 
 
+def crowded_ranges(cut: DataFrame) -> DataFrame:
+    """The same for segments of anchors with too many for one task: every window is a row.
+
+    Equal windows of one anchor are counted with partial sums, so neither an anchor
+    nor a window ever fills a task; windows are told apart by a second 64-bit hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, content, n, raw in zip(*(batch.column(c) for c in ("anchor", "content", "n", "bytes"))):
+                h = window_hashes(_bytes_of(raw), LENGTH).view(np.int64)
+                same = [pa.array(np.full(len(h), v.as_py(), np.int64)) for v in (anchor, content, n)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], ["anchor", "content", "n", "at", "window"])
+
+    windows = stage(cut.mapInArrow(run, "anchor long, content long, n long, at int, window long"), "substring-windows")
+    again = windows.groupBy("anchor", "window").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "window")
+    hits = windows.join(again, ["anchor", "window"]).groupBy("anchor", "content").agg(F.array_sort(F.collect_list("at")).alias("froms"))
+    return hits.select("anchor", "content", "froms", F.transform("froms", lambda x: x + LENGTH).alias("tos"))
+
+
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of ranges as maximal runs."""
     order = np.argsort(start, kind="stable")
@@ -212,15 +235,21 @@ def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """key, n_bytes, starts, stops, rest of every row; docs: key (a distinct long for every row), text."""
     docs = docs.select("key", "text")
-    found = stage(occurrences(docs), "substring-occurrences", compression="zstd")
-    again = stage(found.groupBy("anchor").count().where("count > 1").select("anchor"), "substring-anchors")
+    every = stage(occurrences(docs), "substring-occurrences", compression="zstd")
+    again = stage(every.groupBy("anchor").count().where("count > 1").select("anchor"), "substring-anchors")
     bitmap = stage(bitmap_of(again, "anchor", HASH_BITS), "substring-bitmap")
-    candidates = marked(found, "anchor", bitmap, HASH_BITS).where("maybe").drop("maybe")
+    candidates = marked(every, "anchor", bitmap, HASH_BITS).where("maybe").drop("maybe")
     place = F.min(F.struct("key", "start", "size"))
     shown = candidates.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), place.alias("p"))
     shown = stage(shown.join(again, "anchor", "left_semi").select("anchor", "content", "n", "p.key", "p.start", "p.size"), "substring-shown")
     showing = marked(docs, "key", bitmap_of(shown, "key", DOC_BITS), DOC_BITS).where("maybe").drop("maybe")
-    repeats = stage(repeated_ranges(cut_segments(showing, shown)), "substring-repeats")
+    crowded = stage(shown.groupBy("anchor").count().where(F.col("count") > MANY_SEGMENTS).select("anchor"), "substring-crowded")
+    if crowded.isEmpty():
+        found = repeated_ranges(cut_segments(showing, shown))
+    else:
+        calm, many = shown.join(crowded, "anchor", "left_anti"), shown.join(crowded, "anchor", "left_semi")
+        found = repeated_ranges(cut_segments(showing, calm)).unionByName(crowded_ranges(cut_segments(showing, many)))
+    repeats = stage(found, "substring-repeats")
     hits = candidates.join(repeats, ["anchor", "content"])
     pairs = F.arrays_zip("froms", "tos")
     hits = hits.select("key", F.transform(pairs, lambda p: F.struct((p["froms"] + F.col("start")).alias("f"), (p["tos"] + F.col("start")).alias("t"))).alias("r"))

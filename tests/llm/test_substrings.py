@@ -61,9 +61,10 @@ def texts():
     ]
 
 
-@pytest.mark.parametrize("size", [3_000_000, 1])
-def test_documents(spark, tmp_path, monkeypatch, size):
+@pytest.mark.parametrize("size,many", [(3_000_000, 20_000), (1, 20_000), (1, 1)])
+def test_documents(spark, tmp_path, monkeypatch, size, many):
     monkeypatch.setattr(m, "SORT_BYTES", size)
+    monkeypatch.setattr(m, "MANY_SEGMENTS", many)
     rows = [(k, t, "x", 5) for k, t in enumerate(texts())]
     spark.createDataFrame(rows, "doc_id long, text string, anchor string, key int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, m.op3_substrings(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
