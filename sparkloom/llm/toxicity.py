@@ -1,12 +1,14 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaled features (operator 9).
 
-A text's features are the distinct character n-grams (orders ``ORDERS``) of its
-lower-cased form with blanks collapsed, hashed to ``2 ** BITS`` slots.  Each
-feature is scaled by its naive Bayes log-count ratio between toxic and clean
+A text's features are the character n-grams (orders ``ORDERS``) of its
+lower-cased form with blanks collapsed, hashed to ``2 ** BITS`` slots.  A feature's
+value is ``ln(1 + PER * count / length)``, so it tells how often the text uses it.
+Each feature is scaled by its naive Bayes log-count ratio between toxic and clean
 training texts; a logistic regression over the scaled features gives the score.
 
-* Counts of features by label are summed where the labelled texts lie, then by
-  slot; the ``FEATURES`` slots with the strongest evidence are the model's inputs.
+* Values of features by label are summed where the labelled texts lie, then by
+  slot, as whole numbers of ``1 / UNITS``: the sums do not depend on their order.
+  The ``FEATURES`` slots with the strongest evidence are the model's inputs.
 * The regression is fitted on those slots only, over at most ``MAX_TRAINING``
   labelled texts (chosen by a hash of the doc_id): bounds of the driver's memory.
 * Scoring is one narrow pass over whole texts with a weight array of fixed size.
@@ -38,23 +40,32 @@ ORDERS = (3, 4, 5)
 MAX_TRAINING = 8_000
 #: Most slots with a weight.
 FEATURES = 4_000
-#: Added to every count.
+#: Uses are counted a so many characters, and values in parts of one.
+PER = 1_000
+UNITS = 256
+#: Added to every sum of values.
 SMOOTHING = 1.0
 #: Strength of the quadratic penalty, per training row.
 PENALTY = 1e-4
 STEPS = 200
 
 
+def units(count: np.ndarray, length: int) -> np.ndarray:
+    """Values of n-grams used ``count`` times in a text, in parts of 1 / UNITS."""
+    return np.rint(np.log1p(PER * count / max(length, 1)) * UNITS).astype(np.int64)
+
+
 class Slots:
-    """Distinct hashed n-grams of a text; keeps one stamp array between texts."""
+    """Hashed n-grams of a text; keeps one stamp array between texts."""
 
     def __init__(self) -> None:
         self.stamp = np.zeros(1 << BITS, np.int32)
 
-    def of(self, text: str | None) -> np.ndarray:
+    def all(self, text: str | None) -> tuple[np.ndarray, int]:
+        """One slot for every use of an n-gram, and the number of characters."""
         chars = np.frombuffer((" " + " ".join((text or "").lower().split()) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
         if len(chars) < 3:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), len(chars)
         found = []
         h = chars.astype(np.uint32)
         for n in range(2, ORDERS[-1] + 1):
@@ -64,14 +75,21 @@ class Slots:
             if n in ORDERS:
                 mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
                 slot = mixed >> np.uint32(32 - BITS)
-                place = np.arange(len(slot), dtype=np.int32)
-                self.stamp[slot] = place
-                found.append(slot[self.stamp[slot] == place])
-        # one slot may come from two orders
-        slot = np.concatenate(found)
+                found.append(slot)
+        return np.concatenate(found), len(chars)
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The distinct slots."""
+        return self.counted(text)[0]
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct slots and the units of their values."""
+        slot, length = self.all(text)
         place = np.arange(len(slot), dtype=np.int32)
         self.stamp[slot] = place
-        return slot[self.stamp[slot] == place]
+        last = self.stamp[slot]
+        first = last == place
+        return slot[first], units(np.bincount(last, minlength=len(slot))[first], length)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -86,27 +104,31 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slots, sums = Slots(), np.zeros((2, 1 << BITS), np.int32)
+    slots, sums, texts = Slots(), np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, np.int32)
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-            sums[label][slots.of(text.as_py())] += 1
-    seen = np.flatnonzero(sums.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(sums[1][seen].astype(np.int64)), pa.array(sums[0][seen].astype(np.int64))], ["slot", "toxic", "clean"])
+            slot, value = slots.counted(text.as_py())
+            sums[label][slot] += value
+            texts[slot] += 1
+    seen = np.flatnonzero(texts)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen.astype(np.int32), sums[1][seen], sums[0][seen], texts[seen].astype(np.int64))], ["slot", "toxic", "clean", "texts"])
 
 
 def log_count_ratios(training: DataFrame) -> DataFrame:
-    """slot, ratio, weight of evidence of the strongest slots; training: text, label."""
-    counts = training.select("text", "label").mapInArrow(_count, "slot int, toxic long, clean long")
-    counts = stage(counts.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
-    total = counts.agg(F.sum(F.col("toxic") + SMOOTHING).alias("all_toxic"), F.sum(F.col("clean") + SMOOTHING).alias("all_clean"))
-    ratio = F.ln((F.col("toxic") + SMOOTHING) / F.col("all_toxic")) - F.ln((F.col("clean") + SMOOTHING) / F.col("all_clean"))
-    rated = counts.where("toxic + clean >= 3").join(F.broadcast(total)).withColumn("ratio", ratio)
-    evidence = F.abs("ratio") * F.sqrt(F.least(F.col("toxic") + F.col("clean"), F.lit(10_000)))
+    """slot, ratio of the slots with the strongest evidence; training: text, label."""
+    counts = training.select("text", "label").mapInArrow(_count, "slot int, toxic long, clean long, texts long")
+    counts = stage(counts.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("texts").alias("texts")), "toxicity-counts")
+    added = F.sum(F.lit(SMOOTHING))
+    total = counts.agg((F.sum("toxic") / UNITS + added).alias("all_toxic"), (F.sum("clean") / UNITS + added).alias("all_clean"))
+    toxic, clean = F.col("toxic") / UNITS, F.col("clean") / UNITS
+    ratio = F.ln((toxic + SMOOTHING) / F.col("all_toxic")) - F.ln((clean + SMOOTHING) / F.col("all_clean"))
+    rated = counts.where("texts >= 3").join(F.broadcast(total)).withColumn("ratio", ratio)
+    evidence = F.abs("ratio") * F.sqrt(F.least(toxic + clean, F.lit(10_000.0)))
     return rated.withColumn("evidence", evidence).orderBy(F.desc("evidence"), "slot").limit(FEATURES).select("slot", "ratio")
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights per input (already scaled by ratio) and intercept of a logistic regression."""
+def fit(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights per input (already scaled by ratio) and intercept of a logistic regression; rows: inputs, values: their units."""
     share = (labels.sum() + SMOOTHING) / (len(labels) + 2 * SMOOTHING)
     bias = float(np.log(share / (1 - share)))
     weights = np.zeros(len(ratio))
@@ -115,7 +137,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[
     sizes = np.array([len(r) for r in rows])
     index = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), sizes)
-    scale = ratio[index]
+    scale = ratio[index] * (np.concatenate(values) / UNITS if sizes.sum() else 1.0)
     # full-batch Adam: few inputs, bounded rows
     m, v, step = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1), 0.03
     for k in range(1, STEPS + 1):
@@ -128,40 +150,58 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[
     return weights * ratio, bias
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Weight of every slot and the intercept."""
+class Model:
+    """Input of every slot (-1: none), weights of the inputs and intercept."""
+
+    def __init__(self, place: np.ndarray, weights: np.ndarray, bias: float) -> None:
+        self.place, self.weights, self.bias = place, weights, bias
+
+    def inputs(self, slots: Slots, text: str | None) -> np.ndarray:
+        """Units of every input's value in a text."""
+        slot, length = slots.all(text)
+        p = self.place[slot]
+        return units(np.bincount(p[p >= 0], minlength=len(self.weights)), length)
+
+    def of(self, slots: Slots, text: str | None) -> float:
+        """Log odds of a text."""
+        return float(self.inputs(slots, text) @ self.weights) / UNITS + self.bias
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = stage(training_labels(labels), "toxicity-labels")
     # MAX_TRAINING rows of two numbers: the broadcast has a fixed bound
     training = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     top = log_count_ratios(training).toPandas()
     slot, ratio = top["slot"].to_numpy(np.int64), top["ratio"].to_numpy(float)
-    place = np.full(1 << BITS, -1, np.int32)
+    place = np.full(1 << BITS, -1, np.int16)
     place[slot] = np.arange(len(slot))
+    model = Model(place, np.zeros(len(slot)), 0.0)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
         for batch in batches:
-            rows = []
+            inputs, values = [], []
             for text in batch.column("text"):
-                p = place[slots.of(text.as_py())]
-                rows.append(p[p >= 0].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("label")], ["inputs", "label"])
+                v = model.inputs(slots, text.as_py())
+                used = np.flatnonzero(v)
+                inputs.append(used.astype(np.int16).tobytes())
+                values.append(v[used].astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(inputs, pa.binary()), pa.array(values, pa.binary()), batch.column("label")], ["inputs", "units", "label"])
 
-    rows = training.mapInArrow(pick, "inputs binary, label int").toPandas()
-    weights, bias = fit([np.frombuffer(r, np.int32) for r in rows["inputs"]], rows["label"].to_numpy(float), ratio)
-    full = np.zeros(1 << BITS, np.float32)
-    full[slot] = weights
-    return full, bias
+    rows = training.mapInArrow(pick, "inputs binary, units binary, label int").toPandas()
+    own = lambda name: [np.frombuffer(r, np.int16) for r in rows[name]]
+    model.weights, model.bias = fit(own("inputs"), own("units"), rows["label"].to_numpy(float), ratio)
+    return model
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
-    weights, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, w = Slots(), weights.value
+        slots, m = Slots(), shared.value
         for batch in batches:
-            z = np.array([w[slots.of(t.as_py())].sum(dtype=float) + bias for t in batch.column("text")], dtype=float)
+            z = np.array([m.of(slots, t.as_py()) for t in batch.column("text")], dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -177,13 +217,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of 0.5 or more go.  Text and verdict share one pass."""
-    weights, bias = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    shared = spark.sparkContext.broadcast(weights)
+    shared = spark.sparkContext.broadcast(train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, w = Slots(), shared.value
+        slots, m = Slots(), shared.value
         for batch in batches:
-            keep = [bool(w[slots.of(t.as_py())].sum(dtype=float) + bias < 0) for t in batch.column("text")]
+            keep = [m.of(slots, t.as_py()) < 0 for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

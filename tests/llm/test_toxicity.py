@@ -53,3 +53,27 @@ def test_stage_keeps_clean_documents(spark, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     kept = m.drop_toxic(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and not [r for r in kept.collect() if "idiot" in (r.text or "")] and kept.count() == 43
+
+
+def test_every_language_is_caught(spark):
+    """Held-out toxic rows of every language, most of which use no word that clean texts lack."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    langs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = m.op9_toxicity(spark, sf).join(labels, "doc_id").join(langs, "doc_id").where("held_out").collect()
+    found = {}
+    for lang in ("en", "de", "fr", "es"):
+        own = [r.predicted for r in rows if r.toxic and r.lang == lang]
+        clean = [r.predicted for r in rows if not r.toxic and r.lang == lang]
+        found[lang] = (sum(own), len(own), sum(clean), len(clean))
+    print(found)
+    assert all(hit / n >= 0.75 and alarms / clean < 0.05 for hit, n, alarms, clean in found.values()), found
+
+
+def test_frequency_counts(spark):
+    """All texts have the same n-grams: only how often they occur differs."""
+    words = lambda k: "mud " * (30 + k % 5 if k % 3 == 0 else 3) + "sun " * (3 if k % 3 == 0 else 30 + k % 5)
+    docs = spark.createDataFrame([(k, words(k)) for k in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in m.score(docs, m.train(docs, labels)).collect()}
+    assert all((got[k] >= 0.5) == (k % 3 == 0) for k in range(90))
