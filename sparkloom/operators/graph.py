@@ -177,17 +177,27 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 24, damping: floa
     return rank
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """node, layer: the longest chain of imports down to it, in a graph without cycles, at most ``most`` deep."""
+#: Rounds of layers after which the graph is looked at for cycles, once.
+LOOK_FOR_CYCLES = 64
+
+
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, layer: the longest chain of imports down to it, of any length; a graph with cycles is an error."""
     now = stage(nodes.select("node", F.lit(0).alias("layer")), "layers")
-    for _ in range(most):
+    rounds = 0
+    while True:
         down = edges.join(now, edges["src"] == now["node"]).groupBy("dst").agg((F.max("layer") + 1).alias("down"))
         nxt = now.join(down, now["node"] == down["dst"], "left").select("node", F.greatest("layer", F.coalesce("down", F.lit(0))).alias("layer"), (F.coalesce("down", F.lit(0)) > F.col("layer")).alias("new"))
         nxt = stage(nxt, "layers")
         if nxt.where("new").isEmpty():
-            break
+            return now
         now = nxt.select("node", "layer")
-    return now
+        rounds += 1
+        # without cycles the rounds end by themselves; short graphs are not made to pay for the look
+        if rounds == LOOK_FOR_CYCLES:
+            inside = within(nodes, edges)
+            if not inside.where("src = dst").isEmpty() or not cycles(nodes, inside).isEmpty():
+                raise ValueError("layers need a graph without cycles")
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:

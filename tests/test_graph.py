@@ -108,3 +108,15 @@ def test_resolve_takes_the_first(spark):
     imports = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "src long, spec string")
     files = spark.createDataFrame([("lib/a.js",), ("lib/a.ts",), ("lib/b/index.js",)], "path string")
     assert {r.spec: r.path for r in V.resolve(imports, F.col("spec"), files, ("", ".js", ".ts", "/index.js")).collect()} == {"a": "lib/a.js", "b": "lib/b/index.js", "c": None}
+
+
+def test_layers_of_a_long_chain(spark):
+    nodes, edges = frames(spark, range(70), [(k, k + 1) for k in range(69)] + [(0, 50)])
+    assert {r.node: r.layer for r in G.layers(nodes, edges).collect()} == {k: k for k in range(70)}
+
+
+@pytest.mark.parametrize("edges", [[(0, 1), (1, 2), (2, 1)], [(0, 1), (1, 1)]])
+def test_layers_refuse_cycles(spark, monkeypatch, edges):
+    monkeypatch.setattr(G, "LOOK_FOR_CYCLES", 4)
+    with pytest.raises(ValueError):
+        G.layers(*frames(spark, range(3), edges))
