@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from sparkloom.llm import components as c
@@ -54,26 +55,66 @@ def test_query(spark, sf_dir):
     assert all(r.fingerprint == f"{brute_print(d.text):016x}" for d in docs for r in got if r.doc_id == d.doc_id)
 
 
-def test_links_in_tiles_and_deep_trees(spark, monkeypatch):
-    rnd = random.Random(5)
+def planted(seed, n, hot):
+    """Fingerprints by id: random ones with near copies, a share ``hot`` of them about one centre."""
+    rnd = random.Random(seed)
     prints = {}
-    for k in range(600):
-        base = 0x123456789ABCDEF0 if k % 2 else rnd.getrandbits(64)
+    for _ in range(n):
+        base = 0x123456789ABCDEF0 if rnd.random() < hot else rnd.getrandbits(64)
         for _ in range(rnd.choice([1, 1, 4])):
             fp = base
             for _ in range(rnd.randint(0, 5)):
                 fp ^= 1 << rnd.randint(0, 63)
             prints[len(prints)] = fp
-    df = spark.createDataFrame([(i, x - (1 << 64) if x >= 1 << 63 else x) for i, x in prints.items()], "node long, fp long")
-    df = df.groupBy("fp").agg({"node": "min"}).withColumnRenamed("min(node)", "node")
+    return prints
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def test_links_in_tiles(spark, monkeypatch):
+    prints = planted(5, 600, 0.5)
     want = brute_components(prints)
-    first = {}
-    for i, x in sorted(prints.items()):
-        first.setdefault(x, i)
-    for rows, n in ((20_000, 10), (64, 10), (64, 5000)):
+    df = spark.createDataFrame([(i, signed(x)) for i, x in prints.items()], "id long, fp long")
+    for rows, group in ((4096, 50_000), (64, 50_000), (64, 300)):
         monkeypatch.setattr(m, "SHARD_ROWS", rows)
-        got = {r.node: r.component for r in c.components(m.links(df, n)).collect()}
-        assert {i: got.get(first[x], first[x]) for i, x in prints.items()} == want
+        monkeypatch.setattr(m, "GROUP_ROWS", group)
+        got = {r.fp: r.component_id for r in m.named(df).collect()}
+        assert {i: got[signed(x)] for i, x in prints.items()} == want
+
+
+def test_no_link_is_missed_and_few_pairs_are_compared(spark):
+    """Every pair of linked fingerprints shares a shard where one is at home; compared pairs are far fewer than all."""
+    shares = []
+    for n in (1000, 2000, 4000):
+        prints = sorted({signed(x) for x in planted(n, n, 0.0).values()})
+        rows = m.visits(spark.createDataFrame([(x,) for x in prints], "fp long")).collect()
+        home, all_ = {}, {}
+        for r in rows:
+            all_.setdefault(r.shard, set()).add(r.fp)
+            if r.home:
+                home.setdefault(r.shard, set()).add(r.fp)
+        met = {(min(a, b), max(a, b)) for s, h in home.items() for a in h for b in all_[s] if a != b}
+        fp = np.array(prints, dtype=np.int64).view(np.uint64)
+        near = {(prints[i], prints[j]) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(fp[i] ^ fp) <= 4) if prints[i] < prints[j]}
+        assert near <= met and near
+        shares.append((len(met) - len(near)) / len(prints))
+    assert max(shares) < 2  # pairs compared in vain a fingerprint, of up to 8,000 others
+
+
+def test_radius_beyond_the_trees_is_refused(spark):
+    with pytest.raises(ValueError):
+        m.links(spark.range(1).selectExpr("id fp"), 1, 6)
+
+
+def test_stage_keeps_one_row_a_component(spark):
+    rows = [(1, "one two", 1), (5, "one two", 2), (5, "nobody else says this here", 3), (None, "one  two", 4), (7, "q", 5), (7, "q", 5), (None, "lost and found", 6), (None, "lost and found", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __maybe int").repartition(3)
+    out = m.one_of_each(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "one two"), (5, rows[2][1]), (7, "q"), (None, "lost and found")], key=str)
+    assert m.one_of_each(spark, df.limit(0), "").count() == 0
 
 
 def test_edges(spark):
