@@ -47,6 +47,31 @@ def test_indexes_merge(spark):
     assert sorted((r.keep_id, r.members) for r in both.collect()) == [(k, 3) for k in range(10)]
 
 
+def test_index_in_parts_equals_rebuild(spark):
+    parts = [spark.range(a, a + 9).selectExpr("id doc_id", "cast(id * id % 23 as string) text", "id n") for a in range(0, 63, 9)]
+    runs = [m.flush(m.keyed(p, m.sha256, "doc_id", "text", "n")) for p in parts]
+    index = m.Index()
+    for r in runs[:-1]:
+        index.add(r)
+    assert [len(level) for level in index.levels] == [2, 1]
+    before = {bytes(r.digest): tuple(r)[1:] for r in m.compact(*runs[:-1]).collect()}
+    asked = {bytes(r.digest) for r in runs[-1].collect()}
+    assert {bytes(r.digest): tuple(r)[1:] for r in index.lookup(runs[-1]).collect()} == {d: v for d, v in before.items() if d in asked}
+    index.add(runs[-1])
+    assert sorted(map(str, index.merged().collect())) == sorted(map(str, m.compact(*runs).collect()))
+    assert m.Index().lookup(runs[0]).count() == 0
+
+
+def test_rows_of_one_id_and_null_ids(spark):
+    rows = [(1, "same text", "a"), (5, "same text", "b"), (5, "another text", "c"), (7, "q", "d"), (7, "q", "d"), (None, "q", "e"), (None, "n", "f"), (None, "n", "g"), (9, None, "h"), (9, "", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(3)
+    kept = m.keep_first(spark, df, "")
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(1, "same text"), (5, "another text"), (7, "q"), (None, "n"), (9, "")], key=str)
+    assert m.exact_dedup(df).where("kept").count() == 5
+
+
 def test_no_rows_and_stage(spark, sf_dir):
     empty = spark.createDataFrame([], SCHEMA)
     assert m.exact_dedup(empty).count() == 0
