@@ -80,6 +80,7 @@ class ForcedBoundaryBPE:
         self._entries = entries
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._check(spec)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         to_byte = byte_alphabet()
@@ -124,9 +125,22 @@ class ForcedBoundaryBPE:
             self._table_key[at], self._table_rank[at] = key, rank
         self._fragments: dict[bytes, bytes] = {}
         self._ends: dict[bytes, bytes] = {}
+        #: Memos of whole words and of chunks.
+        self._whole: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._marks = {c: self._word(c.encode()) for c in ".,;:!?"}
+
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """Refuses files whose steps differ from those built here."""
+        steps = spec["normalizer"] or {}
+        kinds = [n.get("type") for n in steps.get("normalizers", [steps])]
+        if kinds != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError(f"normalizers {kinds} are not supported")
+        if any(not a["content"].startswith("<|") for a in spec["added_tokens"]):
+            raise ValueError("added tokens are expected to start with <|")
+        if spec["model"]["type"] != "BPE" or spec["model"].get("end_of_word_suffix") != END_OF_WORD:
+            raise ValueError("a BPE model with word ends is expected")
 
     # -- encoding -----------------------------------------------------------
     def fragments(self, word: bytes) -> list[bytes]:
@@ -297,65 +311,91 @@ class ForcedBoundaryBPE:
         packed = done[valid].astype("<u4").tobytes()
         return [packed[a:b] for a, b in zip([0, *stop], stop)]
 
-    def _learn(self, chunks: dict[str, None]) -> dict[str, bytes]:
-        """Packed ids of chunks not in the memo."""
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Packed ids of chunks not in the memo; their new words are merged side by side."""
         new: dict[str, bytes] = {}
-        words: dict[str, None] = {}
+        plain: list[str] = []
         tails: list[str] = []
-        older, known = self._older.get, self._chunks.get
+        mixed: list[str] = []
+        older, known = self._older.get, self._whole.get
         for c in chunks:
             if (packed := older(c)) is not None:
                 new[c] = packed
-            elif len(c) > CACHE_CHARS:
-                new[c] = self._chunk(c)
-            elif c.isalpha():
-                words[c] = None
-            elif c[-1] in self._marks and c[:-1].isalpha():
+            elif not c:  # before or after the outer blanks of a text
+                new[c] = b""
+            elif c.isalpha() and len(c) <= CACHE_CHARS:
+                plain.append(c)
+            elif c[-1] in ".,;:!?" and c[:-1].isalpha() and len(c) <= CACHE_CHARS:
                 tails.append(c)
-                if known(c[:-1]) is None:
-                    words[c[:-1]] = None
+            elif len(c) <= CACHE_CHARS:
+                mixed.append(c)
             else:
                 new[c] = self._chunk(c)
+        heads = [c[:-1] for c in tails]
+        split = list(map(self._split, mixed))
+        asked = [*plain, *heads, *(w for part in split for w in part), *({c[-1] for c in tails})]
+        if len(self._whole) + len(asked) > self._entries:
+            self._whole.clear()
+        words = dict.fromkeys([w for w in asked if known(w) is None])
         if words:
-            new.update(zip(words, self._merge_all([w.encode() for w in words])))
-        for c in tails:
-            head = c[:-1]
-            new[c] = (known(head) or new[head]) + self._marks[c[-1]]
+            self._whole.update(zip(words, self._merge_all([w.encode() for w in words])))
+        whole = self._whole
+        new.update(zip(plain, map(whole.__getitem__, plain)))
+        new.update(zip(tails, [whole[h] + whole[c[-1]] for h, c in zip(heads, tails)]))
+        new.update(zip(mixed, [b"".join([whole[w] for w in part]) for part in split]))
         if len(self._chunks) + len(new) > self._entries:
             self._older, self._chunks = self._chunks, {}
         self._chunks.update((c, p) for c, p in new.items() if len(c) <= CACHE_CHARS)
         return new
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of every text; new words of all texts are merged together."""
-        out: list[bytes] = [b""] * len(texts)
+    def encode_array(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has; new words of all texts are merged together."""
+        ids: list[np.ndarray] = []
+        counts = np.zeros(len(texts), np.int64)
         todo: list[int] = []
         chars = 0
         for k, text in enumerate(texts):
             if not text:
                 continue
             if "<|" in text or _SEPARATORS.search(text):
-                out[k] = self.encode_packed(text)
+                ids.append(self._many(texts, todo, counts))
+                ids.append(np.frombuffer(self.encode_packed(text), "<u4"))
+                counts[k] = len(ids[-1])
+                todo, chars = [], 0
                 continue
             todo.append(k)
             chars += len(text)
             if chars > MANY_CHARS:
-                self._many(texts, todo, out)
+                ids.append(self._many(texts, todo, counts))
                 todo, chars = [], 0
-        self._many(texts, todo, out)
-        return out
-
-    def _many(self, texts: list[str | None], todo: list[int], out: list[bytes]) -> None:
-        lists = [self._normal(texts[k]).split() for k in todo]
-        flat = [c for chunks in lists for c in chunks]
-        packed = list(map(self._chunks.get, flat))
+        ids.append(self._many(texts, todo, counts))
+        return np.concatenate(ids), counts
+
+    def _many(self, texts: list[str | None], todo: list[int], counts: np.ndarray) -> np.ndarray:
+        """Every different chunk is looked up once; ids are then gathered by number."""
+        if not todo:
+            return np.zeros(0, "<u4")
+        chunks = pc.utf8_split_whitespace(pa.array([self._normal(texts[k]) for k in todo], pa.large_string()))
+        coded = chunks.values.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = list(map(self._chunks.get, different))
         if None in packed:
-            new = self._learn({c: None for c, p in zip(flat, packed) if p is None})
-            packed = [new[c] if p is None else p for c, p in zip(flat, packed)]
-        at = 0
-        for k, chunks in zip(todo, lists):
-            out[k] = b"".join(packed[at : at + len(chunks)])
-            at += len(chunks)
+            new = self._learn([c for c, p in zip(different, packed) if p is None])
+            packed = [new[c] if p is None else p for c, p in zip(different, packed)]
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        start = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        length = size[which]
+        after = np.append(0, np.cumsum(length))
+        place = np.repeat(start[which] - after[:-1], length) + np.arange(after[-1])
+        counts[todo] = np.diff(after[chunks.offsets.to_numpy()])
+        return np.frombuffer(b"".join(packed), "<u4")[place]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of every text."""
+        ids, counts = self.encode_array(texts)
+        packed, ends = ids.tobytes(), np.cumsum(4 * counts).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_packed(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -411,9 +451,9 @@ def encode_batches(batches: Batches, path: str, text: str = "text", ids: str = "
     """Adds the ids of every row's text as a list of integers."""
     bpe = encoder(path, entries)
     for batch in pieces(batches, text, most):
-        packed = bpe.encode_many(batch.column(text).to_pylist())
-        ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
-        values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
+        found, counts = bpe.encode_array(batch.column(text).to_pylist())
+        ends = np.append(0, np.cumsum(counts))
+        values = pa.array(found.view("<i4"))
         yield _replace(batch, ids, pa.LargeListArray.from_arrays(pa.array(ends), values).cast(pa.list_(pa.int32())))
 
 

@@ -1,6 +1,7 @@
 """The forced-boundary encoder against the tokenizers library."""
 
 import hashlib
+import json
 
 import numpy as np
 import pytest
@@ -76,3 +77,19 @@ def test_nulls_extra_columns_and_no_rows(spark):
     out = bpe.decode_documents(bpe.encode_documents(df, PATH), PATH).orderBy("doc_id").collect()
     assert [r.ids for r in out][:2] == [[], []] and out[2].decoded == "ab</w>" and out[0].decoded == ""
     assert bpe.decode_documents(bpe.encode_documents(df.limit(0), PATH), PATH).count() == 0
+
+
+def test_other_files_are_refused(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": None}, {"added_tokens": [{"content": "[PAD]", "id": 1}]}, {"model": spec["model"] | {"end_of_word_suffix": None}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.ForcedBoundaryBPE(str(other))
+
+
+def test_blanks_split_texts_as_in_python():
+    blanks = [chr(k) for k in range(0x110000) if chr(k).isspace()]
+    texts = [f"a{b}b" for b in blanks] + [f"{b}x{b}" for b in blanks]
+    enc = bpe.ForcedBoundaryBPE(PATH)
+    assert enc.encode_many(texts) == [np.array(LIBRARY.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
