@@ -11,7 +11,8 @@ Every byte inside a string of ``LENGTH`` bytes that also starts elsewhere goes.
 * **Suffix arrays.** A task sorts the suffixes of all its segments in two stages
   (see ``suffixes``) and compares neighbours; windows whose neighbour shares
   LENGTH bytes, byte for byte, repeat.  An anchor with more than MANY_SEGMENTS
-  different segments is not one task's work: its windows are counted one by one.
+  different segments is first split by the bytes about the anchor (``split_groups``),
+  so the suffixes of a group are always one task's work.
 * **Removal.** Repeated windows become byte ranges of every document that has the
   segment; their union is cut out.
 
@@ -19,8 +20,8 @@ Texts are moved only for documents that a bounded bitmap cannot rule out: once
 for those that show a segment's bytes, once for those that lose bytes.
 
 Edge cases: null and empty texts lose nothing; a text shorter than LENGTH has no
-window; rows that share a doc_id are told apart by their number among equal ids,
-in order of their text; a null doc_id is a row like any other; bytes are those of
+window; rows that share a doc_id are told apart by a row number and each have their
+own result; a null doc_id is a row like any other; bytes are those of
 UTF-8, and what is left need not be valid UTF-8 (it is returned as binary); extra
 columns are left out; no rows give no rows.
 """
@@ -28,11 +29,11 @@ columns are left out; no rows give no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.filters import bitmap_of, marked
@@ -43,8 +44,8 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of segments whose suffixes are sorted together.
 SORT_BYTES = 3_000_000
-#: Segments of one anchor that one task may sort; the windows of any more are dealt out one by one.
-MANY_SEGMENTS = 20_000
+#: Segments of one anchor whose suffixes are sorted together; more are split by their bytes first.
+MANY_SEGMENTS = 2_000
 #: Bytes of a text whose anchors are searched at a time (places take 24 bits).
 PART_BYTES = 1 << 22
 HASH_BITS, DOC_BITS = 27, 26
@@ -138,13 +139,16 @@ def cut_segments(docs: DataFrame, shown: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(cut: DataFrame) -> DataFrame:
-    """anchor, content, ranges: byte ranges (from, to) of each segment that repeat."""
+    """anchor, content, froms, tos: byte ranges of each segment that repeat; cut: grp, anchor, content, n, bytes.
+
+    The segments of a group are compared with each other.
+    """
 
     def sort(held: list[tuple]) -> pa.RecordBatch:
-        strings = [h[3] for h in held]
-        masks = repeated_windows(strings, np.array([h[2] > 1 for h in held]), LENGTH)
+        strings = [h[4] for h in held]
+        masks = repeated_windows(strings, np.array([h[3] > 1 for h in held]), LENGTH)
         out: list[tuple] = []
-        for (anchor, content, _, _), mask in zip(held, masks):
+        for (_, anchor, content, _, _), mask in zip(held, masks):
             if mask.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                 out.append((anchor, content, edge[::2].tolist(), (edge[1::2] + LENGTH - 1).tolist()))
@@ -153,40 +157,83 @@ def repeated_ranges(cut: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "content", "froms", "tos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        held: dict[tuple[int, int], tuple] = {}  # a segment of several groups is sorted once
+        size, group = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "n", "bytes"))):
-                if size >= SORT_BYTES and row[0] != held[-1][0]:
-                    yield sort(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "anchor", "content", "n", "bytes"))):
+                if size >= SORT_BYTES and row[0] != group:
+                    yield sort(list(held.values()))
+                    held, size = {}, 0
+                group = row[0]
+                if row[1:3] not in held:
+                    held[row[1:3]] = row
+                    size += len(row[4])
         if held:
-            yield sort(held)
+            yield sort(list(held.values()))
 
-    dealt = cut.repartition("anchor").sortWithinPartitions("anchor")
+    dealt = cut.select("grp", "anchor", "content", "n", "bytes").repartition("grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(run, "anchor long, content long, froms array<int>, tos array<int>")
 
 
-def crowded_ranges(cut: DataFrame) -> DataFrame:
-    """The same for segments of anchors with too many for one task: every window is a row.
-
-    Equal windows of one anchor are counted with partial sums, so neither an anchor
-    nor a window ever fills a task; windows are told apart by a second 64-bit hash.
-    """
+def place_anchors(cut: DataFrame) -> DataFrame:
+    """Adds ``at``, where in its bytes a segment's anchor lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, content, n, raw in zip(*(batch.column(c) for c in ("anchor", "content", "n", "bytes"))):
-                h = window_hashes(_bytes_of(raw), LENGTH).view(np.int64)
-                same = [pa.array(np.full(len(h), v.as_py(), np.int64)) for v in (anchor, content, n)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], ["anchor", "content", "n", "at", "window"])
+            anchors = batch.column("anchor").to_numpy().view(np.uint64)
+            at = [int(np.argmax(gram_hashes(_bytes_of(raw)) == h)) for h, raw in zip(anchors, batch.column("bytes"))]
+            yield batch.append_column("at", pa.array(at, pa.int32()))
+
+    return cut.mapInArrow(run, "anchor long, content long, n long, bytes binary, at int")
 
-    windows = stage(cut.mapInArrow(run, "anchor long, content long, n long, at int, window long"), "substring-windows")
-    again = windows.groupBy("anchor", "window").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "window")
-    hits = windows.join(again, ["anchor", "window"]).groupBy("anchor", "content").agg(F.array_sort(F.collect_list("at")).alias("froms"))
-    return hits.select("anchor", "content", "froms", F.transform("froms", lambda x: x + LENGTH).alias("tos"))
+
+def _shared(mine: Callable[[Column, Column], Column], other: Callable[[Column, Column], Column], most: Column) -> Column:
+    """How many bytes (``most`` at most, 255 in all) two segments share: bytes ``from`` on, ``n`` of them, are asked for by halves."""
+    steps = F.array(*(F.lit(1 << k) for k in range(7, -1, -1)))
+    grow = lambda n, step: F.when((n + step <= most) & (mine(n, step) == other(n, step)), n + step).otherwise(n)
+    return F.aggregate(steps, F.lit(0), grow)
+
+
+def split_groups(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Splits crowded anchors; cut: anchor, content, n, bytes of all their segments.
+
+    Gives groups (grp, anchor, content, n, bytes) of at most MANY_SEGMENTS whose
+    windows are still to be compared, and ranges (anchor, content, froms, tos) known
+    to repeat.  All segments of a group share L bytes before the anchor and R after
+    it, compared byte by byte with one of them.  If that makes LENGTH bytes, all
+    windows inside repeat, and any other window that two of them share goes on by at
+    least one shared byte to the left or to the right.  If not, a shared window needs
+    half of the missing bytes on one side.  Either way a segment joins one group by its
+    bytes to the left and one by those to the right, until groups are small.
+    """
+    rows = stage(place_anchors(cut).withColumn("grp", F.col("anchor")), "substring-crowded-0")
+    whole = rows.where("n > 1").select("anchor", "content", F.array(F.lit(0)).alias("froms"), F.array(F.length("bytes")).alias("tos"))
+    groups, known = rows.limit(0).drop("at"), whole
+    span = LENGTH - GRAM
+    after = F.length("bytes") - F.col("at") - GRAM
+    while True:
+        sizes = stage(rows.groupBy("grp").count().where("count > 1"), "substring-groups")
+        calm, crowded = sizes.where(F.col("count") <= MANY_SEGMENTS), sizes.where(F.col("count") > MANY_SEGMENTS)
+        groups = groups.unionByName(rows.join(calm, "grp", "left_semi").drop("at"))
+        if crowded.isEmpty():
+            return groups, known
+        many = rows.join(crowded.select("grp"), "grp", "left_semi")
+        head = many.groupBy("grp").agg(F.min(F.struct("content", F.col("at").alias("at2"), F.col("bytes").alias("bytes2"))).alias("h"))
+        pairs = many.join(stage(head.select("grp", "h.at2", "h.bytes2"), "substring-heads"), "grp")
+        left = _shared(lambda n, k: F.substring("bytes", F.col("at") - n - k + 1, k), lambda n, k: F.substring("bytes2", F.col("at2") - n - k + 1, k), F.least("at", "at2"))
+        right = _shared(lambda n, k: F.substring("bytes", F.col("at") + GRAM + n + 1, k), lambda n, k: F.substring("bytes2", F.col("at2") + GRAM + n + 1, k),
+                        F.least(after, F.length("bytes2") - F.col("at2") - GRAM))
+        bounds = pairs.select("grp", left.alias("l"), right.alias("r")).groupBy("grp").agg(F.min("l").alias("l"), F.min("r").alias("r"))
+        many = many.join(stage(bounds, "substring-bounds"), "grp").withColumn("missing", F.lit(span) - F.col("l") - F.col("r"))
+        inside = many.where("missing <= 0").select("anchor", "content", F.array(F.col("at") - F.col("l")).alias("froms"), F.array(F.col("at") + GRAM + F.col("r")).alias("tos"))
+        known = known.unionByName(stage(inside, "substring-known"))
+        more_left = F.when(F.col("missing") > 0, F.ceil(F.col("missing") / 2).cast("int")).otherwise(1)
+        more_right = F.when(F.col("missing") > 0, F.floor(F.col("missing") / 2).cast("int") + 1).otherwise(1)
+        ways = F.array(F.struct((F.col("l") + more_left).alias("l"), "r"), F.struct("l", (F.col("r") + more_right).alias("r")))
+        next_ = many.withColumn("w", F.explode(ways)).where((F.col("at") >= F.col("w.l")) & (after >= F.col("w.r")))
+        key = F.xxhash64("anchor", "w.l", "w.r", F.substring("bytes", F.col("at") - F.col("w.l") + 1, F.col("w.l") + GRAM + F.col("w.r")))
+        rows = next_.withColumn("grp", key).select("anchor", "content", "n", "bytes", "at", "grp").dropDuplicates(["grp", "content"])
+        rows = stage(rows, "substring-crowded")
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,11 +291,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     shown = stage(shown.join(again, "anchor", "left_semi").select("anchor", "content", "n", "p.key", "p.start", "p.size"), "substring-shown")
     showing = marked(docs, "key", bitmap_of(shown, "key", DOC_BITS), DOC_BITS).where("maybe").drop("maybe")
     crowded = stage(shown.groupBy("anchor").count().where(F.col("count") > MANY_SEGMENTS).select("anchor"), "substring-crowded")
+    calm = shown.join(crowded, "anchor", "left_anti")
+    groups = cut_segments(showing, calm).withColumn("grp", F.col("anchor"))
     if crowded.isEmpty():
-        found = repeated_ranges(cut_segments(showing, shown))
+        found = repeated_ranges(groups)
     else:
-        calm, many = shown.join(crowded, "anchor", "left_anti"), shown.join(crowded, "anchor", "left_semi")
-        found = repeated_ranges(cut_segments(showing, calm)).unionByName(crowded_ranges(cut_segments(showing, many)))
+        split, known = split_groups(cut_segments(showing, shown.join(crowded, "anchor", "left_semi")))
+        found = repeated_ranges(groups.unionByName(split)).unionByName(known)
     repeats = stage(found, "substring-repeats")
     hits = candidates.join(repeats, ["anchor", "content"])
     pairs = F.arrays_zip("froms", "tos")

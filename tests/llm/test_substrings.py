@@ -61,7 +61,7 @@ def texts():
     ]
 
 
-@pytest.mark.parametrize("size,many", [(3_000_000, 20_000), (1, 20_000), (1, 1)])
+@pytest.mark.parametrize("size,many", [(3_000_000, 2_000), (1, 2_000), (1, 1), (1, 3)])
 def test_documents(spark, tmp_path, monkeypatch, size, many):
     monkeypatch.setattr(m, "SORT_BYTES", size)
     monkeypatch.setattr(m, "MANY_SEGMENTS", many)
@@ -71,6 +71,18 @@ def test_documents(spark, tmp_path, monkeypatch, size, many):
     assert got == [(k, *r) for k, r in enumerate(brute(texts()))]
 
 
+def test_passage_in_many_contexts(spark, tmp_path, monkeypatch):
+    """One passage in 60 contexts: its outer anchors are crowded, and no context may be taken with it."""
+    monkeypatch.setattr(m, "MANY_SEGMENTS", 8)
+    rnd = random.Random(11)
+    noise = lambda: "".join(rnd.choice("abcdefgh") for _ in range(150))
+    passage = "".join(rnd.choice("mnopqrst") for _ in range(290))
+    texts = [noise() + passage[k % 7 :] + noise() for k in range(60)] + [passage[:150] + noise() for _ in range(12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, m.op3_substrings(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+    assert got == [(k, *r) for k, r in enumerate(brute(texts))]
+
+
 def test_long_texts_are_searched_in_parts(monkeypatch):
     monkeypatch.setattr(m, "PART_BYTES", 1000)
     data = np.frombuffer(np.random.default_rng(1).integers(97, 101, 5000, np.uint8).tobytes(), np.uint8)
