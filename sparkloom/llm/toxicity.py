@@ -6,11 +6,12 @@ value is ``ln(1 + PER * count / length)``, so it tells how often the text uses i
 Each feature is scaled by its naive Bayes log-count ratio between toxic and clean
 training texts; a logistic regression over the scaled features gives the score.
 
-* Values of features by label are summed where the labelled texts lie, then by
+* At most ``MAX_TRAINING`` labelled rows are learnt from, one a doc_id, chosen by a
+  hash of the doc_id: the one bound on what is learnt.  Every slot is a feature.
+* Values of features by label are summed where the training texts lie, then by
   slot, as whole numbers of ``1 / UNITS``: the sums do not depend on their order.
-  The ``FEATURES`` slots with the strongest evidence are the model's inputs.
-* The regression is fitted on those slots only, over at most ``MAX_TRAINING``
-  labelled texts (chosen by a hash of the doc_id): bounds of the driver's memory.
+* The regression is fitted in one task over those rows, whose number is bounded; a
+  lost executor costs that task.  The driver sees ratios and weights of slots only.
 * Scoring is one narrow pass over whole texts with a weight array of fixed size.
 
 Labels are learnt only from rows whose ``crc32(doc_id as text) mod 5`` is not
@@ -19,8 +20,9 @@ zero; label, language, source and doc_id are never features.
 Edge cases: null and empty texts have no features and score the intercept; with
 labels of one kind or none the score is the smoothed share of toxic labels; a
 null label or null doc_id is not learnt from, a null doc_id is never held out;
-repeated labels of one doc_id count once, as toxic if any is; extra columns are
-left out; no rows give no rows.
+repeated labels of one doc_id count once, as toxic if any is; of rows with one
+doc_id the smallest text is learnt from; extra columns are left out (and kept by
+``drop_toxic``); no rows give no rows.
 """
 
 from __future__ import annotations
@@ -34,20 +36,22 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import stage
 
-BITS = 20
+BITS = 18
 ORDERS = (3, 4, 5)
-#: Most labelled texts that are learnt from.
+#: Most labelled rows that are learnt from.
 MAX_TRAINING = 8_000
-#: Most slots with a weight.
-FEATURES = 4_000
 #: Uses are counted a so many characters, and values in parts of one.
 PER = 1_000
 UNITS = 256
-#: Added to every sum of values.
-SMOOTHING = 1.0
-#: Strength of the quadratic penalty, per training row.
-PENALTY = 1e-4
-STEPS = 200
+#: Values added to every slot, shared by the labels as all values are: a slot never seen has ratio zero.
+SMOOTHING = 10.0
+#: Strength of the quadratic penalty, steps of the fit and their size.
+PENALTY = 1e-3
+STEPS = 100
+STEP = 0.03
+#: Partitions of the (bounded) training rows, and rows of a piece of the fit.
+PARTITIONS = 8
+PIECE = 200
 
 
 def units(count: np.ndarray, length: int) -> np.ndarray:
@@ -78,10 +82,6 @@ class Slots:
                 found.append(slot)
         return np.concatenate(found), len(chars)
 
-    def of(self, text: str | None) -> np.ndarray:
-        """The distinct slots."""
-        return self.counted(text)[0]
-
     def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The distinct slots and the units of their values."""
         slot, length = self.all(text)
@@ -96,102 +96,110 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_labels(labels: DataFrame) -> DataFrame:
-    """doc_id, label of at most MAX_TRAINING rows that may be learnt from."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, label of at most MAX_TRAINING rows that may be learnt from, one a doc_id."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING)
+    chosen = stage(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING), "toxicity-labels")
+    # MAX_TRAINING rows of two numbers: the broadcast has a fixed bound
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return stage(rows.select("text", "label").repartition(PARTITIONS), "toxicity-training")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slots, sums, texts = Slots(), np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, np.int32)
+    slots, sums = Slots(), np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
             slot, value = slots.counted(text.as_py())
             sums[label][slot] += value
-            texts[slot] += 1
-    seen = np.flatnonzero(texts)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen.astype(np.int32), sums[1][seen], sums[0][seen], texts[seen].astype(np.int64))], ["slot", "toxic", "clean", "texts"])
+    seen = np.flatnonzero(sums.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen.astype(np.int32), sums[1][seen], sums[0][seen])], ["slot", "toxic", "clean"])
 
 
 def log_count_ratios(training: DataFrame) -> DataFrame:
-    """slot, ratio of the slots with the strongest evidence; training: text, label."""
-    counts = training.select("text", "label").mapInArrow(_count, "slot int, toxic long, clean long, texts long")
-    counts = stage(counts.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("texts").alias("texts")), "toxicity-counts")
-    added = F.sum(F.lit(SMOOTHING))
-    total = counts.agg((F.sum("toxic") / UNITS + added).alias("all_toxic"), (F.sum("clean") / UNITS + added).alias("all_clean"))
-    toxic, clean = F.col("toxic") / UNITS, F.col("clean") / UNITS
-    ratio = F.ln((toxic + SMOOTHING) / F.col("all_toxic")) - F.ln((clean + SMOOTHING) / F.col("all_clean"))
-    rated = counts.where("texts >= 3").join(F.broadcast(total)).withColumn("ratio", ratio)
-    evidence = F.abs("ratio") * F.sqrt(F.least(toxic + clean, F.lit(10_000.0)))
-    return rated.withColumn("evidence", evidence).orderBy(F.desc("evidence"), "slot").limit(FEATURES).select("slot", "ratio")
-
-
-def fit(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights per input (already scaled by ratio) and intercept of a logistic regression; rows: inputs, values: their units."""
-    share = (labels.sum() + SMOOTHING) / (len(labels) + 2 * SMOOTHING)
-    bias = float(np.log(share / (1 - share)))
-    weights = np.zeros(len(ratio))
-    if not len(ratio) or labels.min(initial=1) == labels.max(initial=0):
-        return weights, bias
-    sizes = np.array([len(r) for r in rows])
-    index = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    scale = ratio[index] * (np.concatenate(values) / UNITS if sizes.sum() else 1.0)
-    # full-batch Adam: few inputs, bounded rows
-    m, v, step = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1), 0.03
+    """slot, ratio of every slot that a training text uses; training: text, label."""
+    counts = training.select("text", "label").mapInArrow(_count, "slot int, toxic long, clean long")
+    counts = stage(counts.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
+    total = counts.agg((F.sum("toxic") / UNITS).alias("all_toxic"), (F.sum("clean") / UNITS).alias("all_clean"))
+    share = F.col("all_toxic") / (F.col("all_toxic") + F.col("all_clean"))
+    toxic = (F.col("toxic") / UNITS + SMOOTHING * share) / F.col("all_toxic")
+    clean = (F.col("clean") / UNITS + SMOOTHING * (1 - share)) / F.col("all_clean")
+    known = (F.col("all_toxic") > 0) & (F.col("all_clean") > 0)
+    return counts.join(F.broadcast(total)).select("slot", F.when(known, F.ln(toxic) - F.ln(clean)).otherwise(0.0).alias("ratio"))
+
+
+class Rows:
+    """Training rows of a piece: slots, scaled values, and where each row begins."""
+
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ratio: np.ndarray):
+        found = [(s, v) if len(s) else (np.zeros(1, np.int64), np.zeros(1, np.int64)) for s, v in found]
+        self.size = np.array([len(s) for s, _ in found])
+        self.start = np.cumsum(self.size) - self.size
+        self.slot = np.concatenate([s for s, _ in found]).astype(np.int32)
+        self.scaled = (np.concatenate([v for _, v in found]) / UNITS * ratio[self.slot]).astype(np.float32)
+        self.label = np.array(labels, float)
+
+    def errors(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        z = np.add.reduceat(weights[self.slot] * self.scaled, self.start) + bias
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50))) - self.label
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        return np.bincount(self.slot, np.repeat(error, self.size) * self.scaled, minlength=1 << BITS)
+
+
+def fit(rows: list[Rows]) -> tuple[np.ndarray, float]:
+    """Weight of every slot's scaled value, and intercept, by full-batch Adam on the penalised log loss."""
+    count = sum(len(r.label) for r in rows)
+    share = sum(r.label.sum() for r in rows) / count
+    weights, bias = np.zeros(1 << BITS), float(np.log(share / (1 - share)))
+    m, v = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for k in range(1, STEPS + 1):
-        z = np.bincount(row, weights[index] * scale, minlength=len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels) / len(rows)
-        grad = np.append(np.bincount(index, error[row] * scale, minlength=len(ratio)) + PENALTY * weights, error.sum())
+        grad = np.append(PENALTY * weights, 0.0)
+        for r in rows:
+            error = r.errors(weights, bias)
+            grad[:-1] += r.gradient(error) / count
+            grad[-1] += error.sum() / count
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        change = step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+        change = STEP * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
         weights, bias = weights - change[:-1], bias - float(change[-1])
-    return weights * ratio, bias
+    return weights, bias
 
 
 class Model:
-    """Input of every slot (-1: none), weights of the inputs and intercept."""
-
-    def __init__(self, place: np.ndarray, weights: np.ndarray, bias: float) -> None:
-        self.place, self.weights, self.bias = place, weights, bias
+    """Weight of every slot and intercept."""
 
-    def inputs(self, slots: Slots, text: str | None) -> np.ndarray:
-        """Units of every input's value in a text."""
-        slot, length = slots.all(text)
-        p = self.place[slot]
-        return units(np.bincount(p[p >= 0], minlength=len(self.weights)), length)
+    def __init__(self, weights: np.ndarray, bias: float) -> None:
+        self.weights, self.bias = weights, bias
 
     def of(self, slots: Slots, text: str | None) -> float:
         """Log odds of a text."""
-        return float(self.inputs(slots, text) @ self.weights) / UNITS + self.bias
+        slot, value = slots.counted(text)
+        return float(value @ self.weights[slot]) / UNITS + self.bias
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    chosen = stage(training_labels(labels), "toxicity-labels")
-    # MAX_TRAINING rows of two numbers: the broadcast has a fixed bound
-    training = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
-    top = log_count_ratios(training).toPandas()
-    slot, ratio = top["slot"].to_numpy(np.int64), top["ratio"].to_numpy(float)
-    place = np.full(1 << BITS, -1, np.int16)
-    place[slot] = np.arange(len(slot))
-    model = Model(place, np.zeros(len(slot)), 0.0)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
+    training = training_rows(docs, labels)
+    got = training.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
+    if got.toxic in (0, got.n):
+        share = (got.toxic + 1) / (got.n + 2)
+        return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
+    rated = log_count_ratios(training).toPandas()  # 2 ** BITS rows at most
+    ratio = np.zeros(1 << BITS)
+    ratio[rated["slot"].to_numpy(np.int64)] = rated["ratio"].to_numpy(float)
+    shared = training.sparkSession.sparkContext.broadcast(ratio)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, rows, scale = Slots(), [], shared.value
         for batch in batches:
-            inputs, values = [], []
-            for text in batch.column("text"):
-                v = model.inputs(slots, text.as_py())
-                used = np.flatnonzero(v)
-                inputs.append(used.astype(np.int16).tobytes())
-                values.append(v[used].astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(inputs, pa.binary()), pa.array(values, pa.binary()), batch.column("label")], ["inputs", "units", "label"])
-
-    rows = training.mapInArrow(pick, "inputs binary, units binary, label int").toPandas()
-    own = lambda name: [np.frombuffer(r, np.int16) for r in rows[name]]
-    model.weights, model.bias = fit(own("inputs"), own("units"), rows["label"].to_numpy(float), ratio)
-    return model
+            for k in range(0, batch.num_rows, PIECE):
+                part = batch.slice(k, PIECE)
+                rows.append(Rows([slots.counted(t.as_py()) for t in part.column("text")], part.column("label").to_pylist(), scale))
+        weights, bias = fit(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([(weights * scale).tobytes()]), pa.array([bias])], ["weights", "bias"])
+
+    fitted = training.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(bytes(fitted.weights)), fitted.bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
