@@ -2,8 +2,11 @@
 
 Every document is judged by its own counts first.  Failures are then added up by
 host (``source``); a host's failure rate is shrunk towards the corpus by a beta
-prior fitted to the hosts' rates by the method of moments, and a host whose
-shrunk rate is above ``HOST_LIMIT`` fails with all its documents.
+prior fitted by the moments of a beta-binomial: of the spread between hosts, what
+binomial sampling alone would give is taken off, and hosts count by their size.  A
+host whose shrunk rate is above ``HOST_LIMIT``, where a document more often fails
+than not, fails with all its documents; a few bad documents of a small host don't
+suffice.
 
 Everything is DataFrame functions.  The counts come from arrays inside a row
 (sorted windows, no window leaves its row), are written once, and the texts are
@@ -11,7 +14,7 @@ not moved: sums by host have partial sums in every task, and verdicts come back
 by a join of counts with hosts, in which Spark can split a hot host.
 
 Edge cases: null and empty texts have no words and fail; a null source is a host
-of its own; with one host, or no spread between hosts, rates shrink to the mean;
+of its own; with one host, or no spread beyond chance, all rates are the mean;
 rows with one doc_id are judged one by one; extra columns are left out; no rows
 give no rows.
 """
@@ -27,7 +30,7 @@ MIN_WORDS = 50
 #: Percent of words that may lie in repeated windows.
 MAX_REPEATED = 50
 WINDOW = 3
-HOST_LIMIT = 0.75
+HOST_LIMIT = 0.5
 BROADCAST_HOSTS = 10_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -86,12 +89,15 @@ def host_rates(judged: DataFrame) -> DataFrame:
     """source, docs, failed, rate (shrunk) of every host; judged: source, base_failed."""
     hosts = judged.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if("base_failed").alias("failed"))
     hosts = stage(hosts, "quality-hosts")
-    raw = F.col("failed") / F.col("docs")
-    prior = hosts.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("spread"), F.sum("docs").cast("double").alias("all_docs"))
-    room = F.col("mean") * (1 - F.col("mean"))
-    strength = F.when((F.col("spread") > 1e-12) & (F.col("spread") < room), room / F.col("spread") - 1).otherwise(F.col("all_docs"))
-    prior = prior.select((F.col("mean") * strength).alias("alpha"), ((1 - F.col("mean")) * strength).alias("beta"))
-    rate = (F.col("failed") + F.col("alpha")) / (F.col("docs") + F.col("alpha") + F.col("beta"))
+    n, bad = F.col("docs").cast("double"), F.col("failed").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(n * n).alias("n2"), F.sum(bad).alias("bad"), F.sum(bad * bad / n).alias("square"))
+    prior = sums.select("*", (F.col("bad") / F.col("n")).alias("mean")).select("*", (F.col("mean") * (1 - F.col("mean"))).alias("room"))
+    by_chance = (F.col("k") - 1) * F.col("room")
+    spread = F.try_divide(F.col("square") - F.col("n") * F.col("mean") * F.col("mean") - by_chance, F.col("n") - F.col("n2") / F.col("n") - (F.col("k") - 1))
+    known = (F.col("k") > 1) & (F.col("n") - F.col("n2") / F.col("n") > F.col("k") - 1) & (spread > 1e-9)
+    strength = F.when(known, F.greatest(F.try_divide("room", spread) - 1, F.lit(0.0)))  # null: no spread beyond chance
+    prior = prior.select("mean", strength.alias("strength"))
+    rate = F.coalesce((F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("docs") + F.col("strength")), "mean")
     return hosts.join(F.broadcast(prior)).withColumn("rate", rate).select("source", "docs", "failed", "rate")
 
 
@@ -116,17 +122,18 @@ w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda
 g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
 k AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM g),
 m AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM k),
-p AS (SELECT DISTINCT r, i + o AS i FROM m, (SELECT unnest(range(0, 3)) AS o) WHERE n > 1),
-c AS (SELECT r, count(*) AS n FROM p GROUP BY r),
+rep AS (SELECT DISTINCT r, i + o AS i FROM m, (SELECT unnest(range(0, 3)) AS o) WHERE n > 1),
+c AS (SELECT r, count(*) AS n FROM rep GROUP BY r),
 b AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
              coalesce(c.n, 0)::BIGINT AS n_repeat_words
       FROM d JOIN w USING (r) LEFT JOIN c USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY 1),
-s AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) AS spread, sum(n)::DOUBLE AS total FROM h),
-q AS (SELECT mean, CASE WHEN spread > 1e-12 AND spread < mean * (1 - mean) THEN mean * (1 - mean) / spread - 1 ELSE total END AS strength FROM s),
-v AS (SELECT source, (bad + mean * strength) / (n + strength) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS host_rate, NOT base_failed AND rate <= 0.75 AS kept
+s AS (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(n::DOUBLE * n) AS n2, sum(bad) / sum(n) AS mean, sum(bad::DOUBLE * bad / n) AS square FROM h),
+q AS (SELECT mean, k, n - n2 / n AS room, mean * (1 - mean) AS v, (square - n * mean * mean - (k - 1) * mean * (1 - mean)) / (n - n2 / n - (k - 1)) AS spread FROM s),
+p AS (SELECT mean, CASE WHEN k > 1 AND room > k - 1 AND spread > 1e-9 THEN greatest(v / spread - 1, 0.0) END AS strength FROM q),
+v AS (SELECT source, coalesce((bad + mean * strength) / (n + strength), mean) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """

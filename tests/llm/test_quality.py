@@ -1,6 +1,7 @@
 """Quality rules against SQL and plain counting."""
 
 import os
+import random
 import re
 import sys
 
@@ -45,5 +46,35 @@ def test_hosts(spark):
     assert ("h1", False, True) in kept and (None, False, True) in kept and got.count() == len(rows)
 
 
+def test_chance_is_not_taken_for_a_bad_host(spark):
+    """40 hosts that differ by sampling alone: all rates are the mean; one small host is no outlier among large ones."""
+    good, bad = " ".join(f"w{k}" for k in range(60)), "x"
+    rnd = random.Random(4)
+    rows = [(k, bad if rnd.random() < 0.1 else good, f"h{k % 40}") for k in range(4000)]
+    judged = m.base_counts(spark.createDataFrame(rows, "doc_id long, text string, source string"), "source")
+    rates = [r.rate for r in m.host_rates(judged).collect()]
+    by_host = {}
+    for _, t, h in rows:
+        by_host.setdefault(h, []).append(t == bad)
+    n = [len(v) for v in by_host.values()]
+    mean = sum(map(sum, by_host.values())) / sum(n)
+    square = sum(sum(v) ** 2 / len(v) for v in by_host.values())
+    spread = (square - sum(n) * mean**2 - 39 * mean * (1 - mean)) / (sum(n) - sum(x * x for x in n) / sum(n) - 39)
+    strength = max(mean * (1 - mean) / spread - 1, 0) if spread > 1e-9 else None
+    want = [mean if strength is None else (sum(v) + mean * strength) / (len(v) + strength) for v in by_host.values()]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(sorted(rates), sorted(want)))
+    tiny = rows + [(9000, bad, "tiny"), (9001, bad, "tiny"), (9002, good, "tiny")] + [(9100 + k, bad if k % 8 else good, "rotten") for k in range(200)]
+    got = m.judge(spark.createDataFrame(tiny, "doc_id long, text string, source string")).collect()
+    assert all(r.kept for r in got if r.doc_id == 9002) and not any(r.kept for r in got if r.source == "rotten")
+    assert all(r.kept != r.base_failed for r in got if r.source.startswith("h"))
+
+
+def test_one_host_and_repeated_rows(spark):
+    good = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(1, good, "a"), (1, "x", "a"), (1, "x", "a"), (1, good, "a"), (None, good, "a")], "doc_id long, text string, source string")
+    got = m.judge(df).collect()
+    assert {round(r.host_rate, 9) for r in got} == {0.4} and sum(r.kept for r in got) == 3
+
+
 def test_no_rows(spark):
     assert m.judge(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
