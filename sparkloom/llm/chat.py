@@ -11,8 +11,11 @@ The mask of a turn is the running sum of +1 where a loss part begins and -1 wher
 it ends; the loss parts are the texts of the roles in ``LOSS_ROLES``.  Places in
 the conversation are running sums of the turns' lengths.
 
-Turns are encoded where they lie, before any shuffle; a conversation is then read
-in order, turn by turn, in constant memory, so it may be of any length.
+Turns are dealt out by ranges of (conversation, turn, role, first characters of the
+text), so a long conversation is encoded by many tasks; a turn's place is its place
+in its range plus the conversation's ids in the ranges before it.  Digests of whole
+conversations are sequential by nature: they are read in order, turn by turn, in
+constant memory.
 
 Edge cases: null texts and roles count as empty; rows of one conversation and
 turn are ordered by role, then text, and all kept; a null conv_id is one
@@ -31,6 +34,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +65,7 @@ class ChatCodec:
         self._enc = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         base = max(ranks.values()) + 2  # one id is left free for an end-of-text token
         self.open, self.colon, self.close = base, base + 1, base + 2
+        self._roles: dict[str, np.ndarray] = {}
         self._marks = {self.open: OPEN, self.colon: COLON, self.close: CLOSE}
 
     def encode(self, text: str) -> list[int]:
@@ -69,15 +74,33 @@ class ChatCodec:
     def plain(self, ids: list[int]) -> str:
         return self._enc.decode_bytes(ids).decode("utf-8")
 
+    def role(self, role: str) -> np.ndarray:
+        """Ids from a turn's start to its text; those of short roles are remembered."""
+        ids = self._roles.get(role)
+        if ids is None:
+            ids = np.array([self.open, *self.encode(escape(role)), self.colon], np.int32)
+            if len(role) <= 40 and len(self._roles) < 1000:
+                self._roles[role] = ids
+        return ids
+
+    def assemble_many(self, roles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and masks of turns, one after another, and the end of each."""
+        close = np.array([self.close], np.int32)
+        parts: list[np.ndarray] = []
+        for role, text in zip(roles, texts):
+            parts += [self.role(role), self._enc.encode_to_numpy(escape(text), disallowed_special=()).astype(np.int32), close]
+        place = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
+        learnt = np.flatnonzero([r in LOSS_ROLES for r in roles])
+        delta = np.zeros(place[-1] + 1, np.int8)
+        np.add.at(delta, place[3 * learnt + 1], 1)
+        np.add.at(delta, place[3 * learnt + 2], -1)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return ids, np.cumsum(delta[:-1], dtype=np.int8), place[3::3]
+
     def assemble(self, role: str, text: str) -> tuple[list[int], list[int]]:
         """Ids of a turn and its mask."""
-        parts = [[self.open], self.encode(escape(role)), [self.colon], self.encode(escape(text)), [self.close]]
-        place = np.cumsum([0, *map(len, parts)])
-        delta = np.zeros(place[-1] + 1, np.int8)
-        if role in LOSS_ROLES:
-            delta[place[3]] += 1
-            delta[place[4]] -= 1
-        return sum(parts, []), np.cumsum(delta[:-1], dtype=np.int8).tolist()
+        ids, mask, _ = self.assemble_many([role], [text])
+        return ids.tolist(), mask.tolist()
 
     def text_of(self, ids: list[int]) -> str:
         """The formatted text of any ids, reserved ones as their marks."""
@@ -108,22 +131,34 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def format_turns(turns: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """conv_id, turn, role, text become conv_id, start (place in the conversation), ids and mask."""
+    """conv_id, turn, role, text become conv_id, start (place in the conversation), ids and mask, written to the shared folder."""
     vocabulary = vocabulary or default_vocabulary()
+    kind = dict(turns.dtypes)["conv_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chat = codec(*vocabulary)
+        chat, part, now, at = codec(*vocabulary), TaskContext.get().partitionId(), object(), 0
         for batch in batches:
-            made = [chat.assemble(r or "", t or "") for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
-            ids, masks = [m[0] for m in made], [m[1] for m in made]
-            columns = [pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8())), pa.array([len(i) for i in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("conv_id", "turn", "role", "text_key")] + columns, ["conv_id", "turn", "role", "text_key", "ids", "mask", "n"])
-
-    kinds = dict(turns.dtypes)
-    turns = turns.select("conv_id", "turn", "role", "text").withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    made = turns.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text_key string, ids array<int>, mask array<tinyint>, n long")
-    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    return made.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).select("conv_id", "start", "ids", "mask")
+            ids, masks, ends = chat.assemble_many([r or "" for r in batch.column("role").to_pylist()], [t or "" for t in batch.column("text").to_pylist()])
+            sizes, place = np.diff(np.append(0, ends)).tolist(), []
+            for conv_id, n in zip(batch.column("conv_id").to_pylist(), sizes):
+                at = at if conv_id == now else 0
+                now = conv_id
+                place.append(at)
+                at += n
+            offsets = pa.array(np.append(0, ends).astype(np.int32))
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(masks)), pa.array(sizes, pa.int64()), pa.array(place, pa.int64()), pa.array([part] * len(sizes), pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], ["conv_id", "ids", "mask", "n", "place", "part"])
+
+    turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ranged = turns.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    made = stage(ranged.mapInArrow(run, f"conv_id {kind}, ids array<int>, mask array<tinyint>, n long, place long, part int"), "chat-turns", compression="zstd")
+    # conversations that go on from one range into the next: at most one a range
+    sums = made.groupBy("conv_id", "part").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cut = sums.withColumn("before", F.sum("n").over(before)).where("before is not null")
+    cut = F.broadcast(stage(cut.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "before"), "chat-cuts"))
+    joined = made.join(cut, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    return joined.select("conv_id", (F.col("place") + F.coalesce("before", F.lit(0).cast("long"))).alias("start"), "ids", "mask")
 
 
 class _Conversation:
@@ -177,4 +212,4 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    return read_back(stage(format_turns(turns.unionByName(extra)), "chat-turns"))
+    return read_back(format_turns(turns.unionByName(extra)))

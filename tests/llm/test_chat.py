@@ -53,6 +53,22 @@ def test_edges(spark):
     assert m.read_back(m.format_turns(df.limit(0))).count() == 0
 
 
+def test_ties_are_ordered_by_text(spark):
+    rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "user", "c"), (1, 1, None, "z"), (1, None, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = m.read_back(m.format_turns(df)).collect()
+    assert [tuple(r)[1:] for r in got] == [plain([(t, r or "", x) for _, t, r, x in [rows[4], rows[3], rows[1], rows[0], rows[2]]])]
+
+
+def test_long_conversation_is_cut_into_ranges(spark):
+    df = spark.createDataFrame([(k // 400, k, "assistant" if k % 2 else "user", f"word {k} " * (k % 9)) for k in range(1000)], "conv_id long, turn long, role string, text string")
+    made = m.format_turns(df)
+    assert {r.conv_id: tuple(r)[1:] for r in m.read_back(made).collect()} == {c: plain([(r.turn, r.role, r.text) for r in df.collect() if r.conv_id == c]) for c in range(3)}
+    for c in range(3):
+        rows = sorted((r for r in made.collect() if r.conv_id == c), key=lambda r: r.start)
+        assert [r.start for r in rows] == [sum(len(x.ids) for x in rows[:k]) for k in range(len(rows))]
+
+
 def test_places_are_running_sums(spark):
     df = spark.createDataFrame([(1, k, "user", "word " * k) for k in range(6)], "conv_id long, turn long, role string, text string")
     rows = sorted(m.format_turns(df).collect(), key=lambda r: r.start)
