@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """``spark.checkpoint.dir`` of the session.
 
-    Only where a session names none (tests on one machine) a temporary one is set.
+    Only in local mode, where all tasks are on this machine, a temporary folder serves where none is named.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sparkloom.work.dir", None)
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sparkloom.work.dir", None)
     if not named:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.sparkloom.work.dir", named)
         spark.sparkContext.setCheckpointDir(named)
