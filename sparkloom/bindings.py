@@ -27,15 +27,24 @@ files AS (SELECT doc_id, 'src/' || source || CASE WHEN doc_id % 7 = 0 THEN '/tes
 """
 
 
-def edges(spark: SparkSession, sf_dir: str, least: int = 40) -> DataFrame:
-    """src, dst: parts on consecutive lines of one order, both of at least ``least`` pieces."""
+#: Pieces of both lines of an edge of the sparse graph.
+SPARSE = 40
+
+
+def edges(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
+    """src, dst: parts on consecutive lines of one order, every pair once.
+
+    With ``least`` only lines of so many pieces: the sparse graph of the queries whose
+    output is all pairs of nodes (closure, blast radii, betweenness) or whose rounds
+    are as many as the longest chain is long (layers).
+    """
     x = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_linenumber", "l_partkey")
     a, b = x.alias("a"), x.alias("b")
     on = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1) & (F.col("a.l_partkey") != F.col("b.l_partkey"))
     return a.join(b, on).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct()
 
 
-def edges_sql(least: int = 40) -> str:
+def edges_sql(least: int = 0) -> str:
     return f"""
 edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
           ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
@@ -44,11 +53,11 @@ edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a
 
 
 def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The denser graph with every edge turned upwards: no cycles."""
-    return edges(spark, sf_dir, 38).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    """The sparse graph with every edge turned upwards: no cycles."""
+    return edges(spark, sf_dir, SPARSE).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-DAG = edges_sql(38).replace("edges AS", "e0 AS", 1) + ", edges AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e0)"
+DAG = edges_sql(SPARSE).replace("edges AS", "e0 AS", 1) + ", edges AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e0)"
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +103,8 @@ declared AS (SELECT p_partkey AS name, p_name AS label, CASE WHEN p_type LIKE 'E
 
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src (supplier as a file), name (part as a package) of imports from outside."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("name"))
 
 
-IMPORTED = "imported AS (SELECT l_suppkey AS src, l_partkey AS name FROM lineitem WHERE l_quantity >= 49)"
+IMPORTED = "imported AS (SELECT l_suppkey AS src, l_partkey AS name FROM lineitem)"

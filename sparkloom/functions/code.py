@@ -44,6 +44,13 @@ def code_stats(text: Column, lang: Column) -> Column:
     """Struct of lines, code, comment and blank; a block comment is carried from line to line."""
     hashed = lang.isin("python", "ruby", "yaml", "toml", "shell", "bash", "sh") | ((lang == "") & (F.contains(text, F.lit("#!")) | text.rlike(r"\b(def|import|class)\b")))
 
+    # without a block comment lines don't depend on each other
+    lines = F.split(text, "\n")
+    trimmed = F.transform(lines, js_trim)
+    count = lambda x, keep: F.size(F.filter(x, keep))
+    plain = let(trimmed, lambda x: F.struct(F.size(x).alias("lines"), count(x, lambda y: y == "").alias("blank"), count(x, lambda y: y.startswith("//") | (hashed & y.startswith("#"))).alias("comment")))
+    plain = let(plain, lambda r: F.struct(r["lines"], (r["lines"] - r["blank"] - r["comment"]).alias("code"), r["comment"], r["blank"]))
+
     def step(acc: Column, raw: Column) -> Column:
         line = js_trim(raw)
         close, opens = F.contains(line, F.lit("*/")), line.startswith("/*")
@@ -53,14 +60,22 @@ def code_stats(text: Column, lang: Column) -> Column:
         return F.struct(still.alias("open"), one("code"), one("comment"), one("blank"))
 
     start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("code"), F.lit(0).alias("comment"), F.lit(0).alias("blank"))
-    lines = F.split(text, "\n")
-    return F.aggregate(lines, start, step, lambda a: F.struct(F.size(lines).alias("lines"), a["code"], a["comment"], a["blank"]))
+    folded = F.aggregate(lines, start, step, lambda a: F.struct(F.size(lines).alias("lines"), a["code"], a["comment"], a["blank"]))
+    return F.when(F.contains(text, F.lit("/*")), folded).otherwise(plain)
+
+
+def _blanked(text: Column, opens: str, comment: str, rest: str) -> Column:
+    """Every match of ``comment`` with spaces for all but its line breaks; ``rest`` matches what lies between."""
+    pieces = F.regexp_extract_all(text, F.lit(f"{comment}|{rest}"), F.lit(0))
+    blank = F.transform(pieces, lambda p: F.when(p.rlike(f"^(?:{comment})$"), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p))
+    return F.when(F.contains(text, F.lit(opens)), F.array_join(blank, "")).otherwise(text)
 
 
 def blank_comments(text: Column, lang: Column) -> Column:
-    """The text with comments cut; a block comment over several lines leaves one line break."""
-    clean = F.regexp_replace(F.regexp_replace(text, r"/\*(?:(?!\*/)[^\n])*\*/", " "), r"/\*[\s\S]*?\*/", "\n")
-    return F.when(lang.isin(*HASH_LANGS), F.regexp_replace(clean, r"(?m)^[ \t]*#[^\n]*", "")).otherwise(F.regexp_replace(clean, r"//[^\n]*", ""))
+    """The text with spaces in place of comments: offsets and line numbers stay as they are."""
+    hashed = let(_blanked(text, "/*", r"/\*[\s\S]*?\*/", r"[^/]+|/"), lambda t: _blanked(t, "#", r"(?m)^[ \t]*#[^\n]*", r"[^\n]+|\n"))
+    slashed = let(_blanked(text, "/*", r"/\*[\s\S]*?\*/", r"[^/]+|/"), lambda t: _blanked(t, "//", r"//[^\n]*", r"[^/]+|/"))
+    return F.when(lang.isin(*HASH_LANGS), hashed).otherwise(slashed)
 
 
 def complexity(text: Column, lang: Column) -> Column:

@@ -96,11 +96,11 @@ def worst_by_file(findings: DataFrame) -> DataFrame:
 
 def tabulate(findings: DataFrame) -> DataFrame:
     """Counts by severity, by tool, by category and in all, in one pass."""
-    findings.createOrReplaceTempView("tabulated_findings")
-    return findings.sparkSession.sql("""
-        SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(tool) = 0 THEN 'tool' WHEN grouping(category) = 0 THEN 'category' ELSE 'all' END AS by_,
-               coalesce(severity, tool, category, '') AS value, count(*) AS n
-        FROM tabulated_findings GROUP BY GROUPING SETS ((severity), (tool), (category), ())""")
+    severity, tool, category = F.col("severity"), F.col("tool"), F.col("category")
+    sets = findings.groupingSets([[severity], [tool], [category], []], severity, tool, category)
+    by = F.when(F.grouping("severity") == 0, "severity").when(F.grouping("tool") == 0, "tool").when(F.grouping("category") == 0, "category").otherwise("all")
+    counts = sets.agg(by.alias("by_"), F.count(F.lit(1)).alias("n"))
+    return counts.select("by_", F.coalesce("severity", "tool", "category", F.lit("")).alias("value"), "n")
 
 
 def matching(findings: DataFrame, severity: str | None = None, text: str = "") -> DataFrame:

@@ -7,7 +7,6 @@ round finds nothing new; nothing is gathered on the driver but counts.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,39 +236,40 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, passes: int = 8) -> DataFrame:
-    """repo, node, community: one move phase of modularity gain a repository, in the order of nodes; edges: repo, src, dst.
+    """repo, node, community by modularity gain; edges: repo, src, dst.
 
-    The moves of a phase depend on each other, so a repository is one task; many
-    repositories run side by side.
+    A pass is two half-passes: nodes of one half (by a hash of node and pass) move at
+    once, each to the community among its imports' that gains most over staying (ties:
+    the smaller one), as joins and grouped sums.  A half without neighbours of its own
+    moving can't swap places for ever, and no repository is ever one task's work.
+    The order of moves differs from a node-by-node walk, so communities may too.
     """
-
-    def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        out: dict = {n: [] for n in names}
-        degree = dict.fromkeys(names, 0)
-        for a, b in pdf.sort_values(["src", "dst"])[["src", "dst"]].itertuples(index=False):
-            out[a].append(b)
-            degree[a] += 1
-            degree[b] += 1
-        home, total, twice = {n: n for n in names}, dict(degree), 2 * len(pdf)
-        for _ in range(passes):
-            moved = False
-            for n in names:
-                near: dict = {}
-                for m in out[n]:
-                    near[home[m]] = near.get(home[m], 0) + 1
-                gains = [(w - degree[n] * total[c] / twice, k, c) for k, (c, w) in enumerate(near.items()) if c != home[n]]
-                best = max(gains, key=lambda g: (g[0], -g[1]), default=None)
-                if best and best[0] > 0:
-                    total[home[n]] -= degree[n]
-                    total[best[2]] += degree[n]
-                    home[n] = best[2]
-                    moved = True
-            if not moved:
-                break
-        return pd.DataFrame({"repo": pdf["repo"].iloc[0], "node": names, "community": [home[n] for n in names]})
-
-    return edges.groupBy("repo").applyInPandas(move, "repo string, node long, community long")
+    edges = stage(edges.where("src <> dst"), "communities-edges")
+    both = edges.select("repo", F.col("src").alias("node")).unionByName(edges.select("repo", F.col("dst").alias("node")))
+    degree = both.groupBy("repo", "node").agg(F.count(F.lit(1)).alias("degree"))
+    twice = stage(edges.groupBy("repo").agg((2 * F.count(F.lit(1))).alias("twice")), "communities-repos")
+    home = stage(degree.withColumn("community", F.col("node")), "communities")
+    still = 0
+    for half in range(2 * passes):
+        total = home.groupBy("repo", "community").agg(F.sum("degree").alias("total"))
+        turn = home.where(F.pmod(F.xxhash64("node", F.lit(half // 2)), F.lit(2)) == half % 2)
+        there = home.select("repo", F.col("node").alias("dst"), F.col("community").alias("near"))
+        near = turn.join(edges, [turn["repo"] == edges["repo"], turn["node"] == edges["src"]]).select(turn["repo"], "node", "dst").join(there, ["repo", "dst"])
+        weight = near.groupBy("repo", "node", "near").agg(F.count(F.lit(1)).alias("w"))
+        own = turn.select("repo", "node", F.col("community").alias("near"), F.lit(0).cast("long").alias("w"))
+        weight = weight.unionByName(own).groupBy("repo", "node", "near").agg(F.sum("w").alias("w"))
+        asked = weight.join(turn, ["repo", "node"]).join(total.withColumnRenamed("community", "near"), ["repo", "near"]).join(twice, "repo")
+        stays = F.col("near") == F.col("community")
+        others = F.col("total") - F.when(stays, F.col("degree")).otherwise(0)
+        gain = F.round(F.col("w") - F.col("degree") * others / F.col("twice"), 9)
+        best = asked.groupBy("repo", "node").agg(F.min(F.struct((-gain).alias("loss"), (~stays).alias("moves"), "near"))["near"].alias("best"))
+        moved = home.join(best, ["repo", "node"], "left").select("repo", "node", "degree", F.coalesce("best", "community").alias("community"), (F.coalesce("best", "community") != F.col("community")).alias("moved"))
+        moved = stage(moved, "communities")
+        home = moved.select("repo", "node", "degree", "community")
+        still = still + 1 if moved.where("moved").isEmpty() else 0
+        if still == 2:
+            break
+    return home.select("repo", "node", "community")
 
 
 def neighbours(edges: DataFrame, most: int = 8) -> DataFrame:
@@ -281,6 +281,11 @@ def neighbours(edges: DataFrame, most: int = 8) -> DataFrame:
     return both.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).drop("k")
 
 
+def hundredths(x: Column) -> Column:
+    """Rounded to two digits as binary arithmetic does it, halves upwards."""
+    return F.floor(x * 100 + 0.5).cast("double") / 100
+
+
 def health(facts: DataFrame, rank: DataFrame, cyclic: DataFrame) -> DataFrame:
     """node, risk and what it is made of; cyclic: nodes on a cycle."""
     top = rank.agg(F.greatest(F.max("rank"), F.lit(1e-9)).alias("top"))
@@ -288,4 +293,4 @@ def health(facts: DataFrame, rank: DataFrame, cyclic: DataFrame) -> DataFrame:
     cx, centrality = F.greatest("complexity", F.lit(1)), F.col("rank") / F.col("top")
     raw = 34 * centrality + 26 * F.least(cx / 28, F.lit(1.0)) + 20 * F.coalesce("c", F.lit(0)) + 12 * F.least(F.col("loc") / 900, F.lit(1.0)) + 8 * instability()
     risk = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(raw + 0.5))).cast("long")
-    return f.select("node", risk.alias("risk"), F.round(centrality, 2).alias("centrality"), F.round(instability(), 2).alias("instability"), cx.alias("complexity"), "loc", "fan_in", "fan_out", F.col("c").isNotNull().alias("in_cycle"))
+    return f.select("node", risk.alias("risk"), hundredths(centrality).alias("centrality"), hundredths(instability()).alias("instability"), cx.alias("complexity"), "loc", "fan_in", "fan_out", F.col("c").isNotNull().alias("in_cycle"))

@@ -33,10 +33,10 @@ def authors(commits: DataFrame) -> DataFrame:
 def pairs(commits: DataFrame) -> DataFrame:
     """a, b of all files changed together, once a commit; commits of 2 to MAX_FILES files.
 
-    A commit's pairs come from its own, bounded list.
+    Commits are counted first, so lists are only gathered for those that have a bounded one.
     """
-    lists = commits.groupBy("commit").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("path")).alias("p"))
-    lists = lists.where(F.col("n").between(2, MAX_FILES))
+    fit = commits.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, MAX_FILES)).select("commit")
+    lists = commits.join(fit, "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("p"))
     at = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return lists.select("commit", F.explode(at).alias("x")).select("commit", "x.a", "x.b")
 

@@ -1,10 +1,12 @@
-"""Search over documents (path, text): an index of terms, and three rankers.
+"""Search over documents (path, text): an index of terms, rankers of paths, texts and symbols, and marks.
 
-Filters and terms are parameters; there is no query language here.
+A query is a structure of its parts; there is no query language here.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,52 +15,171 @@ from sparkloom.functions import paths as P
 from sparkloom.storage import stage
 
 
+@dataclass(frozen=True)
+class Query:
+    """What is asked for, in lower case; all parts must be met.
+
+    terms match loosely by path (a subsequence will do), phrases and texts literally,
+    pattern is a regular expression, negatives must not occur in a symbol's name, kinds
+    name the kinds of symbols.
+    """
+
+    terms: tuple[str, ...] = ()
+    phrases: tuple[str, ...] = ()
+    pattern: str = ""
+    negatives: tuple[str, ...] = ()
+    kinds: tuple[str, ...] = ()
+
+    @property
+    def empty(self) -> bool:
+        return not (self.terms or self.phrases or self.pattern)
+
+
+#: Weights of a term in a name, a path, a symbol and a text, and of phrases in paths and texts.  Fixed values.
+IN_NAME, IN_PATH, IN_SYMBOL, IN_TEXT, PHRASE_IN_PATH, PHRASE_IN_TEXT = 150.0, 70.0, 130.0, 60.0, 90.0, 120.0
+#: Scores of a whole name, a whole symbol, a pattern by path and by text, and of a symbol without terms.  Fixed values.
+WHOLE_NAME, WHOLE_SYMBOL, PATTERN_IN_PATH, PATTERN_IN_TEXT, ANY_SYMBOL = 320.0, 240.0, 80.0, 100.0, 60.0
+#: Points of a matched letter, of each further one in a run, and of one at the start, after a mark, at a capital.  Fixed values.
+LETTER, RUN, AT_START, AFTER_MARK, CAPITAL = 10.0, 6.0, 14.0, 12.0, 10.0
+
+
 def occurrence(hay: Column, needle: str, weight: float) -> Column:
-    """Score of the first occurrence: earlier is better, best at the start, after a separator or alone."""
+    """Score of the first occurrence, zero if there is none: earlier counts more, so does the start, a word's start, and the whole."""
     at = F.instr(hay, needle) - 1
-    before = F.substring(hay, at, F.lit(1))
-    bonus = F.when(at == 0, 0.6 * weight).when(before.rlike(r"[/._\-\s]"), 0.35 * weight).otherwise(0.0)
-    whole = F.when(hay == needle, 1.2 * weight).otherwise(0.0)
-    return F.when(at < 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), weight - at) + bonus + whole)
+    bonus = F.when(at == 0, 0.6 * weight).when(F.substring(hay, at, F.lit(1)).rlike("[^a-z0-9]"), 0.35 * weight).otherwise(0.0)
+    return F.when(at < 0, F.lit(0.0)).otherwise(weight - at + bonus + F.when(hay == needle, 1.2 * weight).otherwise(0.0))
 
 
 def fuzzy(hay: Column, needle: str) -> Column:
-    """Score of the needle as a subsequence: runs, word starts and capitals count more; null if it is none."""
+    """Score of the needle as a subsequence of the name, letters taken as early as they come; zero if it is none.
+
+    Runs, word starts and capitals count more, late and long names less, and a match at least one.
+    """
     low = F.lower(hay)
 
     def step(acc: Column, c: Column) -> Column:
         at = F.call_function("locate", c, low, acc["at"] + 1)
-        streak = F.when(at == acc["at"] + 1, acc["streak"] + 1).otherwise(0)
-        char, before = F.substring(hay, at, F.lit(1)), F.substring(hay, at - 1, F.lit(1))
-        bonus = F.when((at == 1) | before.rlike(r"[/._\- ]"), 8).otherwise(0) + F.when(char.rlike("[A-Z]") & before.rlike("[a-z]"), 5).otherwise(0)
-        score = acc["score"] + 1 + 3 * streak + bonus
-        gone = (at == 0) | ~acc["ok"]
-        return F.struct(at.alias("at"), F.when(gone, acc["score"]).otherwise(score).alias("score"), streak.alias("streak"), (~gone).alias("ok"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("score"), F.lit(0).alias("streak"), F.lit(True).alias("ok"))
+        run = F.when((acc["first"] > 0) & (at == acc["at"] + 1), acc["run"] + 1).otherwise(0)
+        before = F.substring(hay, at - 1, F.lit(1))
+        bonus = (
+            F.when(at == 1, AT_START).when(F.lower(before).rlike("[^a-z0-9]"), AFTER_MARK)
+            .when(before.rlike("[a-z0-9]") & F.substring(hay, at, F.lit(1)).rlike("[A-Z]"), CAPITAL).otherwise(0.0)
+        )
+        lost = (at == 0) | acc["lost"]
+        first = F.when(acc["first"] > 0, acc["first"]).otherwise(at)
+        return F.struct(at.alias("at"), first.alias("first"), run.alias("run"), (acc["score"] + LETTER + RUN * run + bonus).alias("score"), lost.alias("lost"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("run"), F.lit(0.0).alias("score"), F.lit(False).alias("lost"))
     chars = F.array(*map(F.lit, needle.lower()))
-    return F.aggregate(chars, start, step, lambda a: F.when(a["ok"], a["score"]))
+    longer = F.greatest(F.length(hay) - len(needle), F.lit(0)) * 0.4
+    return F.aggregate(chars, start, step, lambda a: F.when(a["lost"], F.lit(0.0)).otherwise(F.greatest(F.lit(1.0), a["score"] - (a["first"] - 1) - longer)))
+
+
+def _first_hit(*scores: Column) -> Column:
+    """The first score that is not zero, else zero."""
+    return F.coalesce(*(F.when(x != 0, x) for x in scores), F.lit(0.0))
+
+
+def path_score(path: Column, query: Query) -> Column:
+    """How well a path answers; zero if any part of the query is not met.
+
+    A term counts by the name, else by the path, else as a subsequence of either;
+    deeper paths count a little less.
+    """
+    if query.empty:
+        return F.lit(1.0)
+    name, low_name, low = P.name_of(path), F.lower(P.name_of(path)), F.lower(path)
+    parts = [occurrence(low, x, PHRASE_IN_PATH) for x in query.phrases]
+    met = [F.contains(low, F.lit(x)) for x in query.phrases]
+    if query.pattern:
+        parts.append(F.lit(PATTERN_IN_PATH))
+        met.append(path.rlike(query.pattern))
+    for t in query.terms:
+        own = F.when(low_name == t, F.lit(WHOLE_NAME)).otherwise(
+            _first_hit(occurrence(low_name, t, IN_NAME), occurrence(low, t, IN_PATH), fuzzy(name, t), fuzzy(path, t))
+        )
+        parts.append(own)
+        met.append(own != 0)
+    total = sum(parts[1:], parts[0])
+    if query.terms:
+        adjusted = total - 0.5 * F.size(F.split(path, "/"))
+        total = F.when(total == 0, F.lit(0.0)).when(adjusted > 0, adjusted).otherwise(0.5)
+    else:
+        total = F.when(total == 0, F.lit(1.0)).otherwise(total)
+    every = met[0]
+    for m in met[1:]:
+        every = every & m
+    return F.when(every, total).otherwise(0.0)
+
+
+def content_score(text: Column, query: Query) -> Column:
+    """How well a text answers; zero if any part does not occur.  Negatives say nothing about texts."""
+    if query.empty:
+        return F.lit(0.0)
+    low = F.lower(text)
+    parts = [occurrence(low, x, PHRASE_IN_TEXT) for x in query.phrases]
+    met = [F.contains(low, F.lit(x)) for x in (*query.phrases, *query.terms)]
+    if query.pattern:
+        parts.append(F.lit(PATTERN_IN_TEXT))
+        met.append(text.rlike(query.pattern))
+    parts += [occurrence(low, x, IN_TEXT) for x in query.terms]
+    every = met[0]
+    for m in met[1:]:
+        every = every & m
+    return F.when(every & (text != ""), sum(parts[1:], parts[0])).otherwise(0.0)
+
+
+def symbol_score(name: Column, kind: Column, query: Query) -> Column:
+    """How well a symbol answers by its name and kind; zero if any part is not met."""
+    low, low_kind = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(kind, F.lit("")))
+    ok = F.lit(True)
+    if query.kinds:
+        hit = F.lit(False)
+        for k in query.kinds:
+            hit = hit | F.contains(low_kind, F.lit(k)) | low.endswith(k)
+        ok = ok & hit
+    if query.pattern:
+        ok = ok & F.coalesce(name, F.lit("")).rlike(query.pattern)
+    for x in query.negatives:
+        ok = ok & ~F.contains(low, F.lit(x))
+    for x in query.phrases:
+        ok = ok & F.contains(low, F.lit(x))
+    if not query.terms:
+        return F.when(ok & F.lit(bool(query.pattern or query.phrases or query.kinds)), F.lit(ANY_SYMBOL)).otherwise(0.0)
+    total = F.lit(0.0)
+    for t in query.terms:
+        own = F.when(low == t, F.lit(WHOLE_SYMBOL)).otherwise(_first_hit(occurrence(low, t, IN_SYMBOL), fuzzy(F.coalesce(name, F.lit("")), t)))
+        ok, total = ok & (own != 0), total + own
+    return F.when(ok, total).otherwise(0.0)
 
 
-def path_score(path: Column, terms: list[str]) -> Column:
-    """Every term counts by name or path, deeper paths a little less."""
-    name, low = F.lower(P.name_of(path)), F.lower(path)
-    total = F.lit(0.0)
-    for t in terms:
-        t = t.lower()
-        total = total + F.when(name == t, F.lit(320.0)).when(F.contains(name, F.lit(t)), occurrence(name, t, 150.0)).when(F.contains(low, F.lit(t)), occurrence(low, t, 70.0)).otherwise(0.0)
-    return F.greatest(F.lit(0.5), total - 0.5 * P.depth_of(path))
+#: Most ranges that are marked in a text, as many as the views show.
+MAX_RANGES = 400
+
+
+def merge_ranges(ranges: Column) -> Column:
+    """Ranges (start, stop) in order, touching and overlapping ones joined."""
 
+    def step(acc: Column, r: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], r["stop"]).alias("stop"))))
+        return F.when((F.size(acc) > 0) & (r["start"] <= F.try_element_at(acc, F.lit(-1))["stop"]), joined).otherwise(F.concat(acc, F.array(r)))
 
-def content_score(text: Column, phrases: list[str], terms: list[str]) -> Column:
-    """All must occur, each scores by its first place; null if one is missing."""
+    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<start:int,stop:int>>"), step)
+
+
+def highlight(text: Column, query: Query) -> Column:
+    """Ranges of the text that phrases and terms of the query match, joined where they touch."""
     low = F.lower(text)
-    total, every = F.lit(0.0), F.lit(True)
-    for words, weight in ((phrases, 120.0), (terms, 100.0)):
-        for w in words:
-            at = F.instr(low, w.lower())
-            every, total = every & (at > 0), total + F.greatest(F.lit(1.0), weight - at / 100.0)
-    return F.when(every, total)
+
+    def places(word: str) -> Column:
+        cut = F.split(low, F.concat(F.lit(r"\Q"), F.lit(word.replace(r"\E", "")), F.lit(r"\E")))
+        ends = F.transform(F.sequence(F.lit(1), F.size(cut) - 1), lambda k: F.aggregate(F.slice(cut, F.lit(1), k), F.lit(0), lambda n, x: n + F.length(x)) + (k - 1) * len(word))
+        return F.when(F.size(cut) > 1, F.transform(ends, lambda e: F.struct(e.alias("start"), (e + len(word)).alias("stop")))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+
+    words = [w for w in (*query.phrases, *query.terms) if w]
+    found = F.flatten(F.array(*map(places, words))) if words else F.array().cast("array<struct<start:int,stop:int>>")
+    return merge_ranges(F.slice(found, 1, MAX_RANGES))
 
 
 def index(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,20 +190,26 @@ def index(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def tfidf(documents: DataFrame, terms: list[str], most: int = 10) -> DataFrame:
-    """path, score: sum of tf over root length times ln(1 + N / df), scaled by the share of terms found."""
-    postings, sizes = index(documents)
-    n = documents.agg(F.count(F.lit(1)).alias("n"))
-    asked = documents.sparkSession.createDataFrame([(t.lower(), terms.count(t)) for t in dict.fromkeys(terms)], "token string, times long")
-    hits = stage(postings.join(F.broadcast(asked), "token"), "hits")  # the query's terms: a handful of rows
-    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    part = F.col("times") * F.col("tf") / F.sqrt("n_tokens") * F.ln(1 + F.col("n") / F.col("df"))
-    scored = hits.join(df, "token").join(sizes, "path").join(F.broadcast(n)).groupBy("path").agg(F.sum(part).alias("sum"), F.sum("times").alias("found"))
-    return scored.select("path", F.round(F.col("sum") * F.col("found") / len(terms), 6).alias("score")).orderBy(F.desc("score"), "path").limit(most)
-
-
-def strict(documents: DataFrame, gate: Column, terms: list[str], phrases: list[str], most: int = 50) -> DataFrame:
-    """Documents through the gate whose text or path matches, by the sum of both scores."""
-    path, content = path_score(F.col("path"), terms), F.coalesce(content_score(F.col("text"), phrases, terms), F.lit(0.0))
+    """path, score: sum of tf over root length times ln(1 + N / df), scaled by the share of terms found.
+
+    Only the asked terms' counts leave a document's row; no index is written.
+    """
+    asked = [t.lower() for t in dict.fromkeys(terms)]
+    words = C.let(C.tokens(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), F.array(*(F.size(F.filter(w, lambda x: x == t)).cast("long") for t in asked)).alias("tf")))  # noqa: B023
+    rows = stage(documents.select("path", words.alias("w")).select("path", F.col("w.n").alias("n_tokens"), "w.tf"), "hits")
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(asked))))
+    sums, found = F.lit(0.0), F.lit(0)
+    for k, t in enumerate(asked):
+        hit = F.col("tf")[k] > 0
+        sums = sums + F.when(hit, terms.count(t) * F.col("tf")[k] / F.sqrt("n_tokens") * F.ln(1 + F.try_divide(F.col("n"), F.col(f"df{k}")))).otherwise(0.0)
+        found = found + F.when(hit, terms.count(t)).otherwise(0)
+    scored = rows.join(F.broadcast(facts)).where(F.exists("tf", lambda x: x > 0))
+    return scored.select("path", F.round(sums * found / len(terms), 6).alias("score")).orderBy(F.desc("score"), "path").limit(most)
+
+
+def strict(documents: DataFrame, gate: Column, query: Query, most: int = 50) -> DataFrame:
+    """Documents through the gate whose text or path answers, by the sum of both scores."""
+    path, content = path_score(F.col("path"), query), content_score(F.col("text"), query)
     out = documents.where(gate).select("path", F.round(path, 4).alias("path_score"), F.round(content, 4).alias("content_score"))
-    out = out.where((F.col("path_score") > 0.5) | (F.col("content_score") > 0))
+    out = out.where((F.col("path_score") > 0) | (F.col("content_score") > 0))
     return out.withColumn("score", F.round(F.col("path_score") + F.col("content_score"), 4)).orderBy(F.desc("score"), "path").limit(most)

@@ -11,7 +11,7 @@ from sparkloom.plans import views as V
 from sparkloom.storage import stage
 
 
-def _facts(spark: SparkSession, sf: str, least: int = 40) -> DataFrame:
+def _facts(spark: SparkSession, sf: str, least: int = 0) -> DataFrame:
     return G.degrees(B.nodes(spark, sf), B.edges(spark, sf, least))
 
 
@@ -48,7 +48,7 @@ def agg_edge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 def join_import_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Imports resolved to the first existing candidate path."""
-    li = B.table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("spec")).distinct()
+    li = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("spec")).distinct()
     files = B.table(spark, sf, "part").where("p_size % 3 <> 0").select(F.concat(F.lit("lib/"), F.col("p_partkey").cast("string"), F.element_at(F.array(F.lit(".js"), F.lit(".ts"), F.lit("/index.js")), (F.col("p_size") % 3 + 1).cast("int"))).alias("path"))
     return V.resolve(li, F.col("spec").cast("string"), files, ("", ".js", ".ts", "/index.js"))
 
@@ -64,19 +64,19 @@ def agg_unresolved_top(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g_closure(spark: SparkSession, sf: str) -> DataFrame:
-    return G.closure(B.edges(spark, sf))
+    return G.closure(B.edges(spark, sf, B.SPARSE))
 
 
 def g_scc(spark: SparkSession, sf: str) -> DataFrame:
-    return G.components(B.nodes(spark, sf), B.edges(spark, sf, 38))
+    return G.components(B.nodes(spark, sf), B.edges(spark, sf))
 
 
 def top_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return G.cycles(B.nodes(spark, sf), B.edges(spark, sf, 38)).orderBy(F.desc("size"), "component").limit(10)
+    return G.cycles(B.nodes(spark, sf), B.edges(spark, sf)).orderBy(F.desc("size"), "component").limit(10)
 
 
 def g_blast_all(spark: SparkSession, sf: str) -> DataFrame:
-    return G.blast(B.nodes(spark, sf), B.edges(spark, sf))
+    return G.blast(B.nodes(spark, sf), B.edges(spark, sf, B.SPARSE))
 
 
 def g_blast_one(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,23 +93,23 @@ def g_blast_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g_test_reach(spark: SparkSession, sf: str) -> DataFrame:
-    return V.tested(B.nodes(spark, sf), stage(B.edges(spark, sf, 38), "edges"))
+    return V.tested(B.nodes(spark, sf), stage(B.edges(spark, sf), "edges"))
 
 
 def agg_coverage(spark: SparkSession, sf: str) -> DataFrame:
     nodes = B.nodes(spark, sf)
-    tested = V.tested(nodes, stage(B.edges(spark, sf, 38), "edges")).agg(F.count(F.lit(1)).alias("tested"))
+    tested = V.tested(nodes, stage(B.edges(spark, sf), "edges")).agg(F.count(F.lit(1)).alias("tested"))
     total = nodes.where("not is_test").agg(F.count(F.lit(1)).alias("total"))
     return tested.crossJoin(total).withColumn("ratio", F.when(F.col("total") == 0, 100).otherwise(F.floor(100.0 * F.col("tested") / F.col("total") + 0.5)).cast("long"))
 
 
 def join_untested_hubs(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = B.nodes(spark, sf), stage(B.edges(spark, sf, 38), "edges")
+    nodes, edges = B.nodes(spark, sf), stage(B.edges(spark, sf), "edges")
     return G.hubs(G.degrees(nodes, edges)).where("not is_test").join(V.tested(nodes, edges), "node", "left_anti").select("node", "fan_in")
 
 
 def g_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return G.pagerank(B.nodes(spark, sf), B.edges(spark, sf, 38)).select("node", F.round("rank", 9).alias("rank"))
+    return G.pagerank(B.nodes(spark, sf), B.edges(spark, sf)).select("node", F.round("rank", 9).alias("rank"))
 
 
 def win_global_norm(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,12 +125,12 @@ def g_layers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g_betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return G.betweenness(B.nodes(spark, sf), B.edges(spark, sf)).select("node", F.round("between", 9).alias("between"))
+    return G.betweenness(B.nodes(spark, sf), B.edges(spark, sf, B.SPARSE)).select("node", F.round("between", 9).alias("between"))
 
 
 def g_communities(spark: SparkSession, sf: str) -> DataFrame:
     """Every brand is a repository: communities inside each."""
-    edges, nodes = B.edges(spark, sf, 20), B.nodes(spark, sf).select("node", "folder")
+    edges, nodes = B.edges(spark, sf), B.nodes(spark, sf).select("node", "folder")
     a, b = nodes.withColumnRenamed("node", "src"), nodes.select(F.col("node").alias("dst"), F.col("folder").alias("other"))
     return G.communities(edges.join(a, "src").join(b, "dst").where("folder = other").select(F.col("folder").alias("repo"), "src", "dst"))
 
@@ -142,7 +142,7 @@ def g_dep_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g_neighbors(spark: SparkSession, sf: str) -> DataFrame:
-    return G.neighbours(B.edges(spark, sf, 30))
+    return G.neighbours(B.edges(spark, sf))
 
 
 def win_topk_group(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,7 +183,7 @@ def v_tour(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_inspector(spark: SparkSession, sf: str) -> DataFrame:
-    return V.inspector(_facts(spark, sf, 30), B.edges(spark, sf, 30))
+    return V.inspector(_facts(spark, sf), B.edges(spark, sf))
 
 
 def v_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,7 +214,7 @@ fi AS (SELECT dst AS node, count(*) AS n FROM edges WHERE src IN (SELECT node FR
 fo AS (SELECT src AS node, count(*) AS n FROM edges WHERE src IN (SELECT node FROM nodes) AND dst IN (SELECT node FROM nodes) GROUP BY 1),
 facts AS (SELECT nodes.*, coalesce(fi.n, 0) AS fan_in, coalesce(fo.n, 0) AS fan_out FROM nodes LEFT JOIN fi USING (node) LEFT JOIN fo USING (node))
 """
-_G = lambda least=40: "WITH RECURSIVE " + B.edges_sql(least) + "," + B.NODES + "," + _FACTS
+_G = lambda least=0: "WITH RECURSIVE " + B.edges_sql(least) + "," + B.NODES + "," + _FACTS
 _INST = "CASE WHEN fan_in + fan_out = 0 THEN 0.0 ELSE fan_out / (fan_in + fan_out) END"
 _CLOSURE = ", clo AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM clo c JOIN edges e ON c.dst = e.src)"
 _SCC = ", comp AS (SELECT n.node, coalesce(least(n.node, min(c.dst)), n.node) AS component FROM nodes n LEFT JOIN (SELECT a.src, a.dst FROM clo a JOIN clo b ON a.src = b.dst AND a.dst = b.src) c ON c.src = n.node GROUP BY n.node)"
@@ -227,9 +227,9 @@ _RANK = """, deg AS (SELECT src, count(*) AS o FROM edges GROUP BY 1), ranks AS
         WHERE it.i < 24 GROUP BY n.node), rank_ AS (SELECT node, r FROM ranks WHERE i = 24)"""
 _HEALTH = f""", cyc AS (SELECT DISTINCT node FROM comp WHERE component IN (SELECT component FROM comp GROUP BY 1 HAVING count(*) > 1)),
 health AS (SELECT node, greatest(0, least(100, floor(34 * (r / m) + 26 * least(greatest(complexity, 1) / 28, 1.0) + 20 * (node IN (SELECT node FROM cyc))::INTEGER + 12 * least(loc / 900, 1.0) + 8 * ({_INST}) + 0.5)))::BIGINT AS risk,
-        round(r / m, 2) AS centrality, round({_INST}, 2) AS instability, greatest(complexity, 1) AS complexity, loc, fan_in, fan_out, node IN (SELECT node FROM cyc) AS in_cycle
+        floor((r / m) * 100 + 0.5)::DOUBLE / 100 AS centrality, floor(({_INST}) * 100 + 0.5)::DOUBLE / 100 AS instability, greatest(complexity, 1) AS complexity, loc, fan_in, fan_out, node IN (SELECT node FROM cyc) AS in_cycle
         FROM facts JOIN rank_ USING (node), (SELECT greatest(max(r), 1e-9) AS m FROM rank_))"""
-_RESOLVE = """WITH imp AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS spec FROM lineitem WHERE l_quantity >= 45),
+_RESOLVE = """WITH imp AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS spec FROM lineitem),
 fil AS (SELECT 'lib/' || p_partkey || ['.js', '.ts', '/index.js'][p_size % 3 + 1] AS path FROM part WHERE p_size % 3 <> 0),
 done AS (SELECT src, spec, arg_min(f.path, k) AS path FROM (SELECT src, spec, unnest(['', '.js', '.ts', '/index.js']) AS x, unnest([0, 1, 2, 3]) AS k FROM imp) c LEFT JOIN fil f ON f.path = 'lib/' || spec || x GROUP BY 1, 2)
 """
@@ -244,20 +244,20 @@ ORACLES = {
     "join_import_resolve": _RESOLVE + "SELECT * FROM done",
     "agg_import_tally": _RESOLVE + "SELECT count(*) AS total, count(path) AS internal, count(*) - count(path) AS unresolved, floor(100.0 * count(path) / count(*) + 0.5)::BIGINT AS confidence FROM done",
     "agg_unresolved_top": _RESOLVE + "SELECT spec, count(*) AS n, min(src) AS first_src FROM done WHERE path IS NULL GROUP BY 1 ORDER BY n DESC, spec LIMIT 12",
-    "g_closure": _G() + _CLOSURE + "SELECT * FROM clo",
-    "g_scc": _G(38) + _CLOSURE + _SCC + "SELECT node, component FROM comp",
-    "top_cycles": _G(38) + _CLOSURE + _SCC + "SELECT component, count(*) AS size FROM comp GROUP BY 1 HAVING count(*) > 1 ORDER BY size DESC, component LIMIT 10",
-    "g_blast_all": _G() + _CLOSURE + _SCC + "SELECT n.node, count(DISTINCT c.src) AS blast FROM comp n LEFT JOIN (SELECT c.src, c.dst FROM clo c JOIN comp a ON a.node = c.src JOIN comp b ON b.node = c.dst WHERE a.component <> b.component) c ON c.dst = n.node GROUP BY 1",
+    "g_closure": _G(B.SPARSE) + _CLOSURE + "SELECT * FROM clo",
+    "g_scc": _G() + _CLOSURE + _SCC + "SELECT node, component FROM comp",
+    "top_cycles": _G() + _CLOSURE + _SCC + "SELECT component, count(*) AS size FROM comp GROUP BY 1 HAVING count(*) > 1 ORDER BY size DESC, component LIMIT 10",
+    "g_blast_all": _G(B.SPARSE) + _CLOSURE + _SCC + "SELECT n.node, count(DISTINCT c.src) AS blast FROM comp n LEFT JOIN (SELECT c.src, c.dst FROM clo c JOIN comp a ON a.node = c.src JOIN comp b ON b.node = c.dst WHERE a.component <> b.component) c ON c.dst = n.node GROUP BY 1",
     "g_blast_one": _G() + ", start AS (SELECT node FROM facts WHERE fan_in >= 2 ORDER BY fan_in DESC, node LIMIT 1)" + _REACH.format(to="src", frm="dst", most=60) + "SELECT * FROM found",
     "g_blast_diff": _G() + ", start AS (SELECT node FROM nodes WHERE complexity = 50)" + _REACH.format(to="src", frm="dst", most=60) + "SELECT * FROM found WHERE depth > 0",
-    "g_test_reach": _G(38) + _TESTED + "SELECT node FROM tst",
-    "agg_coverage": _G(38) + _TESTED + "SELECT (SELECT count(*) FROM tst) AS tested, count(*) AS total, floor(100.0 * (SELECT count(*) FROM tst) / count(*) + 0.5)::BIGINT AS ratio FROM nodes WHERE NOT is_test",
-    "join_untested_hubs": _G(38) + _TESTED + "SELECT node, fan_in FROM facts WHERE fan_in >= 2 AND NOT is_test AND node NOT IN (SELECT node FROM tst)",
-    "g_pagerank": _G(38) + _RANK + "SELECT node, round(r, 9) AS rank FROM rank_",
+    "g_test_reach": _G() + _TESTED + "SELECT node FROM tst",
+    "agg_coverage": _G() + _TESTED + "SELECT (SELECT count(*) FROM tst) AS tested, count(*) AS total, floor(100.0 * (SELECT count(*) FROM tst) / count(*) + 0.5)::BIGINT AS ratio FROM nodes WHERE NOT is_test",
+    "join_untested_hubs": _G() + _TESTED + "SELECT node, fan_in FROM facts WHERE fan_in >= 2 AND NOT is_test AND node NOT IN (SELECT node FROM tst)",
+    "g_pagerank": _G() + _RANK + "SELECT node, round(r, 9) AS rank FROM rank_",
     "win_global_norm": _G() + "SELECT node, round(fan_in / (SELECT greatest(max(fan_in), 1) FROM facts), 6) AS share FROM facts",
     "g_layers": "WITH RECURSIVE " + B.DAG + ", walk AS (SELECT src AS node, 0 AS d FROM edges UNION SELECT dst, d + 1 FROM walk JOIN edges ON src = node) SELECT node, max(d)::INTEGER AS layer FROM walk GROUP BY 1",
     "g_dep_tree": _G() + ", b AS (SELECT node AS key, node, 0 AS depth FROM nodes WHERE is_entry UNION SELECT key, dst, depth + 1 FROM b JOIN edges ON src = node WHERE depth < 3) SELECT key, node, min(depth)::INTEGER AS depth FROM b GROUP BY 1, 2",
-    "g_neighbors": _G(30) + "SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other) AS k FROM (SELECT dst AS node, 'importer' AS side, src AS other FROM edges UNION ALL SELECT src, 'import', dst FROM edges)) WHERE k <= 8",
+    "g_neighbors": _G() + "SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other) AS k FROM (SELECT dst AS node, 'importer' AS side, src AS other FROM edges UNION ALL SELECT src, 'import', dst FROM edges)) WHERE k <= 8",
     "win_topk_group": _G() + "SELECT folder, node, fan_in, k::INTEGER AS k FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY fan_in DESC, node) AS k FROM facts) WHERE k <= 3",
     "agg_folder_edges": _G() + "SELECT a.folder AS src_folder, b.folder AS dst_folder, count(*) AS n FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.folder <> b.folder GROUP BY 1, 2",
     "agg_coupling_matrix": _G() + """, fe AS (SELECT a.folder AS src_folder, b.folder AS dst_folder, count(*) AS n FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.folder <> b.folder GROUP BY 1, 2),
@@ -282,7 +282,7 @@ ORACLES = {
         UNION ALL SELECT * FROM (SELECT node, 3 FROM facts WHERE fan_out = 0 AND fan_in >= 2 ORDER BY fan_in DESC, node LIMIT 1)
         UNION ALL SELECT * FROM (SELECT node, 4 FROM facts WHERE fan_in = 0 AND NOT is_entry AND NOT is_test ORDER BY node LIMIT 1))
         SELECT node, min(slot)::INTEGER AS slot FROM c GROUP BY 1""",
-    "v_inspector": _G(30) + """, n8 AS (SELECT node, side, string_agg(other::VARCHAR, ',' ORDER BY other) AS l FROM (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other) AS k FROM (SELECT dst AS node, 'importer' AS side, src AS other FROM edges UNION ALL SELECT src, 'import', dst FROM edges)) WHERE k <= 12 GROUP BY 1, 2)
+    "v_inspector": _G() + """, n8 AS (SELECT node, side, string_agg(other::VARCHAR, ',' ORDER BY other) AS l FROM (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other) AS k FROM (SELECT dst AS node, 'importer' AS side, src AS other FROM edges UNION ALL SELECT src, 'import', dst FROM edges)) WHERE k <= 12 GROUP BY 1, 2)
         SELECT f.node, f.complexity, f.loc, f.fan_in, f.fan_out, coalesce(a.l, '') AS importers, coalesce(b.l, '') AS imports FROM facts f LEFT JOIN n8 a ON a.node = f.node AND a.side = 'importer' LEFT JOIN n8 b ON b.node = f.node AND b.side = 'import'""",
     "v_atlas": _G() + """SELECT 'folder' AS kind, folder AS title, count(*) AS n FROM facts GROUP BY 2 UNION ALL SELECT * FROM (SELECT 'file', node::VARCHAR, fan_in FROM facts ORDER BY fan_in DESC, node LIMIT 200)""",
     "v_risks": _G() + """SELECT * FROM (SELECT 'orphans' AS risk, count(*) AS n FROM facts WHERE fan_in = 0 AND NOT is_entry AND NOT is_test UNION ALL SELECT 'complex', count(*) FROM facts WHERE complexity >= 28

@@ -22,7 +22,7 @@ from sparkloom.storage import stage
 def join_degree(spark: SparkSession, sf: str) -> DataFrame:
     """Edges whose two ends are parts of size 10 or more."""
     big = B.nodes(spark, sf).where("complexity >= 10")
-    return G.within(big, B.edges(spark, sf, 30))
+    return G.within(big, B.edges(spark, sf))
 
 
 def join_dir_fanout(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,14 +56,14 @@ def join_symbol_claim(spark: SparkSession, sf: str) -> DataFrame:
 
 def join_layer_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Edges between the 60 most imported nodes."""
-    nodes, edges = B.nodes(spark, sf), stage(B.edges(spark, sf, 30), "edges")
+    nodes, edges = B.nodes(spark, sf), stage(B.edges(spark, sf), "edges")
     shown = G.degrees(nodes, edges).orderBy(F.desc("fan_in"), "node").limit(60)
     return G.within(shown, edges)
 
 
 def agg_folder_crossings(spark: SparkSession, sf: str) -> DataFrame:
     """What one folder imports from and is imported by, by the other folder."""
-    e = V.folder_edges(B.nodes(spark, sf), B.edges(spark, sf, 30))
+    e = V.folder_edges(B.nodes(spark, sf), B.edges(spark, sf))
     out = e.where("src_folder = 'Brand#5'").select(F.lit("out").alias("way"), F.col("dst_folder").alias("other"), "n")
     return out.unionByName(e.where("dst_folder = 'Brand#5'").select(F.lit("in").alias("way"), F.col("src_folder").alias("other"), "n"))
 
@@ -79,7 +79,7 @@ def agg_tech_debt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agg_entry_reach(spark: SparkSession, sf: str) -> DataFrame:
-    return G.degrees(B.nodes(spark, sf), B.edges(spark, sf, 30)).where("is_entry").select("node", F.col("fan_out").alias("reaches"))
+    return G.degrees(B.nodes(spark, sf), B.edges(spark, sf)).where("is_entry").select("node", F.col("fan_out").alias("reaches"))
 
 
 def agg_folder_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +134,7 @@ def v_security_grades(spark: SparkSession, sf: str) -> DataFrame:
 
 def agg_cluster_tally(spark: SparkSession, sf: str) -> DataFrame:
     """Members of communities by brand, the three most frequent sizes each."""
-    edges = B.edges(spark, sf, 30).withColumn("repo", (F.col("src") % 16).cast("string")).select("repo", "src", "dst")
+    edges = B.edges(spark, sf).withColumn("repo", (F.col("src") % 16).cast("string")).select("repo", "src", "dst")
     c = G.communities(edges).join(B.nodes(spark, sf).select("node", "folder"), "node")
     tally = c.groupBy("repo", "community", "folder").agg(F.count(F.lit(1)).alias("n"))
     top = Window.partitionBy("repo", "community").orderBy(F.desc("n"), "folder")
@@ -157,7 +157,7 @@ QUERIES = {f.__name__: f for f in (
     agg_folder_files, win_line_number, uniq_by, atlas_filter, top_stats, v_explain_folder, v_lineage, v_security_grades, agg_cluster_tally, scan_cache, sink_docs,
 )}
 
-_E30 = "WITH " + B.edges_sql(30) + "," + B.NODES
+_E30 = "WITH " + B.edges_sql() + "," + B.NODES
 _FE = _E30 + ", fe AS (SELECT a.folder AS s, b.folder AS d, count(*) AS n FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.folder <> b.folder GROUP BY 1, 2)"
 ORACLES = {
     "join_degree": _E30 + "SELECT src, dst FROM edges WHERE src IN (SELECT node FROM nodes WHERE complexity >= 10) AND dst IN (SELECT node FROM nodes WHERE complexity >= 10)",

@@ -21,58 +21,97 @@ def q_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     return S.tfidf(B.files(spark, sf).select("path", "text"), TERMS)
 
 
+PATHS = S.Query(terms=("doc_1", "src1"))
+TEXTS = S.Query(terms=("and", "that"), phrases=(" the ",))
+BOTH = S.Query(terms=("s",))
+SYMBOLS = S.Query(terms=("ring",), negatives=("red",), kinds=("economy", "small"))
+
+
 def q_score_path(spark: SparkSession, sf: str) -> DataFrame:
-    return B.files(spark, sf).select("path", F.round(S.path_score(F.col("path"), ["doc_1", "src1"]), 4).alias("score"))
+    return B.files(spark, sf).select("path", F.round(S.path_score(F.col("path"), PATHS), 4).alias("score"))
 
 
 def q_score_content(spark: SparkSession, sf: str) -> DataFrame:
-    out = B.files(spark, sf).select("path", F.round(S.content_score(F.col("text"), [" the "], ["and", "that"]), 4).alias("score"))
-    return out.where("score is not null")
+    return B.files(spark, sf).select("path", F.round(S.content_score(F.col("text"), TEXTS), 4).alias("score")).where("score <> 0")
+
+
+def q_score_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as symbols, their type as kind."""
+    return B.table(spark, sf, "part").select("p_partkey", F.round(S.symbol_score(F.col("p_name"), F.col("p_type"), SYMBOLS), 4).alias("score"))
 
 
 def q_strict(spark: SparkSession, sf: str) -> DataFrame:
     gate = P.ext_of(F.col("path")).isin(".js") & ~P.is_test(F.col("path"))
-    return S.strict(B.files(spark, sf), gate, ["that"], [" the "])
+    return S.strict(B.files(spark, sf), gate, BOTH)
 
 
 def q_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return B.table(spark, sf, "part").select("p_partkey", S.fuzzy(F.col("p_name"), "lwt").alias("score")).where("score is not null")
+    return B.table(spark, sf, "part").select("p_partkey", F.round(S.fuzzy(F.initcap("p_name"), "rng"), 4).alias("score"))
 
 
 def q_occurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return B.table(spark, sf, "part").select("p_partkey", F.round(S.occurrence(F.lower("p_name"), "1", 100.0), 4).alias("score"))
+    return B.table(spark, sf, "part").select("p_partkey", F.round(S.occurrence(F.lower("p_name"), "r", 100.0), 4).alias("score"))
+
 
+def highlight(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of every part's name is marked, and where first."""
+    marks = S.highlight(F.col("p_name"), S.Query(terms=("e", "r", "re")))
+    out = B.table(spark, sf, "part").select("p_partkey", marks.alias("m"))
+    return out.select("p_partkey", F.size("m").cast("long").alias("ranges"), F.aggregate("m", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]).alias("marked"), F.coalesce(F.get("m", F.lit(0))["start"], F.lit(-1)).cast("long").alias("first"))
 
-QUERIES = {f.__name__: f for f in (q_index, q_tfidf, q_score_path, q_score_content, q_strict, q_fuzzy, q_occurrence)}
+
+QUERIES = {f.__name__: f for f in (q_index, q_tfidf, q_score_path, q_score_content, q_score_symbol, q_strict, q_fuzzy, q_occurrence, highlight)}
 
 _P = "WITH " + B.FILES + r", tok AS (SELECT path, unnest(regexp_split_to_array(lower(text), '\W+')) AS token FROM files), post AS (SELECT path, token, count(*) AS tf FROM tok WHERE length(token) > 1 GROUP BY 1, 2), sizes AS (SELECT path, sum(tf)::BIGINT AS n_tokens FROM post GROUP BY 1)"
 
 
 def _occurrence(hay: str, needle: str, weight: float) -> str:
     at = f"(strpos({hay}, '{needle}') - 1)"
-    return rf"""CASE WHEN {at} < 0 THEN 0.0 ELSE greatest(0.0, {weight} - {at}) + CASE WHEN {at} = 0 THEN {0.6 * weight} WHEN regexp_matches(substr({hay}, {at}, 1), '[/._\-\s]') THEN {0.35 * weight} ELSE 0.0 END + CASE WHEN {hay} = '{needle}' THEN {1.2 * weight} ELSE 0.0 END END"""
+    return rf"""CASE WHEN {at} < 0 THEN 0.0 ELSE {weight} - {at} + CASE WHEN {at} = 0 THEN {0.6 * weight} WHEN regexp_matches(substr({hay}, {at}, 1), '[^a-z0-9]') THEN {0.35 * weight} ELSE 0.0 END + CASE WHEN {hay} = '{needle}' THEN {1.2 * weight} ELSE 0.0 END END"""
+
+
+def _fuzzy(p: str, table: str, key: str, hay: str, needle: str) -> str:
+    """Common tables, the last of them p_z of k and score: one pair a letter, each takes the first place after the last."""
+    out = [f"{p}_0 AS (SELECT {key} AS k, {hay} AS raw, lower({hay}) AS low, 0 AS pos_, 0 AS first_, 0 AS run, 0.0 AS score, false AS lost FROM {table})"]
+    for n, c in enumerate(needle, 1):
+        found = f"(CASE WHEN strpos(substr(low, pos_ + 1), '{c}') = 0 THEN 0 ELSE strpos(substr(low, pos_ + 1), '{c}') + pos_ END)"
+        out.append(f"{p}_g{n} AS (SELECT *, {found} AS now_ FROM {p}_{n - 1}), {p}_h{n} AS (SELECT *, CASE WHEN first_ > 0 AND now_ = pos_ + 1 THEN run + 1 ELSE 0 END AS run2 FROM {p}_g{n})")
+        out.append(f"""{p}_{n} AS (SELECT k, raw, low, now_ AS pos_, CASE WHEN first_ > 0 THEN first_ ELSE now_ END AS first_, run2 AS run,
+            score + 10 + 6 * run2 + CASE WHEN now_ = 1 THEN 14 WHEN now_ > 1 AND regexp_matches(substr(low, now_ - 1, 1), '[^a-z0-9]') THEN 12 WHEN now_ > 1 AND regexp_matches(substr(raw, now_ - 1, 1), '[a-z0-9]') AND regexp_matches(substr(raw, now_, 1), '[A-Z]') THEN 10 ELSE 0 END AS score,
+            lost OR now_ = 0 AS lost FROM {p}_h{n})""")
+    return ", ".join(out) + f", {p}_z AS (SELECT k, CASE WHEN lost THEN 0.0 ELSE greatest(1.0, score - (first_ - 1) - 0.4 * greatest(length(raw) - {len(needle)}, 0)) END AS score FROM {p}_{len(needle)})"
+
+
+def _content(phrases: tuple[str, ...], terms: tuple[str, ...]) -> str:
+    every = " AND ".join(f"contains(lower(text), '{w}')" for w in (*phrases, *terms))
+    total = " + ".join([_occurrence("lower(text)", p, 120.0) for p in phrases] + [_occurrence("lower(text)", t, 60.0) for t in terms])
+    return f"CASE WHEN {every} THEN {total} ELSE 0.0 END"
 
 
-def _path_score(terms: list[str]) -> str:
-    name = "split_part(lower(path), '/', -1)"
-    parts = [f"CASE WHEN {name} = '{t}' THEN 320.0 WHEN contains({name}, '{t}') THEN {_occurrence(name, t, 150.0)} WHEN contains(lower(path), '{t}') THEN {_occurrence('lower(path)', t, 70.0)} ELSE 0.0 END" for t in terms]
-    return f"greatest(0.5, {' + '.join(parts)} - 0.5 * len(string_split(path, '/')))"
+_NAME = "split_part(lower(path), '/', -1)"
+_BASE = "split_part(path, '/', -1)"
 
 
-def _content(phrases: list[str], terms: list[str]) -> str:
-    words = [(p, 120) for p in phrases] + [(t, 100) for t in terms]
-    every = " AND ".join(f"contains(lower(text), '{w}')" for w, _ in words)
-    total = " + ".join(f"greatest(1.0, {k} - strpos(lower(text), '{w}') / 100.0)" for w, k in words)
-    return f"CASE WHEN {every} THEN {total} END"
+def _term(t: str, name: str, path: str) -> str:
+    """The score of a term by path; name and path are the tables of its scores as a subsequence."""
+    return f"""CASE WHEN {_NAME} = '{t}' THEN 320.0 ELSE coalesce(nullif({_occurrence(_NAME, t, 150.0)}, 0), nullif({_occurrence('lower(path)', t, 70.0)}, 0), nullif({name}.score, 0), {path}.score) END"""
 
 
 ORACLES = {
     "q_index": _P + "SELECT path, token, tf, n_tokens FROM post JOIN sizes USING (path)",
     "q_tfidf": _P + """, h AS (SELECT * FROM post WHERE token IN ('the', 'license', 'idiot')), d AS (SELECT token, count(*) AS df FROM h GROUP BY 1)
         SELECT path, round(sum(tf / sqrt(n_tokens) * ln(1 + (SELECT count(*) FROM files) / df)) * count(*) / 3, 6) AS score FROM h JOIN d USING (token) JOIN sizes USING (path) GROUP BY 1 ORDER BY score DESC, path LIMIT 10""",
-    "q_score_path": "WITH " + B.FILES + f"SELECT path, round({_path_score(['doc_1', 'src1'])}, 4) AS score FROM files",
-    "q_score_content": "WITH " + B.FILES + f"SELECT * FROM (SELECT path, round({_content([' the '], ['and', 'that'])}, 4) AS score FROM files) WHERE score IS NOT NULL",
-    "q_strict": "WITH " + B.FILES + f""", s AS (SELECT path, round({_path_score(['that'])}, 4) AS path_score, round(coalesce({_content([' the '], ['that'])}, 0.0), 4) AS content_score FROM files WHERE path LIKE '%.js' AND NOT contains(path, '/tests/'))
-        SELECT path, path_score, content_score, round(path_score + content_score, 4) AS score FROM s WHERE path_score > 0.5 OR content_score > 0 ORDER BY score DESC, path LIMIT 50""",
-    "q_occurrence": f"SELECT p_partkey, round({_occurrence('lower(p_name)', '1', 100.0)}, 4) AS score FROM part",
+    "q_score_path": "WITH " + B.FILES + ", " + ", ".join(_fuzzy(p, "files", "path", h, t) for p, h, t in (("a", _BASE, "doc_1"), ("b", "path", "doc_1"), ("c", _BASE, "src1"), ("d", "path", "src1"))) + f""",
+        s AS (SELECT path, {_term("doc_1", "a_z", "b_z")} AS x, {_term("src1", "c_z", "d_z")} AS y FROM files JOIN a_z ON a_z.k = path JOIN b_z ON b_z.k = path JOIN c_z ON c_z.k = path JOIN d_z ON d_z.k = path)
+        SELECT path, round(CASE WHEN x = 0 OR y = 0 THEN 0.0 WHEN x + y - 0.5 * len(string_split(path, '/')) > 0 THEN x + y - 0.5 * len(string_split(path, '/')) ELSE 0.5 END, 4)::DOUBLE AS score FROM s""",
+    "q_score_content": "WITH " + B.FILES + f"SELECT * FROM (SELECT path, round({_content((' the ',), ('and', 'that'))}, 4)::DOUBLE AS score FROM files) WHERE score <> 0",
+    "q_score_symbol": "WITH " + _fuzzy("a", "part", "p_partkey", "p_name", "ring") + f""" SELECT p_partkey, round(CASE WHEN (contains(lower(p_type), 'economy') OR contains(lower(p_type), 'small') OR lower(p_name) LIKE '%economy' OR lower(p_name) LIKE '%small') AND NOT contains(lower(p_name), 'red')
+        THEN CASE WHEN lower(p_name) = 'ring' THEN 240.0 ELSE coalesce(nullif({_occurrence('lower(p_name)', 'ring', 130.0)}, 0), a_z.score) END ELSE 0.0 END, 4)::DOUBLE AS score FROM part JOIN a_z ON k = p_partkey""",
+    "q_strict": "WITH " + B.FILES + f""", s AS (SELECT path, round({_occurrence(_NAME, "s", 150.0)} - 0.5 * len(string_split(path, '/')), 4)::DOUBLE AS path_score, round({_content((), ('s',))}, 4)::DOUBLE AS content_score FROM files WHERE path LIKE '%.js' AND NOT contains(path, '/tests/'))
+        SELECT path, path_score, content_score, round(path_score + content_score, 4) AS score FROM s WHERE path_score > 0 OR content_score > 0 ORDER BY score DESC, path LIMIT 50""",
+    "q_fuzzy": "WITH named AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS n FROM part), " + _fuzzy("a", "named", "p_partkey", "n", "rng") + " SELECT k AS p_partkey, round(score, 4)::DOUBLE AS score FROM a_z",
+    "q_occurrence": f"SELECT p_partkey, round({_occurrence('lower(p_name)', 'r', 100.0)}, 4)::DOUBLE AS score FROM part",
+    "highlight": """WITH c AS (SELECT p_partkey, unnest(range(length(p_name))) AS i, lower(p_name) AS x FROM part), m AS (SELECT p_partkey, i FROM c WHERE substr(x, i + 1, 1) IN ('e', 'r')),
+        g AS (SELECT p_partkey, i, i - row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS grp FROM m)
+        SELECT p.p_partkey, count(DISTINCT grp) AS ranges, count(i) AS marked, coalesce(min(i), -1)::BIGINT AS "first" FROM part p LEFT JOIN g USING (p_partkey) GROUP BY 1""",
 }

@@ -20,13 +20,16 @@ def parse_log(logs: DataFrame) -> DataFrame:
 
 
 def parse_diff(diffs: DataFrame) -> DataFrame:
-    """repo, file_no, old, new, hunk_no, line_no, kind (ctx, add, del), text of every line inside a hunk."""
-    lines = diffs.select("repo", F.posexplode(F.split("text", "\n")).alias("no", "l"))
-    order = Window.partitionBy("repo").orderBy("no")
+    """repo, file_no, old, new, hunk_no, line_no, kind (ctx, add, del), text of every line inside a hunk.
+
+    State is carried within one text only: file numbers and line numbers are those of its own text.
+    """
+    lines = diffs.withColumn("id", F.xxhash64("repo", "text")).select("repo", "id", F.posexplode(F.split("text", "\n")).alias("no", "l"))
+    order = Window.partitionBy("repo", "id").orderBy("no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("is_file", F.col("l").startswith("diff --git ")).withColumn("is_hunk", F.col("l").rlike("^@@ -\\d+(,\\d+)? \\+\\d+(,\\d+)? @@"))
     lines = lines.withColumn("file_no", F.sum(F.col("is_file").cast("int")).over(so_far))
-    in_file = Window.partitionBy("repo", "file_no").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    in_file = Window.partitionBy("repo", "id", "file_no").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("hunk_no", F.sum(F.col("is_hunk").cast("int")).over(in_file))
     carried = lambda rx, g: F.last(F.when(F.col("l").rlike(rx), F.regexp_extract("l", rx, g)), ignorenulls=True).over(in_file)
     head = r"^diff --git a/(.*) b/(.*)$"
@@ -43,17 +46,23 @@ def diff_stats(diff: DataFrame) -> DataFrame:
 
 
 def parse_blame(blames: DataFrame) -> DataFrame:
-    """repo, line_no, sha, author, day, text from porcelain text; a commit's facts are told once and reused."""
-    lines = blames.select("repo", F.posexplode(F.split("text", "\n")).alias("no", "l"))
-    so_far = Window.partitionBy("repo").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    """repo, line_no, sha, author, day, text from porcelain text; a commit's facts are told once a text and reused."""
+    lines = blames.withColumn("id", F.xxhash64("repo", "text")).select("repo", "id", F.posexplode(F.split("text", "\n")).alias("no", "l"))
+    so_far = Window.partitionBy("repo", "id").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     head = r"^([0-9a-f]{40}) \d+ (\d+)"
     own = lambda rx, g: F.last(F.when(F.col("l").rlike(rx), F.regexp_extract("l", rx, g)), ignorenulls=True).over(so_far)
     lines = lines.withColumn("sha", own(head, 1)).withColumn("line_no", own(head, 2).cast("int"))
     told = lambda key: F.max(F.when(F.col("l").startswith(key + " "), F.substring("l", F.lit(len(key) + 2), F.length("l")))).alias(key.replace("-", "_"))
-    facts = lines.where("sha is not null").groupBy("repo", "sha").agg(told("author"), told("author-time"))
-    code = lines.where(F.col("l").startswith("\t")).select("repo", "sha", "line_no", F.substring("l", F.lit(2), F.length("l")).alias("text"))
-    return code.join(facts, ["repo", "sha"]).select("repo", "line_no", "sha", "author", F.from_unixtime(F.col("author_time").cast("long"), "yyyy-MM-dd").alias("day"), "text")
+    facts = lines.where("sha is not null").groupBy("repo", "id", "sha").agg(told("author"), told("author-time"))
+    code = lines.where(F.col("l").startswith("\t")).select("repo", "id", "sha", "line_no", F.substring("l", F.lit(2), F.length("l")).alias("text"))
+    return code.join(facts, ["repo", "id", "sha"]).select("repo", "line_no", "sha", "author", F.from_unixtime(F.col("author_time").cast("long"), "yyyy-MM-dd").alias("day"), "text")
 
 
-def blame_authors(blame: DataFrame) -> DataFrame:
-    return blame.groupBy("repo", "author").agg(F.count(F.lit(1)).alias("lines"), F.min("day").alias("oldest"), F.max("day").alias("newest"))
+def blame_authors(blame: DataFrame, shas: int = 10) -> DataFrame:
+    """Lines, first and last day and the latest commits (sha, newest first) of every author."""
+    commits = blame.groupBy("repo", "author", "sha").agg(F.count(F.lit(1)).alias("n"), F.max("day").alias("day"), F.min("day").alias("first"))
+    newest = Window.partitionBy("repo", "author").orderBy(F.desc("day"), "sha")
+    ranked = commits.withColumn("k", F.row_number().over(newest))
+    latest = F.array_sort(F.collect_list(F.when(F.col("k") <= shas, F.struct("k", "sha"))))
+    out = ranked.groupBy("repo", "author").agg(F.sum("n").alias("lines"), F.min("first").alias("oldest"), F.max("day").alias("newest"), latest.alias("l"))
+    return out.select("repo", "author", "lines", "oldest", "newest", F.transform("l", lambda x: x["sha"]).alias("latest"))

@@ -63,5 +63,7 @@ def truncated(files: DataFrame, most: int) -> DataFrame:
 
 
 def cache_key() -> Column:
-    """An aggregate: a fingerprint of files (path, size) in which order does not matter."""
-    return F.lpad(F.lower(F.hex(F.bit_xor(F.xxhash64("path", "size")))), 16, "0").alias("key")
+    """An aggregate: a fingerprint of files (path, size) in which order does not matter and every repeated row counts."""
+    parts = F.sha2(F.concat_ws("\x1f", "path", F.col("size").cast("string")), 256)
+    low = F.conv(F.substring(parts, 1, 12), 16, 10).cast("decimal(38,0)")
+    return F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum(low).cast("string")).alias("key")

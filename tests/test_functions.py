@@ -88,4 +88,19 @@ def test_history(spark):
 
 def test_fuzzy(spark):
     got = {w: value(spark, S.fuzzy(F.col("t"), "gh"), t=w) for w in ("gitHub", "ghost", "graph", "hg")}
-    assert got["hg"] is None and got["gitHub"] > got["graph"] and got["ghost"] > 0
+    assert got["hg"] == 0 and got["gitHub"] > got["graph"] and got["ghost"] > 0
+
+
+def test_comments_are_blanked_in_place(spark):
+    text = "a(); /* one\n two\n three */ b();\nimport x from './y'; // tail\nz(); /**/ w(); / q"
+    rows = [("javascript", text), ("python", "x = 1\n  # note\ny = 2 /* no */"), ("javascript", "// /* \n k(); */ m();"), ("go", "no comment"), ("go", ""), ("go", "/* open")]
+    got = [r.c for r in spark.createDataFrame(rows, "lang string, text string").select(C.blank_comments(F.col("text"), F.col("lang")).alias("c")).collect()]
+    assert [len(g) for g in got] == [len(t) for _, t in rows] and [g.count("\n") for g in got] == [t.count("\n") for _, t in rows]
+    assert got[0].split("\n")[2] == "          b();" and got[0].split("\n")[3].rstrip() == "import x from './y';" and got[0].split("\n")[4] == "z();      w(); / q"
+    assert got[1].split("\n") == ["x = 1", "        ", "y = 2         "] and got[2].endswith(" m();") and got[5] == "/* open"
+
+
+def test_block_comments_are_carried(spark):
+    rows = [("javascript", "/* a\n\nb */\nx();\n// y\n"), ("python", "# a\nx\n\n"), ("javascript", "x\n  // a\n\ty")]
+    got = spark.createDataFrame(rows, "lang string, text string").select(C.code_stats(F.col("text"), F.col("lang")).alias("s")).select("s.*").collect()
+    assert [(r.lines, r.code, r.comment, r.blank) for r in got] == [(6, 1, 3, 2), (4, 1, 1, 2), (3, 2, 1, 0)]

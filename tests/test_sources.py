@@ -90,3 +90,27 @@ def test_packages_and_dead_exports(spark):
     exports = spark.createDataFrame([("a", "f"), ("a", "g"), ("b", "h"), ("c", "i"), ("e", "j")], "path string, name string")
     used = spark.createDataFrame([("a", "f"), ("b", "*")], "path string, name string")
     assert [(r.path, r.name) for r in S.dead_exports(exports, used, spark.createDataFrame([("c",)], "path string")).orderBy("path", "name").collect()] == [("a", "g"), ("e", "j")]
+
+
+def test_texts_of_one_repository_keep_apart(spark):
+    one = "diff --git a/f b/f\n@@ -1 +1 @@\n-x\n+y\n"
+    two = "diff --git a/g b/g\n@@ -1 +1 @@\n+z\n"
+    diff = git.parse_diff(spark.createDataFrame([("r", one), ("r", two)], "repo string, text string"))
+    assert sorted((r.new, r.file_no, r.kind) for r in diff.collect()) == [("f", 1, "add"), ("f", 1, "del"), ("g", 1, "add")]
+
+
+def test_latest_commits_of_an_author(spark):
+    rows = [("r", k, f"s{k % 12:02d}", "ann", f"2024-01-{k % 12 + 1:02d}", "x") for k in range(24)]
+    got = git.blame_authors(spark.createDataFrame(rows, "repo string, line_no int, sha string, author string, day string, text string")).first()
+    assert got.lines == 24 and list(got.latest) == [f"s{k:02d}" for k in range(11, 1, -1)] and (got.oldest, got.newest) == ("2024-01-01", "2024-01-12")
+
+
+def test_equal_files_count_in_the_key(spark):
+    key = lambda rows: spark.createDataFrame(rows, "path string, size long").agg(repository.cache_key()).first().key
+    assert key([("a", 1), ("b", 2)]) == key([("b", 2), ("a", 1)]) != key([("a", 1), ("b", 2), ("a", 1), ("a", 1)])
+
+
+def test_line_numbers_after_a_block_comment(spark):
+    text = "/* one\ntwo\nthree */\nimport x from './y';\n"
+    files = spark.createDataFrame([("a.js", "javascript", text)], "path string, lang string, text string")
+    assert [(r.line, r.name) for r in S.extract(files).collect()] == [(4, "./y")]
