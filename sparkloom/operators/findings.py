@@ -59,22 +59,68 @@ CORPUS_RULES = (
 )
 
 
+#: Texts of which a match of each rule has one at least (lower case where the pattern ignores case): looked for before the pattern is tried.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "hardcoded-secret": ("key", "secret", "passw", "token",),
+    "aws-key": ("AKIA", "ASIA",),
+    "private-key-block": ("-----BEGIN ",),
+    "eval": ("eval",),
+    "new-function": ("new Function",),
+    "child-exec": ("child_process.", "execSync", "spawnSync",),
+    "os-system": ("os.system", "shell",),
+    "sql-concat": ("execute", "query", "exec", "raw",),
+    "innerhtml": ("innerHTML", "outerHTML", "InnerHTML", "document.write",),
+    "weak-hash": ("md5", "sha1",),
+    "math-random": ("Math.random",),
+    "insecure-deser": ("pickle.load", "yaml.load", "unserialize", "ObjectInputStream",),
+    "open-redirect": ("redirect",),
+    "localhost-url": ("localhost", "127.0.0.1",),
+    "debugger": ("debugger",),
+    "console-log": ("console.",),
+    "print-stmt": ("print",),
+    "todo": ("TODO", "FIXME", "XXX", "HACK",),
+    "loose-eq": ("==",),
+    "var-keyword": ("var",),
+    "empty-catch": ("catch", "except",),
+    "jwt-secret": ("eyJ",),
+    "subprocess-shell": ("subprocess.",),
+    "go-public-listen": ("Listen",),
+    "corpus-mail": ("@",),
+    "corpus-licence": ("licen", "mit license",),
+}
+
+
+def may_match(rule: Rule, text: Column, low: Column, lang: Column) -> Column:
+    """False only where the rule surely doesn't match: by language and by plain texts that a match contains."""
+    where = low if rule.pattern.startswith("(?i)") else text
+    ok = F.lit(True)
+    if rule.id in NEEDS:
+        ok = F.lit(False)
+        for x in NEEDS[rule.id]:
+            ok = ok | F.contains(where, F.lit(x))
+    return lang.isin(*rule.langs) & ok if rule.langs else ok
+
+
 def scan(files: DataFrame, rules: tuple[Rule, ...] = RULES, extra: tuple[Rule, ...] = ()) -> DataFrame:
     """path, line, rule, severity, category, excerpt of every rule that a line trips; files: path, text, lang.
 
-    All rules are tried in one pass over the lines; only lines that trip one are exploded into findings.
+    All rules are tried in one pass over the lines of texts that may match one; only
+    lines that trip one are exploded into findings.
     """
-    lines = files.select("path", "lang", F.posexplode(F.split("text", "\n")).alias("at", "l"))
+    asked = (*rules, *extra)
+    maybe = F.lit(False)
+    for r in asked:
+        maybe = maybe | may_match(r, F.col("text"), F.col("low"), F.col("lang"))
+    some = files.select("path", "lang", "text", F.lower("text").alias("low")).where(maybe)
+    lines = some.select("path", "lang", F.posexplode(F.split("text", "\n")).alias("at", "l")).withColumn("low", F.lower("l"))
 
     def tried(r: Rule) -> Column:
-        hit = F.col("l").rlike(C.ascii_bounds(r.pattern))
-        if r.langs:
-            hit = F.col("lang").isin(*r.langs) & hit
+        hit = may_match(r, F.col("l"), F.col("low"), F.col("lang")) & F.col("l").rlike(C.ascii_bounds(r.pattern))
         if r.ignore:
             hit = hit & ~F.col("l").rlike(C.ascii_bounds(r.ignore))
         return F.when(hit, F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category")))
 
-    found = lines.withColumn("f", F.explode(F.array_compact(F.array(*map(tried, (*rules, *extra))))))
+    found = lines.withColumn("f", F.explode(F.array_compact(F.array(*map(tried, asked)))))
     return found.select("path", (F.col("at") + 1).cast("long").alias("line"), "f.rule", "f.severity", "f.category", C.excerpt(F.col("l")).alias("excerpt"))
 
 

@@ -128,7 +128,7 @@ def severities(spark: SparkSession, sf: str) -> DataFrame:
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
     pages = B.table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.col("html").alias("text"), F.lit("javascript").alias("lang"))
-    return R.scan(pages.unionByName(_FILES(spark, sf).select("path", "text", "lang")), extra=R.CORPUS_RULES)
+    return R.scan(pages.unionByName(_FILES(spark, sf).select("path", "text", "lang")).unionByName(B.code(spark, sf)), extra=R.CORPUS_RULES)
 
 
 def rules_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,7 +213,9 @@ def _rule_sql(r: R.Rule) -> str:
 _FINDINGS = (
     "WITH "
     + B.FILES
-    + """, texts AS (SELECT 'pages/' || page_id || '.js' AS path, html AS text, 'javascript' AS lang FROM pages UNION ALL SELECT path, text, lang FROM files),
+    + ", "
+    + B.code_sql()
+    + """, texts AS (SELECT path, text, lang FROM code UNION ALL SELECT 'pages/' || page_id || '.js' AS path, html AS text, 'javascript' AS lang FROM pages UNION ALL SELECT path, text, lang FROM files),
 cut AS (SELECT path, lang, string_split(text, chr(10)) AS a FROM texts),
 every AS (SELECT path, lang, unnest(a) AS l, unnest(range(1, len(a) + 1)) AS line FROM cut),
 found AS ("""

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import bindings as B
 from sparkloom.functions import code as C
 from sparkloom.functions import paths as P
 from sparkloom.operators import findings as R
@@ -69,6 +70,16 @@ def test_rules_miss(spark, lang, line, rule):
     assert rule not in {r.rule for r in R.scan(df).collect()}
 
 
+def test_plain_texts_hide_no_match(spark, monkeypatch):
+    """The search for plain texts before the patterns loses no finding; every rule hits a line at least."""
+    rows = [(f"f{k}", x, g) for k, (_, g, x) in enumerate(B.CODE)] + [("m", "write to a.b@c.de", "go"), ("l", "Licensed under X", "go")] + [(f"u{k}", x.upper(), g) for k, (_, g, x) in enumerate(B.CODE)]
+    df = spark.createDataFrame(rows, "path string, text string, lang string")
+    found = sorted((r.path, r.rule) for r in R.scan(df, extra=R.CORPUS_RULES).collect())
+    assert {r for _, r in found} == {r.id for r in (*R.RULES, *R.CORPUS_RULES)} == set(R.NEEDS)
+    monkeypatch.setattr(R, "NEEDS", {})
+    assert found == sorted((r.path, r.rule) for r in R.scan(df, extra=R.CORPUS_RULES).collect())
+
+
 def test_licences(spark):
     assert value(spark, R.licence_of(F.col("t")), t="GNU GENERAL PUBLIC LICENSE\n Version 3") == "GPL-3.0"
     kinds = {k: value(spark, R.licence_kind(F.col("t")), t=k) for k in ("MIT", "LGPL-3.0", "AGPL-3.0", "", "Beer")}
