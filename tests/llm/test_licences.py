@@ -2,6 +2,7 @@
 
 import os
 import sys
+import textwrap
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import assert_same
@@ -26,6 +27,37 @@ def test_tree(spark):
     }
 
 
+def wrapped(text, width=70):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_whole_notices_and_files(spark):
+    """Notices wrapped over lines, with comment marks, inside a text, and whole licence files."""
+    gpl3 = m._GNU_USE.format("GNU General Public License", "3") + "\n\n" + m._GNU_HOPE.format("GNU General Public License")
+    agpl, lgpl = (m._GNU_USE.format(f"GNU {x} General Public License", v) for x, v in (("Affero", "3"), ("Lesser", "2.1")))
+    bsd3 = "\n\n".join(["Copyright (c) 2020, Ann", m._REDISTRIBUTION, m._NO_NAMES, m._WARRANTY])
+    texts = {
+        "GPL-3.0": "\n".join("# " + x for x in wrapped(gpl3.split("\n\n")[0]).split("\n")) + "\n\nimport os\n",
+        "AGPL-3.0": "A story first.\n\n" + wrapped(agpl) + "\n\nand a story after.\n",
+        "LGPL-2.1": wrapped(lgpl, 50) + "\nint main() {}\n",
+        "BSD-3-Clause": wrapped(bsd3.replace("\n\n", "@@"), 60).replace("@@", "\n\n"),
+        "BSD-2-Clause": wrapped(m._REDISTRIBUTION) + "\n\n" + wrapped(m._WARRANTY),
+        "MIT": "MIT License\n\nCopyright (c) 2021 Bo\n\n" + wrapped(m._MIT) + "\n\n" + wrapped(m._MIT_REST),
+        "Apache-2.0": "/*\n * " + wrapped(m._APACHE, 60).replace("\n", "\n * ") + "\n *\n * " + wrapped(m._APACHE_REST, 60).replace("\n", "\n * ") + "\n */\npackage x;\n",
+        "ISC": wrapped(m._ISC),
+    }
+    rows = [(k, t, f"d{k}") for k, t in enumerate(texts.values())]
+    got = {r.doc_id: (r.licence, r.origin) for r in m.scan(spark.createDataFrame(rows, "doc_id long, text string, dir string")).collect()}
+    assert got == {k: (name, "own") for k, name in enumerate(texts)}
+
+
+def test_ids_and_clashing_columns(spark):
+    mit = "Released under the MIT License."
+    rows = [(None, mit, "en", "s", "x"), (None, "code", "en", "s", "y"), (1, "code", "en", None, "z")]
+    got = sorted((str(r.doc_id), r.dir, str(r.licence), r.origin) for r in m.scan(m.bound_paths(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, dir string"))).collect())
+    assert got == [("1", "(none)/0", "None", "none"), ("None", "s/none", "MIT", "inherited"), ("None", "s/none", "MIT", "inherited")]
+
+
 def test_no_rows(spark):
     assert m.scan(spark.createDataFrame([], "doc_id long, text string, dir string")).count() == 0
     assert m.scan(spark.createDataFrame([(1, "x", "d")], "doc_id long, text string, dir string")).first().origin == "none"
