@@ -120,6 +120,10 @@ CODE = (
     ("py", "python", "    print(a)"), ("go", "go", "// TODO later"), ("js", "javascript", "if (a == b) return;"), ("js", "javascript", "if (a === b) return;"), ("js", "javascript", "var x1 = 1"),
     ("js", "javascript", "try { a() } catch (e) { }"), ("js", "javascript", "const t = 'eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK';"), ("py", "python", "subprocess.run(cmd, shell=True)"),
     ("go", "go", "http.ListenAndServe(\":8080\", nil)"), ("go", "go", "http.ListenAndServe(\"127.0.0.2:80\", nil)"), ("py", "python", "passwords = 3"),
+    ("js", "javascript", "import { a, b } from './lib/a.js';"), ("js", "javascript", "const fs = require('fs');"), ("js", "javascript", "export async function load(x) {"), ("ts", "typescript", "export default class Store {"),
+    ("ts", "typescript", "export const pick = (x) => x;"), ("py", "python", "from .core import run"), ("py", "python", "async def go(x):"), ("py", "python", "class Box(Base):"), ("go", "go", "import \"net/http\""),
+    ("go", "go", "func (s *Server) Start() error {"), ("go", "go", "type Server struct {"), ("rs", "rust", "pub fn open(x: u8) -> u8 {"), ("rs", "rust", "use std::fmt;"), ("java", "java", "import java.util.List;"),
+    ("java", "java", "public static int size(int x) {"), ("cs", "csharp", "using System.Text;"), ("cs", "csharp", "public class Page"),
 )
 
 

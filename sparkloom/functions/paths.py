@@ -83,3 +83,13 @@ def keeps(path: Column, text: str = "", tests: bool = True) -> Column:
     out = F.lit(True) if tests else ~is_test(path)
     needle = text.strip().lower()
     return out & F.contains(F.lower(path), F.lit(needle)) if needle else out
+
+
+def inside(path: Column) -> Column:
+    """The folded path, or null if it climbs above its root on the way."""
+    step = lambda acc, p: (
+        F.when((p == "") | (p == ".") | (acc["depth"] < 0), acc)
+        .when(p == "..", F.struct((acc["depth"] - 1).alias("depth"))).otherwise(F.struct((acc["depth"] + 1).alias("depth")))
+    )
+    depth = F.aggregate(F.split(path, "/"), F.struct(F.lit(0).alias("depth")), step, lambda a: a["depth"])
+    return F.when(depth >= 0, normalize(path))

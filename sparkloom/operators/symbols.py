@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ SYMBOLS["typescript"] = SYMBOLS["javascript"]
 ENDINGS = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".json", ".py", ".rs", ".rb", "/index.js", "/index.jsx", "/index.ts", "/index.tsx", "/__init__.py", "/mod.rs")
 
 
+def groups_of(pattern: str) -> int:
+    return re.compile(pattern).groups
+
+
 def extract(files: DataFrame) -> DataFrame:
     """path, lang, line, kind, name of every import, function and class; comments are cut first."""
     clean = files.select("path", "lang", F.posexplode(F.split(C.blank_comments(F.col("text"), F.col("lang")), "\n")).alias("at", "l"))
@@ -35,7 +41,7 @@ def extract(files: DataFrame) -> DataFrame:
         out = F.lit(None).cast("string")
         for lang, kinds in SYMBOLS.items():
             rx = kinds[kind]
-            groups = [F.nullif(F.regexp_extract("l", rx, g), F.lit("")) for g in range(1, rx.replace("(?", "").replace(r"\(", "").replace("[^(]", "").count("(") + 1)]
+            groups = [F.nullif(F.regexp_extract("l", rx, g), F.lit("")) for g in range(1, groups_of(rx) + 1)]
             out = F.when(F.col("lang") == lang, F.coalesce(*groups)).otherwise(out)
         return F.struct(F.lit(kind).alias("kind"), out.alias("name"))
 
@@ -83,3 +89,10 @@ def dead_exports(exports: DataFrame, used: DataFrame, spared: DataFrame) -> Data
     whole = used.where("name = '*'").select("path").distinct()
     left = exports.join(small(spared), "path", "left_anti").join(whole, "path", "left_anti")
     return left.join(used.select("path", "name").distinct(), ["path", "name"], "left_anti")
+
+
+def directories_by_suffix(files: DataFrame, most: int = 3) -> DataFrame:
+    """suffix, dir, n: directories by their last one to ``most`` parts; of several the first, and how many there are."""
+    dirs = files.select(P.dir_of(F.col("path")).alias("dir")).distinct().withColumn("p", F.split("dir", "/"))
+    each = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("p"), F.lit(most))), lambda k: F.array_join(F.slice("p", -k, k), "/"))).alias("suffix"))
+    return each.groupBy("suffix").agg(F.min("dir").alias("dir"), F.count(F.lit(1)).alias("n"))
