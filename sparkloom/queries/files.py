@@ -246,6 +246,13 @@ ORACLES = {
     "code_stats": _W + "," + _STATS + "SELECT * FROM stats",
     "complexity": _W + "," + _CLEAN + f"SELECT path, {_CX} AS complexity FROM clean",
     "halstead": _W + "," + _CLEAN + "," + _HAL + "SELECT path, ops, names, all_ops, all_names, round(volume, 4) AS volume, round(difficulty, 4) AS difficulty FROM h",
+    "cognitive": _W + "," + _CLEAN + r""", l AS (SELECT path, list_transform(string_split(c, chr(10)), lambda x: {'score': 0::BIGINT, 'depth': 0::BIGINT, 'opens': contains(x, '{')::BIGINT, 'closes': contains(x, '}'),
+          'block': regexp_matches(x, '\b(if|for|while|do|switch|catch)\b'), 'loose': regexp_matches(x, '\b(if|else if|for|while|do|catch)\b'),
+          'plain': regexp_matches(regexp_replace(x, '\belse\s+if', '', 'g'), '\belse\b')::BIGINT + len(regexp_extract_all(x, '&&|\|\||\?'))}) AS x FROM clean),
+        f AS (SELECT path, list_reduce(list_prepend({'score': 0::BIGINT, 'depth': 0::BIGINT, 'opens': 0::BIGINT, 'closes': false, 'block': false, 'loose': false, 'plain': 0::BIGINT}, x), lambda a, y: {
+          'score': a.score + CASE WHEN y.opens = 1 AND y.block THEN 1 + a.depth ELSE 0 END + CASE WHEN y.opens = 0 AND y.loose THEN 1 + CASE WHEN y.closes THEN greatest(a.depth - 1, 0) ELSE a.depth END ELSE 0 END + y.plain,
+          'depth': CASE WHEN y.closes THEN greatest(a.depth + y.opens - 1, 0) ELSE a.depth + y.opens END, 'opens': 0::BIGINT, 'closes': false, 'block': false, 'loose': false, 'plain': 0::BIGINT}) AS r FROM l)
+        SELECT path, r.score AS cognitive FROM f""",
     "maintainability": _W + "," + _CLEAN + "," + _HAL + "," + _STATS + rf"""SELECT path, round(CASE WHEN volume = 0 OR code = 0 THEN 100.0 ELSE greatest(0.0, least(100.0, (171 - 5.2 * ln(volume) - 0.23 * {_CX} - 16.2 * ln(code::DOUBLE)) * 100 / 171)) END, 4) AS mi,
         CASE WHEN comment + code = 0 THEN 0 ELSE floor(100.0 * comment / (comment + code) + 0.5) END::BIGINT AS doc_ratio FROM h JOIN stats USING (path)""",
     "tokenize": _W + r", t AS (SELECT path, unnest(regexp_split_to_array(lower(text), '\W+')) AS token FROM files) SELECT path, token, count(*) AS tf FROM t WHERE length(token) > 1 GROUP BY 1, 2",

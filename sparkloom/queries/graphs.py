@@ -277,6 +277,8 @@ ORACLES = {
         UNION ALL SELECT 'test-shadow', count(*), min(node) FROM facts WHERE is_test HAVING count(*) > 0
         UNION ALL SELECT 'orphans', count(*), min(node) FROM facts WHERE fan_in = 0 AND NOT is_entry AND NOT is_test HAVING count(*) > 0
         UNION ALL SELECT 'entries', count(*), min(node) FROM facts WHERE is_entry HAVING count(*) > 0""",
+    "v_report": _G() + "SELECT node, to_json({'schemaVersion': 1, 'node': node, 'name': name, 'fan_in': fan_in, 'fan_out': fan_out, 'role': CASE WHEN is_test THEN 'test' WHEN is_entry THEN 'entry' WHEN fan_in >= 5 THEN 'hub' WHEN fan_out = 0 AND fan_in > 0 THEN 'leaf' ELSE 'module' END})::VARCHAR AS json FROM facts",
+    "v_diagram": _G() + "SELECT count(*) AS n, '  ' || translate(a.folder, '# ', '__') || ' -->|' || count(*) || '| ' || translate(b.folder, '# ', '__') AS line FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.folder <> b.folder GROUP BY a.folder, b.folder",
     "v_tour": _G() + """, c AS (SELECT * FROM (SELECT node, 1 AS slot FROM facts WHERE is_entry ORDER BY fan_out DESC, node LIMIT 2)
         UNION ALL SELECT * FROM (SELECT node, 2 FROM facts WHERE fan_in >= 2 ORDER BY fan_in DESC, node LIMIT 3)
         UNION ALL SELECT * FROM (SELECT node, 3 FROM facts WHERE fan_out = 0 AND fan_in >= 2 ORDER BY fan_in DESC, node LIMIT 1)

@@ -160,6 +160,7 @@ QUERIES = {f.__name__: f for f in (
 _E30 = "WITH " + B.edges_sql() + "," + B.NODES
 _FE = _E30 + ", fe AS (SELECT a.folder AS s, b.folder AS d, count(*) AS n FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.folder <> b.folder GROUP BY 1, 2)"
 ORACLES = {
+    "scan_cache": "WITH " + B.FILES + "SELECT lang, count(*) || '-' || sum(('0x' || substr(sha256(path || chr(31) || length(text)), 1, 12))::BIGINT)::VARCHAR AS key FROM files GROUP BY 1",
     "join_degree": _E30 + "SELECT src, dst FROM edges WHERE src IN (SELECT node FROM nodes WHERE complexity >= 10) AND dst IN (SELECT node FROM nodes WHERE complexity >= 10)",
     "join_dir_fanout": "SELECT DISTINCT 's' || s_suppkey AS src, p_brand || '/' || p_partkey AS dst FROM supplier JOIN part ON p_brand = 'Brand#' || (s_suppkey % 25 + 1)",
     "join_name_first": "SELECT p_name, min(p_brand || '/' || lpad(p_partkey::VARCHAR, 8, '0')) AS first_path FROM part GROUP BY 1",
