@@ -98,12 +98,21 @@ def patterns(facts: DataFrame) -> DataFrame:
     return facts.select("node", found.alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("example"))
 
 
-def tour(facts: DataFrame) -> DataFrame:
-    """node, slot of a reading order: entries, hubs, a leaf, an orphan; a node keeps its first slot."""
-    pick = lambda df, slot, k, *order: df.orderBy(*order).limit(k).select("node", F.lit(slot).alias("slot"))
+def tour(facts: DataFrame, cycles: DataFrame) -> DataFrame:
+    """node, slot of a reading order; a node keeps its first slot.
+
+    1: the entry that imports most, 2 to 4: hubs, 5: a second entry, 6: a leaf, 7: the
+    first member of the largest cycle (cycles: component, size), 8: an orphan.
+    """
+
+    def pick(df: DataFrame, slots: tuple[int, ...], *order: Column | str) -> DataFrame:
+        first = df.orderBy(*order).limit(len(slots)).select("node", F.row_number().over(Window.orderBy(*order)).alias("k"))
+        return first.select("node", F.get(F.array(*map(F.lit, slots)), F.col("k") - 1).alias("slot"))
+
     stops = [
-        pick(facts.where("is_entry"), 1, 2, F.desc("fan_out"), "node"), pick(facts.where("fan_in >= 2"), 2, 3, F.desc("fan_in"), "node"),
-        pick(facts.where("fan_out = 0 and fan_in >= 2"), 3, 1, F.desc("fan_in"), "node"), pick(facts.where(orphan()), 4, 1, "node"),
+        pick(facts.where("is_entry"), (1, 5), F.desc("fan_out"), "node"), pick(facts.where("fan_in >= 2"), (2, 3, 4), F.desc("fan_in"), "node"),
+        pick(facts.where("fan_out = 0 and fan_in >= 2"), (6,), F.desc("fan_in"), "node"), pick(cycles.withColumnRenamed("component", "node"), (7,), F.desc("size"), "node"),
+        pick(facts.where(orphan()), (8,), "node"),
     ]
     return _union(stops).groupBy("node").agg(F.min("slot").alias("slot"))
 

@@ -179,7 +179,8 @@ def v_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_tour(spark: SparkSession, sf: str) -> DataFrame:
-    return V.tour(_facts(spark, sf))
+    nodes, edges = B.nodes(spark, sf), stage(B.edges(spark, sf), "edges")
+    return V.tour(G.degrees(nodes, edges), G.cycles(nodes, edges))
 
 
 def v_inspector(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,10 +280,11 @@ ORACLES = {
         UNION ALL SELECT 'entries', count(*), min(node) FROM facts WHERE is_entry HAVING count(*) > 0""",
     "v_report": _G() + "SELECT node, to_json({'schemaVersion': 1, 'node': node, 'name': name, 'fan_in': fan_in, 'fan_out': fan_out, 'role': CASE WHEN is_test THEN 'test' WHEN is_entry THEN 'entry' WHEN fan_in >= 5 THEN 'hub' WHEN fan_out = 0 AND fan_in > 0 THEN 'leaf' ELSE 'module' END})::VARCHAR AS json FROM facts",
     "v_diagram": _G() + "SELECT count(*) AS n, '  ' || translate(a.folder, '# ', '__') || ' -->|' || count(*) || '| ' || translate(b.folder, '# ', '__') AS line FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.folder <> b.folder GROUP BY a.folder, b.folder",
-    "v_tour": _G() + """, c AS (SELECT * FROM (SELECT node, 1 AS slot FROM facts WHERE is_entry ORDER BY fan_out DESC, node LIMIT 2)
-        UNION ALL SELECT * FROM (SELECT node, 2 FROM facts WHERE fan_in >= 2 ORDER BY fan_in DESC, node LIMIT 3)
-        UNION ALL SELECT * FROM (SELECT node, 3 FROM facts WHERE fan_out = 0 AND fan_in >= 2 ORDER BY fan_in DESC, node LIMIT 1)
-        UNION ALL SELECT * FROM (SELECT node, 4 FROM facts WHERE fan_in = 0 AND NOT is_entry AND NOT is_test ORDER BY node LIMIT 1))
+    "v_tour": _G() + _CLOSURE + _SCC + """, c AS (SELECT * FROM (SELECT node, CASE row_number() OVER (ORDER BY fan_out DESC, node) WHEN 1 THEN 1 ELSE 5 END AS slot FROM facts WHERE is_entry ORDER BY fan_out DESC, node LIMIT 2)
+        UNION ALL SELECT * FROM (SELECT node, 1 + row_number() OVER (ORDER BY fan_in DESC, node) FROM facts WHERE fan_in >= 2 ORDER BY fan_in DESC, node LIMIT 3)
+        UNION ALL SELECT * FROM (SELECT node, 6 FROM facts WHERE fan_out = 0 AND fan_in >= 2 ORDER BY fan_in DESC, node LIMIT 1)
+        UNION ALL SELECT * FROM (SELECT component, 7 FROM comp GROUP BY 1 HAVING count(*) > 1 ORDER BY count(*) DESC, component LIMIT 1)
+        UNION ALL SELECT * FROM (SELECT node, 8 FROM facts WHERE fan_in = 0 AND NOT is_entry AND NOT is_test ORDER BY node LIMIT 1))
         SELECT node, min(slot)::INTEGER AS slot FROM c GROUP BY 1""",
     "v_inspector": _G() + """, n8 AS (SELECT node, side, string_agg(other::VARCHAR, ',' ORDER BY other) AS l FROM (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other) AS k FROM (SELECT dst AS node, 'importer' AS side, src AS other FROM edges UNION ALL SELECT src, 'import', dst FROM edges)) WHERE k <= 12 GROUP BY 1, 2)
         SELECT f.node, f.complexity, f.loc, f.fan_in, f.fan_out, coalesce(a.l, '') AS importers, coalesce(b.l, '') AS imports FROM facts f LEFT JOIN n8 a ON a.node = f.node AND a.side = 'importer' LEFT JOIN n8 b ON b.node = f.node AND b.side = 'import'""",

@@ -6,7 +6,7 @@ from oracle import assert_same
 from sparkloom.queries import ORACLES, QUERIES
 
 #: Each of these takes ten seconds or more here; the driver's own comparison runs them all.
-SLOW = {"g_scc", "top_cycles", "g_blast_all", "g_health", "top_risk", "agg_health", "g_closure", "g_betweenness"}
+SLOW = {"v_tour", "g_scc", "top_cycles", "g_blast_all", "g_health", "top_risk", "agg_health", "g_closure", "g_betweenness"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
