@@ -4,7 +4,8 @@ A document of source s appears k times, k drawn from a Poisson distribution whos
 mean is the source's target repetition rate: target share times the corpus size,
 over the source's own size.  The draw inverts the distribution at a uniform
 number hashed from seed and doc_id, so it depends on nothing else: a task that is
-run again draws the same.  Copies are exploded and dealt out by a hash of
+run again draws the same.  A rate above ``PART_RATE`` is drawn in equal parts, each
+with its own number, whose sum has the same distribution: tables stay short.  Copies are exploded and dealt out by a hash of
 (seed, doc_id, copy), each partition sorted by it: a global shuffle.
 
 Sizes are summed per source with partial sums, so a source with a third of all
@@ -33,6 +34,10 @@ TEMPERATURE = 0.7
 BROADCAST_SOURCES = 10_000
 
 
+#: Rates above this are drawn in parts of at most this rate.
+PART_RATE = 64.0
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from 52 bits of the MD5 of the parts joined by colons."""
     joined = F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))
@@ -50,6 +55,20 @@ def poisson_table(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"])
 
 
+def part_count(rate: Column) -> Column:
+    return F.greatest(F.ceil(rate / PART_RATE), F.lit(1)).cast("int")
+
+
+def draws(table: Column, parts: Column, seed: int, doc_id: Column) -> Column:
+    """The number of copies: for every part how many cumulative probabilities lie at or below its uniform number."""
+
+    def one(k: Column) -> Column:
+        own = F.when(k == 0, uniform(F.lit(seed), doc_id)).otherwise(uniform(F.lit(seed), doc_id, F.lit("part"), k))
+        return let(own, lambda x: F.size(F.filter(table, lambda c: c <= x)))
+
+    return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, k: n + one(k))
+
+
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """source, size (characters), weight (share of the target) and rate of every source."""
     size = F.sum(F.length(F.coalesce("text", F.lit(""))).cast("long"))
@@ -68,11 +87,11 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None) ->
 def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None, seed: int = SEED) -> DataFrame:
     """The mixture: the columns of ``docs``, replica (from 0) and shuffle_key, in shuffled order."""
     docs = docs.drop("replica", "shuffle_key")
-    table = rates(docs, weights).where("rate > 0").select(F.col("source").alias("__source"), poisson_table(F.col("rate")).alias("__table"))
+    table = rates(docs, weights).where("rate > 0").select(F.col("source").alias("__source"), part_count(F.col("rate")).alias("__parts"), "rate")
+    table = table.select("__source", "__parts", poisson_table(F.col("rate") / F.col("__parts")).alias("__table"))
     table = small(stage(table, "mixing-rates"), BROADCAST_SOURCES)
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    copies = let(u, lambda x: F.size(F.filter("__table", lambda c: c <= x)))
-    drawn = docs.join(table, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies).drop("__source", "__table").where("__copies > 0")
+    copies = draws(F.col("__table"), F.col("__parts"), seed, F.col("doc_id"))
+    drawn = docs.join(table, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies).drop("__source", "__table", "__parts").where("__copies > 0")
     out = drawn.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
     parts = [F.coalesce(p.cast("string"), F.lit("null")) for p in (F.lit(seed), F.col("doc_id"), F.col("replica"))]
     out = out.withColumn("shuffle_key", F.substring(F.md5(F.concat_ws(":", *parts)), 1, 16))
@@ -92,13 +111,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 MIX_SQL = """
 sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM {docs} GROUP BY 1),
 rates AS (SELECT source, CASE WHEN size > 0 THEN pow(size::DOUBLE, 0.7) / sum(pow(size::DOUBLE, 0.7)) OVER () * sum(size) OVER () / size ELSE 0 END AS rate FROM sizes),
-steps AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM rates WHERE rate > 0),
-logs AS (SELECT source, k, -rate + sum(CASE WHEN k = 0 THEN 0 ELSE ln(rate) - ln(k::DOUBLE) END) OVER (PARTITION BY source ORDER BY k) AS lp FROM steps),
-cdf AS (SELECT source, sum(exp(lp)) OVER (PARTITION BY source ORDER BY k) AS c FROM logs),
-tables AS (SELECT source, list(c) AS t FROM cdf GROUP BY 1),
-drawn AS (
-  SELECT d.*, len(list_filter(t, lambda c: c <= ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0)) AS copies
-  FROM {docs} d JOIN tables s ON d.source IS NOT DISTINCT FROM s.source)
+parts AS (SELECT source, greatest(ceil(rate / 64), 1)::BIGINT AS m, rate / greatest(ceil(rate / 64), 1) AS rate FROM rates WHERE rate > 0),
+steps AS (SELECT source, m, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM parts),
+logs AS (SELECT source, m, k, -rate + sum(CASE WHEN k = 0 THEN 0 ELSE ln(rate) - ln(k::DOUBLE) END) OVER (PARTITION BY source ORDER BY k) AS lp FROM steps),
+cdf AS (SELECT source, m, sum(exp(lp)) OVER (PARTITION BY source ORDER BY k) AS c FROM logs),
+tables AS (SELECT source, m, list(c) AS t FROM cdf GROUP BY 1, 2),
+hashed AS (SELECT d.*, t, list_transform(range(m), lambda j: ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || CASE WHEN j = 0 THEN '' ELSE ':part:' || j END), 1, 13))::BIGINT / 4503599627370496.0) AS u
+  FROM {docs} d JOIN tables s ON d.source IS NOT DISTINCT FROM s.source),
+drawn AS (SELECT * EXCLUDE (t, u), list_sum(list_transform(u, lambda x: len(list_filter(t, lambda c: c <= x))))::BIGINT AS copies FROM hashed)
 """
 
 OP5_SQL = (

@@ -52,3 +52,22 @@ def test_order_is_shuffled(spark):
     docs = spark.range(500).selectExpr("id doc_id", "'abc' text", "'en' lang", "'a' source", "3L n_chars").coalesce(1)
     order = [r.doc_id for r in m.replicate(docs).collect()]
     assert order != sorted(order)
+
+
+def test_high_rates_are_drawn_in_parts(spark):
+    """Mean and variance of a high rate, by tables that stay short."""
+    docs = spark.range(500).selectExpr("id doc_id", "'x' text", "'en' lang", "'rare' source", "1L n_chars").unionByName(
+        spark.range(1).selectExpr("-1L doc_id", "repeat('y', 500000) text", "'en' lang", "'rest' source", "500000L n_chars")
+    )
+    rate = {r.source: r.rate for r in m.rates(docs, {"rare": 3.0, "rest": 7.0}).collect()}["rare"]
+    assert 300 < rate < 301
+    got = Counter(r.doc_id for r in m.replicate(docs, {"rare": 3.0, "rest": 7.0}).where("source = 'rare'").select("doc_id").collect())
+    counts = [got[k] for k in range(500)]
+    mean = sum(counts) / 500
+    spread = sum((c - mean) ** 2 for c in counts) / 499
+    assert abs(mean - rate) < 4 * (rate / 500) ** 0.5 and 0.75 < spread / rate < 1.3
+
+
+def test_query_in_parts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(m, "PART_RATE", 0.25)
+    assert_same(m.op5_mixing(spark, sf_dir), m.OP5_SQL.replace("rate / 64", "rate / 0.25"), sf_dir)
