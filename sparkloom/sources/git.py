@@ -40,6 +40,28 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
     return body.select("repo", "file_no", "old", "new", "hunk_no", F.col("no").alias("line_no"), "kind", F.substring("l", F.lit(2), F.length("l")).alias("text"))
 
 
+def diff_files(diffs: DataFrame) -> DataFrame:
+    """repo, file_no, old, new, status (added, deleted, renamed, modified), additions, deletions, hunks of every file of a diff.
+
+    Files without hunks are told too; the last header line about a status decides.
+    """
+    lines = diffs.withColumn("id", F.xxhash64("repo", "text")).select("repo", "id", F.posexplode(F.split("text", "\n")).alias("no", "l"))
+    so_far = Window.partitionBy("repo", "id").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("file_no", F.sum(F.col("l").startswith("diff --git ").cast("int")).over(so_far)).where("file_no > 0")
+    in_file = Window.partitionBy("repo", "id", "file_no").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("hunk_no", F.sum(F.col("l").rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@").cast("int")).over(in_file))
+    line, body = F.col("l"), F.col("hunk_no") > 0
+    status = F.when(line.startswith("new file mode "), "added").when(line.startswith("deleted file mode "), "deleted").when(line.startswith("rename from "), "renamed")
+    head = r"^diff --git a/(.+?) b/(.+)$"
+    told = lambda value, rx, g: F.max(F.when(value.rlike(rx), F.trim(F.regexp_extract(value, rx, g))))
+    out = lines.groupBy("repo", "id", "file_no").agg(
+        F.coalesce(told(line, r"^rename from (.*)$", 1), told(line, head, 1)).alias("old"), F.coalesce(told(line, r"^rename to (.*)$", 1), told(line, head, 2)).alias("new"),
+        F.coalesce(F.max_by(status, F.when(status.isNotNull(), F.col("no"))), F.lit("modified")).alias("status"),
+        F.count_if(body & line.startswith("+") & ~line.startswith("+++")).alias("additions"), F.count_if(body & line.startswith("-") & ~line.startswith("---")).alias("deletions"), F.max("hunk_no").alias("hunks"),
+    )
+    return out.drop("id")
+
+
 def diff_stats(diff: DataFrame) -> DataFrame:
     """repo, file_no, new, additions, deletions, hunks."""
     return diff.groupBy("repo", "file_no", "new").agg(F.count_if(F.col("kind") == "add").alias("additions"), F.count_if(F.col("kind") == "del").alias("deletions"), F.countDistinct("hunk_no").alias("hunks"))

@@ -114,3 +114,14 @@ def test_line_numbers_after_a_block_comment(spark):
     text = "/* one\ntwo\nthree */\nimport x from './y';\n"
     files = spark.createDataFrame([("a.js", "javascript", text)], "path string, lang string, text string")
     assert [(r.line, r.name) for r in S.extract(files).collect()] == [(4, "./y")]
+
+
+def test_statuses_of_files(spark):
+    text = "\n".join([
+        "diff --git a/new.js b/new.js", "new file mode 100644", "@@ -0,0 +1,2 @@", "+a", "+b", "diff --git a/old.js b/old.js", "deleted file mode 100644", "@@ -1 +0,0 @@", "-x",
+        "diff --git a/a.js b/lib/a.js", "similarity index 100%", "rename from a.js", "rename to lib/a.js", "diff --git a/m.js b/m.js", "--- a/m.js", "+++ b/m.js", "@@ -1 +1 @@", "-x", "+y", "@@ -9 +9 @@", "+z",
+    ])
+    rows = git.diff_files(spark.createDataFrame([("r", text)], "repo string, text string")).orderBy("file_no").collect()
+    assert [(r.old, r.new, r.status, r.additions, r.deletions, r.hunks) for r in rows] == [
+        ("new.js", "new.js", "added", 2, 0, 1), ("old.js", "old.js", "deleted", 0, 1, 1), ("a.js", "lib/a.js", "renamed", 0, 0, 0), ("m.js", "m.js", "modified", 2, 1, 2),
+    ]
