@@ -131,7 +131,7 @@ def bound_paths(docs: DataFrame) -> DataFrame:
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """doc_id, dir, line (its terms) and frames of every licence statement: lines, blocks of several lines, whole texts of several blocks."""
+    """doc_id, dir, line (its terms), key (its digest) and frames of every licence statement: lines, blocks of several lines, whole texts of several blocks."""
     trim = lambda x: F.regexp_replace(x, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     some = lambda parts: F.filter(F.transform(parts, trim), lambda x: x != "")
     found = files.where(has_marker(F.col("text"))).select("doc_id", "dir", "text", some(F.split("text", "\n")).alias("lines"), some(F.split("text", r"\n[ \t\r]*\n")).alias("blocks"))
@@ -143,30 +143,34 @@ def statements(files: DataFrame) -> DataFrame:
     whole = F.when(F.size("blocks") > 1, F.array(F.struct(F.col("text").alias("unit"), F.lit(True).alias("frames")))).otherwise(F.array().cast("array<struct<unit:string,frames:boolean>>"))
     each = F.concat(units(F.col("lines"), 1, lambda x: F.lit(True)), units(F.col("blocks"), 2, lambda x: F.contains(x, F.lit("\n"))), whole)
     found = found.select("doc_id", "dir", F.explode(each).alias("u"))
-    return found.select("doc_id", "dir", F.array_join(terms(F.col("u.unit")), " ").alias("line"), "u.frames")
+    found = found.select("doc_id", "dir", F.array_join(terms(F.col("u.unit")), " ").alias("line"), "u.frames")
+    return found.withColumn("key", F.unhex(F.sha2("line", 256)))
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """line, licence, cosine and evidence (the length of the line along the template) of every distinct line close to a template."""
+    """key, licence, cosine and evidence (the length of the line along the template) of every distinct line close to a template.
+
+    lines: key, line.  Terms carry the key, not the text, which may be long.
+    """
     spark = lines.sparkSession
     templates = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(TEMPLATES)], "template int, licence string, body string")
-    corpus = stage(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "licence-lines")
+    corpus = stage(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line")), "licence-lines")
     t_terms = templates.select("template", "licence", F.explode(terms(F.col("body"))).alias("term")).groupBy("template", "licence", "term").count()
-    l_terms = stage(corpus.select("line", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").count(), "licence-terms")
+    l_terms = stage(corpus.select("key", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("key", "n", "term").count(), "licence-terms")
     # document frequencies over all statements, repeats included, and the templates
     df = l_terms.select("term", "n").unionByName(t_terms.select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
     size = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select((F.col("n") + len(TEMPLATES)).alias("size"))
     idf = stage(df.join(F.broadcast(size)).select("term", (F.ln((1 + F.col("size")) / (1 + F.col("df"))) + 1).alias("idf")), "licence-idf")
     weigh = lambda x: x.join(idf, "term").withColumn("w", F.col("count") * F.col("idf"))
     l_w, t_w = weigh(l_terms), weigh(t_terms)
-    l_norm = l_w.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l_norm"))
+    l_norm = l_w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l_norm"))
     t_norm = t_w.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     # the templates' terms are a fixed table of a few thousand rows
     sides = F.broadcast(t_w.join(t_norm, "template").select("term", "template", "licence", (F.col("w") / F.col("t_norm")).alias("t_part")))
-    dots = l_w.select("line", "term", "w").join(sides, "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("t_part")).alias("dot"))
-    close = dots.join(l_norm, "line").withColumn("cosine", F.round(F.col("dot") / F.col("l_norm"), 6)).where(F.col("cosine") >= THRESHOLD)
-    best = close.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("loss"), "licence", F.round("dot", 6).alias("evidence"))).alias("b"))
-    return best.select("line", "b.licence", (-F.col("b.loss")).alias("cosine"), "b.evidence")
+    dots = l_w.select("key", "term", "w").join(sides, "term").groupBy("key", "template", "licence").agg(F.sum(F.col("w") * F.col("t_part")).alias("dot"))
+    close = dots.join(l_norm, "key").withColumn("cosine", F.round(F.col("dot") / F.col("l_norm"), 6)).where(F.col("cosine") >= THRESHOLD)
+    best = close.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("loss"), "licence", F.round("dot", 6).alias("evidence"))).alias("b"))
+    return best.select("key", "b.licence", (-F.col("b.loss")).alias("cosine"), "b.evidence")
 
 
 def strongest() -> Column:
@@ -187,7 +191,7 @@ def directories(files: DataFrame, declared: DataFrame) -> DataFrame:
 def scan(files: DataFrame) -> DataFrame:
     """doc_id, dir, licence, origin (own, inherited, none), cosine and from_dir of every file; files: doc_id, text, dir."""
     found = stage(statements(files), "licence-statements")
-    declared = stage(found.join(classify(found.select("line")), "line").drop("line"), "licence-declared")
+    declared = stage(found.drop("line").join(classify(found.select("key", "line")), "key").drop("key"), "licence-declared")
     own = declared.groupBy("doc_id").agg(strongest().alias("o"))
     near = directories(files, declared).select("dir", F.struct("licence", "cosine", "from_dir").alias("d"))
     out = files.select("doc_id", "dir").join(own, "doc_id", "left").join(near, "dir", "left")
