@@ -45,11 +45,25 @@ _TABLE_BITS = 18
 _TABLE_MASK = np.uint64((1 << _TABLE_BITS) - 1)
 _MULTIPLIER = np.int64(0x1E3779B97F4A7C15)
 
-_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 END_OF_WORD = "</w>"
 
 
+def separated(text: str) -> bool:
+    """Whether a text has separators that Python takes for blanks and the library does not."""
+    return any(c in text for c in _SEPARATORS)
+
+
+def latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-in of each byte in byte-level vocabularies, to the byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -240,14 +254,14 @@ class ForcedBoundaryBPE:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            if self._has_young_case(text):
+            if not latin(text) and self._has_young_case(text):  # young characters lie far above
                 text = text.translate(self._young_case)
             text = text.replace("Σ", "σ")  # lower() alone would choose the form by context
         return text.lower()
 
     def _plain(self, text: str) -> bytes:
         text = self._normal(text)
-        chunks = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
+        chunks = [c for c in _SPACE.split(text) if c] if separated(text) else text.split()
         out = list(map(self._chunks.get, chunks))
         if None in out:
             new = self._chunk
@@ -357,7 +371,7 @@ class ForcedBoundaryBPE:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if "<|" in text or _SEPARATORS.search(text):
+            if "<|" in text or separated(text):
                 ids.append(self._many(texts, todo, counts))
                 ids.append(np.frombuffer(self.encode_packed(text), "<u4"))
                 counts[k] = len(ids[-1])
@@ -387,7 +401,7 @@ class ForcedBoundaryBPE:
         which = coded.indices.to_numpy()
         length = size[which]
         after = np.append(0, np.cumsum(length))
-        place = np.repeat(start[which] - after[:-1], length) + np.arange(after[-1])
+        place = np.repeat((start[which] - after[:-1]).astype(np.int32), length) + np.arange(after[-1], dtype=np.int32)
         counts[todo] = np.diff(after[chunks.offsets.to_numpy()])
         return np.frombuffer(b"".join(packed), "<u4")[place]
 
