@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chat, exact_dedup, licences, mixing, quality, simhash, substring_dedup, token_files, toxicity, whitening
+from sparkloom.llm import bpe, chat, exact_dedup, html_text, licences, mixing, quality, runs, simhash, substring_dedup, token_files, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": chat.op8_chat,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
+    "op11_html": html_text.op11_html,
+    "op12_runs": runs.op12_runs,
     "op13_whitening": whitening.op13_whitening,
 }
 
