@@ -201,3 +201,37 @@ def line_of(text: Column, needle: str) -> Column:
 def snippet(text: Column, needle: str, around: int = 120) -> Column:
     """The trimmed line of the first occurrence, at most ``around`` characters."""
     return F.when(F.instr(text, needle) == 0, F.lit("")).otherwise(F.left(js_trim(F.get(F.split(text, "\n"), (line_of(text, needle) - 1).cast("int"))), F.lit(around)))
+
+
+#: Comments and quoted texts of scripts; one that is not closed goes on to the end.
+_HIDDEN = "|".join([r"//[^\n]*", r"/\*[\s\S]*?(?:\*/|\z)", *(rf"{q}[^{q}\\]*+(?:\\[\s\S][^{q}\\]*+)*+(?:{q}|\\?\z)" for q in "'\"`")])
+
+
+def js_code_mask(text: Column) -> Column:
+    """The text of a script with spaces for comments and quoted texts: offsets and line numbers stay as they are."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"{_HIDDEN}|[^/'\"`]+|/"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^(?://|/\*|['\"`])"), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+
+
+def brace_body(text: Column, at: Column) -> Column:
+    """The text from the brace at a place (1 for the first character) to the brace that closes it, or to the end."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        done = acc["done"] | ((piece == "}") & (depth <= 0))
+        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), (acc["size"] + F.length(piece)).alias("size"), done.alias("done")))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+    rest = F.substring(text, at, F.length(text))
+    return let(rest, lambda r: F.left(r, F.aggregate(F.regexp_extract_all(r, F.lit(r"[^{}]+|[{}]"), F.lit(0)), start, step, lambda a: a["size"])))
+
+
+def calls_within(body: Column, names: Column) -> Column:
+    """Which of the names (in their order, each once) are called in a text; ``$`` is a letter, ``a.b(`` calls b."""
+    called = F.regexp_extract_all(body, F.lit(r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\("), F.lit(1))
+    return F.array_intersect(names, called)
+
+
+def declaration_order(names: Column, declared: Column) -> Column:
+    """The names in the order in which they were first declared."""
+    return F.array_intersect(declared, names)

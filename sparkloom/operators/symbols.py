@@ -1,87 +1,80 @@
-"""Imports, functions and classes by language, line by line, and imports resolved to files by joins."""
+"""Imports, exports, functions, classes and calls of code files as rows.
+
+``extract`` reads every file once, in the task that holds it, into rows of
+statements (``grammar``); all that follows is joins and groups over these rows.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import code as C
 from sparkloom.functions import paths as P
+from sparkloom.operators.grammar import statements
 from sparkloom.storage import small
 
-#: Pattern (its first group is the name) of each kind, by language.
-SYMBOLS: dict[str, dict[str, str]] = {
-    "javascript": {
-        "import": r"""^\s*(?:import\s+(?:[\w*{}\s,$]+\s+from\s+)?|export\s+[\w*{}\s,$]+\s+from\s+|.*\b(?:require|import)\s*\(\s*)['"]([^'"]+)['"]""",
-        "function": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)|^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>",
-        "class": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\w$]+)",
-    },
-    "python": {"import": r"^\s*(?:from\s+([.\w]+)\s+import\b|import\s+([\w.]+))", "function": r"^\s*(?:async\s+)?def\s+(\w+)", "class": r"^\s*class\s+(\w+)"},
-    "go": {"import": r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([\w./-]+)"\s*$""", "function": r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "class": r"^type\s+(\w+)\s+(?:struct|interface)"},
-    "rust": {"import": r"^\s*(?:pub\s+)?(?:use|mod)\s+([\w:]+)", "function": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", "class": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)"},
-    "java": {"import": r"^\s*import\s+(?:static\s+)?([\w.]+)", "function": r"^\s*(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(", "class": r"^\s*(?:public\s+)?(?:abstract\s+|final\s+)?(?:class|interface|enum|record)\s+(\w+)"},
-    "csharp": {"import": r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;", "function": r"^\s*(?:public|private|protected|internal)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(", "class": r"^\s*(?:public|internal)?\s*(?:static\s+|abstract\s+)?(?:class|interface|enum|record|struct)\s+(\w+)"},
-    "generic": {"import": r"""^\s*(?:#include\s*[<"]|require(?:_relative)?\s*\(?\s*['"]|use\s+)([\w./\\-]+)""", "function": r"^\s*(?:def|function)\s+(\w+)", "class": r"^\s*(?:class|module|struct)\s+(\w+)"},
-}
-SYMBOLS["typescript"] = SYMBOLS["javascript"]
-ENDINGS = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".json", ".py", ".rs", ".rb", "/index.js", "/index.jsx", "/index.ts", "/index.tsx", "/__init__.py", "/mod.rs")
+_FIELDS = [
+    ("path", pa.string()), ("lang", pa.string()), ("kind", pa.string()), ("detail", pa.string()), ("name", pa.string()), ("names", pa.list_(pa.string())), ("line", pa.int32()),
+    ("at", pa.int32()), ("start", pa.int32()), ("until", pa.int32()), ("size", pa.int32()),
+]
+ROWS = "path string, lang string, kind string, detail string, name string, names array<string>, line int, at int, start int, until int, size int"
+#: Rows of a batch that a task sends back.
+BATCH = 10_000
 
 
-def groups_of(pattern: str) -> int:
-    return re.compile(pattern).groups
+def extract(files: DataFrame) -> DataFrame:
+    """A row for every statement of every file: see ``ROWS``.
 
+    ``line`` is 1 for the first; ``at`` is a statement's place, ``start`` and ``until``
+    those of a function's body, in characters; ``size`` counts the type parameters of a
+    class.  ``names`` are imported names, annotations, or a method's receiver.
+    """
 
-def extract(files: DataFrame) -> DataFrame:
-    """path, lang, line, kind, name of every import, function and class; comments are cut first."""
-    clean = files.select("path", "lang", F.posexplode(F.split(C.blank_comments(F.col("text"), F.col("lang")), "\n")).alias("at", "l"))
-
-    def tried(kind: str) -> Column:
-        out = F.lit(None).cast("string")
-        for lang, kinds in SYMBOLS.items():
-            rx = kinds[kind]
-            groups = [F.nullif(F.regexp_extract("l", rx, g), F.lit("")) for g in range(1, groups_of(rx) + 1)]
-            out = F.when(F.col("lang") == lang, F.coalesce(*groups)).otherwise(out)
-        return F.struct(F.lit(kind).alias("kind"), out.alias("name"))
-
-    found = clean.withColumn("s", F.explode(F.filter(F.array(*map(tried, ("import", "function", "class"))), lambda s: s["name"].isNotNull())))
-    return found.select("path", "lang", (F.col("at") + 1).alias("line"), "s.kind", "s.name")
-
-
-def candidates(path: Column, lang: Column, name: Column) -> Column:
-    """Paths that an import may mean, best first, without endings."""
-    here = P.dir_of(path)
-    dots = F.length(F.regexp_extract(name, r"^(\.*)", 1))
-    dotted = F.replace(F.regexp_replace(name, r"^\.+", ""), F.lit("."), F.lit("/"))
-    up = F.array_join(F.slice(F.split(here, "/"), F.lit(1), F.greatest(F.size(F.split(here, "/")) - dots + 1, F.lit(0))), "/")
-    relative = P.normalize(F.concat_ws("/", here, name))
-    python = F.when(dots > 0, F.array(P.normalize(F.concat_ws("/", up, dotted)))).otherwise(F.array(dotted, P.normalize(F.concat_ws("/", here, dotted))))
-    script = F.when(name.startswith("."), F.array(relative)).when(name.startswith("/"), F.array(P.normalize(name))).otherwise(F.array().cast("array<string>"))
-    colons = F.array(P.normalize(F.concat_ws("/", here, F.replace(F.regexp_replace(name, "^(crate|self|super)::", ""), F.lit("::"), F.lit("/")))))
-    return F.when(lang == "python", python).when(lang.isin("javascript", "typescript"), script).when(lang == "rust", colons).otherwise(F.array(relative, name))
-
-
-def resolve(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """path, name, target of every import: the first candidate that is a file, or null (outside)."""
-    imports = symbols.where("kind = 'import'").select("path", "lang", "name").distinct()
-    tries = imports.select("*", F.posexplode(candidates(F.col("path"), F.col("lang"), F.col("name"))).alias("i", "stem"))
-    tries = tries.select("*", F.posexplode(F.array(*map(F.lit, ENDINGS))).alias("j", "ending"))
-    known = files.select(F.col("path").alias("target"))
-    hits = tries.join(known, F.concat("stem", "ending") == F.col("target"))
-    best = hits.groupBy("path", "name").agg(F.min_by("target", F.struct("i", "j")).alias("target"))
-    return imports.select("path", "name").join(best, ["path", "name"], "left")
-
-
-def edges(resolved: DataFrame) -> DataFrame:
-    """src, dst, each pair once, no loops."""
-    return resolved.where("target is not null and target <> path").select(F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(_FIELDS)
+        for batch in batches:
+            rows: list[dict[str, object]] = []
+            for path, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                rows += [{"path": path, "lang": lang, **r} for r in statements(path, lang, text or "")]
+                if len(rows) >= BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
+    return files.select("path", "lang", "text").mapInArrow(run, ROWS)
 
-def package_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Imports of a package (a directory) reach every file directly in it."""
-    members = files.select(P.dir_of(F.col("path")).alias("package"), F.col("path").alias("dst"))
-    return imports.join(members, "package").where("path <> dst").select(F.col("path").alias("src"), "dst").distinct()
+
+def exports(found: DataFrame) -> DataFrame:
+    """path, name, kind of what a file offers, by the rules of its language; each name once."""
+    public = F.when(F.col("lang") == "python", ~F.col("name").startswith("_") & (F.col("detail") != "method"))
+    public = public.when(F.col("lang") == "go", (F.col("kind") == "function") & F.col("name").rlike("^[A-Z]")).when(F.col("lang") == "rust", F.col("detail") == "pub")
+    public = public.when(F.col("lang").isin("java", "csharp"), F.col("kind") == "class").otherwise(F.lit(False))
+    offered = found.where((F.col("kind") == "export") | (F.col("kind").isin("function", "class") & public))
+    kind = F.when(F.col("kind") == "export", F.col("detail")).when((F.col("lang") == "go"), F.col("detail")).otherwise(F.col("kind"))
+    return offered.groupBy("path", "name").agg(F.min_by(kind, F.struct("at", kind)).alias("kind"))
+
+
+def calls(found: DataFrame, innermost: bool = False) -> DataFrame:
+    """path, caller, callee, line of the first call: functions of a file that call others of it.
+
+    A call belongs to every function whose body it lies in, or, with ``innermost``, to
+    the smallest.  Calls and bodies meet by file, so a pair is looked at only within one.
+    """
+    bodies = found.where("kind = 'function' and start is not null and until is not null").select("path", F.col("name").alias("caller"), "start", "until")
+    made = found.where("kind = 'call'").select("path", F.col("name").alias("callee"), F.col("at").alias("place"), "line")
+    inside = made.join(bodies, "path").where("place > start and place < until")
+    if innermost:
+        inside = inside.groupBy("path", "callee", "place", "line").agg(F.max_by("caller", "start").alias("caller"))
+    return inside.where("caller <> callee").groupBy("path", "caller", "callee").agg(F.min("line").alias("line"))
+
+
+def used_names(resolved: DataFrame) -> DataFrame:
+    """path, name: names that imports take from files; ``*`` for whole files."""
+    hit = resolved.where("target is not null")
+    return hit.select(F.col("target").alias("path"), F.explode(F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.lit("*")))).alias("name")).distinct()
 
 
 def dead_exports(exports: DataFrame, used: DataFrame, spared: DataFrame) -> DataFrame:
@@ -91,6 +84,12 @@ def dead_exports(exports: DataFrame, used: DataFrame, spared: DataFrame) -> Data
     return left.join(used.select("path", "name").distinct(), ["path", "name"], "left_anti")
 
 
+def package_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Imports of a package (a directory) reach every file directly in it."""
+    members = files.select(P.dir_of(F.col("path")).alias("package"), F.col("path").alias("dst"))
+    return imports.join(members, "package").where("path <> dst").select(F.col("path").alias("src"), "dst").distinct()
+
+
 def directories_by_suffix(files: DataFrame, most: int = 3) -> DataFrame:
     """suffix, dir, n: directories by their last one to ``most`` parts; of several the first, and how many there are."""
     dirs = files.select(P.dir_of(F.col("path")).alias("dir")).distinct().withColumn("p", F.split("dir", "/"))

@@ -35,16 +35,6 @@ def repo_names(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "pages").select("page_id", T.repo_name(url).alias("name"), T.host_path(url).alias("path"))
 
 
-def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Imports, functions and classes of all code files."""
-    return S.extract(B.code(spark, sf)).select("path", F.col("line").cast("long").alias("line"), "kind", "name")
-
-
-def v_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """How many files name a symbol, by kind, and the first of them."""
-    return symbols(spark, sf).groupBy("kind", "name").agg(F.countDistinct("path").alias("files"), F.min("path").alias("first"))
-
-
 def v_explain_file(spark: SparkSession, sf: str) -> DataFrame:
     return T.explain_files(graphs._facts(spark, sf), B.edges(spark, sf))
 
@@ -77,5 +67,5 @@ def v_hubs_prose(spark: SparkSession, sf: str) -> DataFrame:
     return facts.select("node", F.format_string("%s has %d dependents and %d imports", F.col("name"), F.col("fan_in"), F.col("fan_out")).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (contain_path, limit_clamp, join_dir_suffix, repo_names, symbols, v_symbols, v_explain_file, v_overview, v_caveats, v_layers_view, v_tree, v_hubs_prose)}
+QUERIES = {f.__name__: f for f in (contain_path, limit_clamp, join_dir_suffix, repo_names, v_explain_file, v_overview, v_caveats, v_layers_view, v_tree, v_hubs_prose)}
 ORACLES = Q.ORACLES

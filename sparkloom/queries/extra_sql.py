@@ -3,32 +3,18 @@
 from __future__ import annotations
 
 from sparkloom import bindings as B
-from sparkloom.operators import symbols as S
 from sparkloom.queries.graphs import _G, _RESOLVE, ORACLES as _GRAPHS
 
 _ROLE = "CASE WHEN is_test THEN 'test' WHEN is_entry THEN 'entry' WHEN fan_in >= 5 THEN 'hub' WHEN fan_out = 0 AND fan_in > 0 THEN 'leaf' ELSE 'module' END"
 _ORPHAN = "fan_in = 0 AND NOT is_entry AND NOT is_test"
 
 
-def _symbol_sql() -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    parts = []
-    for lang, kinds in S.SYMBOLS.items():
-        for kind, rx in kinds.items():
-            names = ", ".join(f"nullif(regexp_extract(l, {quote(rx)}, {g}), '')" for g in range(1, S.groups_of(rx) + 1))
-            parts.append(f"SELECT path, line, {quote(kind)} AS kind, coalesce({names}) AS name FROM every WHERE lang = {quote(lang)}")
-    return "WITH " + B.code_sql() + ", every AS (SELECT path, lang, unnest(string_split(text, chr(10))) AS l, unnest([1, 2]) AS line FROM code), found AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE name IS NOT NULL AND line = 2) "
-
-
-_SYMBOLS = _symbol_sql()
 ORACLES = {
     "contain_path": "WITH " + B.FILES + "SELECT doc_id, CASE WHEN doc_id % 4 >= 2 THEN NULL WHEN doc_id % 4 = 1 THEN path ELSE 'src/' || path END AS path FROM files",
     "limit_clamp": "SELECT p_partkey, greatest(1, least(CASE WHEN p_size <> 7 THEN p_size * 10 - 50 ELSE 20 END, 200))::BIGINT AS most FROM part",
     "join_dir_suffix": "WITH " + B.FILES + """, d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files), p AS (SELECT dir, string_split(dir, '/') AS a FROM d),
         s AS (SELECT dir, array_to_string(a[len(a) - k + 1:], '/') AS suffix FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= len(a)) SELECT suffix, min(dir) AS dir, count(*) AS n FROM s GROUP BY 1""",
     "repo_names": r"SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/:]+)/*$', 1), '\.git$', '') AS name, regexp_replace(regexp_extract(url, '^(?:https?://|git@)[^/:]+[/:]([^/?#]+/[^/?#]+)', 1), '\.git$', '') AS path FROM pages",
-    "symbols": _SYMBOLS + "SELECT path, line::BIGINT AS line, kind, name FROM found",
-    "v_symbols": _SYMBOLS + 'SELECT kind, name, count(DISTINCT path) AS files, min(path) AS "first" FROM found GROUP BY 1, 2',
     "v_explain_file": _G() + f""", b AS (SELECT dst AS node, string_agg(src::VARCHAR, ', ' ORDER BY src) AS by_ FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM edges) WHERE k <= 5 GROUP BY 1),
         r AS (SELECT facts.*, by_, {_ROLE} AS role, concat_ws(' and ', CASE WHEN fan_out > 0 THEN 'pulls in ' || fan_out || CASE WHEN fan_out = 1 THEN ' other file' ELSE ' other files' END END, CASE WHEN fan_in > 0 THEN 'is pulled in by ' || fan_in END,
               CASE WHEN fan_in = 0 AND fan_out = 0 AND NOT is_entry THEN 'is connected to nothing else' END) AS links FROM facts LEFT JOIN b USING (node))

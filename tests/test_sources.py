@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparkloom.operators import resolution as R
 from sparkloom.operators import symbols as S
 from sparkloom.sources import git, manifests, repository
 
@@ -78,9 +79,9 @@ def test_symbols_and_edges(spark):
     found = S.extract(files)
     assert {(r.path, r.line, r.name) for r in found.where("kind = 'function'").collect()} == {("index.js", 4, "f"), ("a.js", 3, "go"), ("lib/b.js", 1, "q"), ("pkg/m.py", 5, "f")}
     assert {r.name for r in found.where("kind = 'class'").collect()} == {"K", "C"}
-    done = S.resolve(found, files)
+    done = R.resolve(found, files)
     assert {(r.path, r.name) for r in done.where("target is null").collect()} == {("a.js", "fs"), ("pkg/m.py", "os")}
-    assert {(r.src, r.dst) for r in S.edges(done).collect()} == {("index.js", "a.js"), ("index.js", "lib/b.js"), ("a.js", "lib/b.js"), ("d.js", "lib/c/index.js"), ("pkg/m.py", "pkg/__init__.py"), ("pkg/m.py", "pkg/n.py"), ("pkg/n.py", "pkg/m.py")}
+    assert {(r.src, r.dst) for r in R.edges(done).collect()} == {("index.js", "a.js"), ("index.js", "lib/b.js"), ("a.js", "lib/b.js"), ("d.js", "lib/c/index.js"), ("pkg/m.py", "pkg/__init__.py"), ("pkg/m.py", "pkg/n.py"), ("pkg/n.py", "pkg/m.py")}
 
 
 def test_packages_and_dead_exports(spark):
