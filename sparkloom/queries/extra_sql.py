@@ -16,14 +16,14 @@ ORACLES = {
         s AS (SELECT dir, array_to_string(a[len(a) - k + 1:], '/') AS suffix FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= len(a)) SELECT suffix, min(dir) AS dir, count(*) AS n FROM s GROUP BY 1""",
     "repo_names": r"SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/:]+)/*$', 1), '\.git$', '') AS name, regexp_replace(regexp_extract(url, '^(?:https?://|git@)[^/:]+[/:]([^/?#]+/[^/?#]+)', 1), '\.git$', '') AS path FROM pages",
     "v_explain_file": _G() + f""", b AS (SELECT dst AS node, string_agg(src::VARCHAR, ', ' ORDER BY src) AS by_ FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM edges) WHERE k <= 5 GROUP BY 1),
-        r AS (SELECT facts.*, by_, {_ROLE} AS role, concat_ws(' and ', CASE WHEN fan_out > 0 THEN 'pulls in ' || fan_out || CASE WHEN fan_out = 1 THEN ' other file' ELSE ' other files' END END, CASE WHEN fan_in > 0 THEN 'is pulled in by ' || fan_in END,
-              CASE WHEN fan_in = 0 AND fan_out = 0 AND NOT is_entry THEN 'is connected to nothing else' END) AS links FROM facts LEFT JOIN b USING (node))
+        r AS (SELECT facts.*, by_, {_ROLE} AS role, concat_ws(' and ', CASE WHEN fan_out > 0 THEN 'imports ' || fan_out || CASE WHEN fan_out = 1 THEN ' file' ELSE ' files' END END, CASE WHEN fan_in > 0 THEN 'is imported by ' || fan_in END,
+              CASE WHEN fan_in = 0 AND fan_out = 0 AND NOT is_entry THEN 'has no imports either way' END) AS links FROM facts LEFT JOIN b USING (node))
         SELECT node, concat_ws(chr(10), name || ' is ' || CASE WHEN role = 'entry' THEN 'an ' ELSE 'a ' END || role || '.', CASE WHEN links <> '' THEN 'It ' || links || '.' END,
-               CASE WHEN by_ IS NOT NULL THEN 'First to notice: ' || by_ || CASE WHEN fan_in > 5 THEN ' and ' || (fan_in - 5) || ' others' ELSE '' END || '.' END) AS text FROM r""",
+               CASE WHEN by_ IS NOT NULL THEN 'A change shows in: ' || by_ || CASE WHEN fan_in > 5 THEN ' and ' || (fan_in - 5) || ' others' ELSE '' END || '.' END) AS text FROM r""",
     "v_overview": _G() + "," + B.FILES + f""", l AS (SELECT lang, count(*) AS n FROM files GROUP BY 1)
         SELECT concat_ws(chr(10), (SELECT sum(n)::BIGINT || ' code files (' || string_agg(n || ' ' || lang, ', ' ORDER BY n DESC, lang) || '), ' FROM l) || (SELECT count(*) FROM edges) || ' import connections.',
-          (SELECT 'Start reading at ' || string_agg(node::VARCHAR, ', ' ORDER BY node) || '.' FROM (SELECT node FROM nodes WHERE is_entry ORDER BY node LIMIT 3)),
-          (SELECT 'The file everyone depends on is ' || node || ' (' || fan_in || ' dependents).' FROM facts WHERE fan_in > 0 ORDER BY fan_in DESC, node LIMIT 1),
+          (SELECT 'Good first reads: ' || string_agg(node::VARCHAR, ', ' ORDER BY node) || '.' FROM (SELECT node FROM nodes WHERE is_entry ORDER BY node LIMIT 3)),
+          (SELECT 'Most imported: ' || node || ' (' || fan_in || ' dependents).' FROM facts WHERE fan_in > 0 ORDER BY fan_in DESC, node LIMIT 1),
           (SELECT CASE WHEN count(*) > 0 THEN count(*) || ' files are imported by nothing.' END FROM facts WHERE {_ORPHAN})) AS text""",
     "v_caveats": _RESOLVE + ", " + B.FILES + """, t AS (SELECT count(*) - count(path) AS lost, floor(100.0 * count(path) / count(*) + 0.5) AS sure FROM done)
         SELECT 'unresolved imports' AS caveat, lost AS n FROM t WHERE sure < 90 UNION ALL SELECT 'left out: tooLarge', count(*) FROM files WHERE length(text) > 204800 HAVING count(*) > 0""",
