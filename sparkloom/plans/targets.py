@@ -33,17 +33,17 @@ def resolve_target(typed: DataFrame, files: DataFrame) -> DataFrame:
     )
     bare = F.regexp_replace("raw", "/+$", "")
     by = F.when(F.col("tier").isin(2, 3), bare).when(F.col("tier") == 5, F.lower("raw")).otherwise(F.col("raw"))
-    tries = asked.where("raw not in ('', '.', './')").select("typed", "raw", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("tier")).withColumn("key", by)
+    tries = asked.where("raw not in ('', '.')").select("typed", "raw", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("tier")).withColumn("key", by)
     hits = tries.join(keys, ["tier", "key"]).select("typed", "tier", "path")
     # several folders that end so decide nothing
     counts = hits.groupBy("typed", "tier").agg(F.count(F.lit(1)).alias("n")).where("tier <> 3 or n = 1")
     first = counts.groupBy("typed").agg(F.min(F.struct("tier", "n")).alias("f")).select("typed", "f.tier", "f.n")
     sure = hits.join(first, ["typed", "tier"]).select("typed", F.when(F.col("tier").isin(2, 3), "folder").when(F.col("n") == 1, "file").otherwise("which").alias("kind"), "path")
-    left = asked.where("raw not in ('', '.', './')").join(first, "typed", "left_anti").withColumn("low", F.lower("raw"))
+    left = asked.where("raw not in ('', '.')").join(first, "typed", "left_anti").withColumn("low", F.lower("raw"))
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(_GRAM)), lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.length("path") - g + 1, F.lit(1))), lambda k: F.lower(F.substring(F.col("path"), k, g))))))
     held = files.select("path", F.explode(grams).alias("gram")).join(left.withColumn("gram", F.left("low", F.lit(_GRAM))), "gram").where(F.contains(F.lower("path"), F.col("low")))
     shortest = Window.partitionBy("typed").orderBy(F.length("path"), "path")
     similar = held.withColumn("k", F.row_number().over(shortest)).where(F.col("k") <= SIMILAR).select("typed", F.lit("similar").alias("kind"), "path")
     none = left.join(similar.select("typed").distinct(), "typed", "left_anti").select("typed", F.lit("none").alias("kind"), F.lit(None).cast("string").alias("path"))
-    blank = asked.where("raw in ('', '.', './')").select("typed", F.when(F.col("raw") == "", "none").otherwise("folder").alias("kind"), F.when(F.col("raw") != "", "").alias("path"))
+    blank = asked.where("raw in ('', '.')").select("typed", F.when(F.col("raw") == "", "none").otherwise("folder").alias("kind"), F.when(F.col("raw") != "", "").alias("path"))
     return sure.unionByName(similar).unionByName(none).unionByName(blank)

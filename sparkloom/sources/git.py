@@ -2,9 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Marks of an exported log: before a record and between its fields.  Fixed values.
+RECORD, FIELD = "\x1e", "\x1f"
+#: Columns of a commit.
+COMMIT = "repo string, hash string, author string, email string, day string, files array<string>"
+
+
+def _commit(record: Column, repo: Column) -> list[Column]:
+    lines = F.split(record, "\n")
+    fields = F.split(F.get(lines, F.lit(0)), FIELD)
+    field = lambda k: F.coalesce(F.trim(F.get(fields, F.lit(k))), F.lit(""))
+    files = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return [repo.alias("repo"), field(0).alias("hash"), field(1).alias("author"), field(2).alias("email"), field(3).alias("day"), files.alias("files")]
+
+
+def read_log(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """Commits of exported logs, a file a repository (its name without ending), as a table or a stream.
+
+    Files are read record by record and split between tasks within one file, so a log of
+    any length is never one row.  As a stream, files that arrive later are read then.
+    """
+    reader = (spark.readStream if stream else spark.read).format("text").option("lineSep", RECORD)
+    raw = reader.load(folder).select("value", F.col("_metadata.file_name").alias("file"))
+    rows = raw.where(F.trim(F.regexp_replace("value", r"\s", "")) != "").select(*_commit(F.col("value"), F.regexp_replace("file", r"\.[^.]*$", "")))
+    return rows.where("hash <> '' and day <> ''")  # a record has all its fields: messages in place of a log have none
+
+
+def log_states(spark: SparkSession, folder: str) -> DataFrame:
+    """repo, commits, reason of every exported log; reason tells why there is no history, else it is null.
+
+    Spark's file sources do not see files of no bytes: export the message of the tool instead.
+    """
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("repo"), "length", F.decode(F.substring("content", 1, 200), "UTF-8").alias("head"))
+    found = read_log(spark, folder).groupBy("repo").agg(F.count(F.lit(1)).alias("commits"))
+    reason = (
+        F.when(F.col("commits").isNotNull(), F.lit(None)).when((F.col("length") == 0) | F.col("head").rlike("(?i)does not have any commits"), "no commits")
+        .when(F.col("head").rlike("(?i)not a git repository"), "no checkout").when(F.col("head").rlike("(?i)ENOENT|command not found"), "no git").otherwise("not a log")
+    )
+    return files.join(found, "repo", "left").select("repo", F.coalesce("commits", F.lit(0)).cast("long").alias("commits"), reason.alias("reason"))
+
+
+def newest(commits: DataFrame, most: int = 2000) -> DataFrame:
+    """The ``most`` newest commits of every repository (the length of a history view)."""
+    order = Window.partitionBy("repo").orderBy(F.desc("day"), "hash")
+    return commits.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
+
 
 def parse_log(logs: DataFrame) -> DataFrame:
     """repo, ord, hash, author, name, day, files from ``text`` with \\x1e before records and \\x1f between fields.
@@ -24,7 +69,7 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
 
     State is carried within one text only: file numbers and line numbers are those of its own text.
     """
-    lines = diffs.withColumn("id", F.xxhash64("repo", "text")).select("repo", "id", F.posexplode(F.split("text", "\n")).alias("no", "l"))
+    lines = diffs.withColumn("id", F.monotonically_increasing_id()).select("repo", "id", F.posexplode(F.split("text", "\n")).alias("no", "l"))
     order = Window.partitionBy("repo", "id").orderBy("no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("is_file", F.col("l").startswith("diff --git ")).withColumn("is_hunk", F.col("l").rlike("^@@ -\\d+(,\\d+)? \\+\\d+(,\\d+)? @@"))
@@ -45,7 +90,7 @@ def diff_files(diffs: DataFrame) -> DataFrame:
 
     Files without hunks are told too; the last header line about a status decides.
     """
-    lines = diffs.withColumn("id", F.xxhash64("repo", "text")).select("repo", "id", F.posexplode(F.split("text", "\n")).alias("no", "l"))
+    lines = diffs.withColumn("id", F.monotonically_increasing_id()).select("repo", "id", F.posexplode(F.split("text", "\n")).alias("no", "l"))
     so_far = Window.partitionBy("repo", "id").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("file_no", F.sum(F.col("l").startswith("diff --git ").cast("int")).over(so_far)).where("file_no > 0")
     in_file = Window.partitionBy("repo", "id", "file_no").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
@@ -69,7 +114,7 @@ def diff_stats(diff: DataFrame) -> DataFrame:
 
 def parse_blame(blames: DataFrame) -> DataFrame:
     """repo, line_no, sha, author, day, text from porcelain text; a commit's facts are told once a text and reused."""
-    lines = blames.withColumn("id", F.xxhash64("repo", "text")).select("repo", "id", F.posexplode(F.split("text", "\n")).alias("no", "l"))
+    lines = blames.withColumn("id", F.monotonically_increasing_id()).select("repo", "id", F.posexplode(F.split("text", "\n")).alias("no", "l"))
     so_far = Window.partitionBy("repo", "id").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     head = r"^([0-9a-f]{40}) \d+ (\d+)"
     own = lambda rx, g: F.last(F.when(F.col("l").rlike(rx), F.regexp_extract("l", rx, g)), ignorenulls=True).over(so_far)

@@ -36,13 +36,33 @@ def crates(text: Column) -> Column:
     return F.aggregate(_lines(text), start, step, lambda a: F.array_sort(F.array_distinct(a["names"])))
 
 
-PACKAGE = "name string, license string, main string, scripts map<string,string>, dependencies map<string,string>, devDependencies map<string,string>"
+PACKAGE = "name string, license string, main string, bin string, workspaces string, scripts map<string,string>, dependencies map<string,string>, devDependencies map<string,string>"
 
 
 def package_json(text: Column) -> Column:
     return F.from_json(text, PACKAGE)
 
 
+def entry_points(package: Column) -> Column:
+    """Paths that a package names as its ways in: main, then bin, alone or by names."""
+    named = F.map_values(F.from_json(package["bin"], "map<string,string>"))
+    bins = F.when(package["bin"].startswith("{"), named).when(package["bin"].isNotNull(), F.array(package["bin"])).otherwise(F.array().cast("array<string>"))
+    every = F.concat(F.array_compact(F.array(package["main"])), bins)
+    return F.transform(F.filter(every, lambda p: p != ""), lambda p: F.regexp_replace(p, r"^\./", ""))
+
+
+def workspaces(package: Column) -> Column:
+    """Folders of a package's workspaces, a list or one under ``packages``, without a slash at the end."""
+    raw = package["workspaces"]
+    found = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.from_json(raw, "struct<packages:array<string>>")["packages"])
+    return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda w: F.regexp_replace(w, "/$", ""))
+
+
+def has_server(package: Column) -> Column:
+    """Whether a script starts, serves or develops something."""
+    return F.exists(F.coalesce(F.map_keys(package["scripts"]), F.array().cast("array<string>")), lambda s: s.rlike("start|serve|dev"))
+
+
 def dependencies(manifests: DataFrame) -> DataFrame:
     """repo, name, version, ecosystem, dev of all manifests (repo, file, text)."""
     file = F.substring_index("file", "/", -1)
@@ -81,3 +101,48 @@ def vulture(text: Column, least: int = 60) -> Column:
     rx = r"^(.+):(\d+): (.+) \((\d+)% confidence\)$"
     rows = F.filter(_lines(text), lambda x: x.rlike(rx) & (F.regexp_extract(x, rx, 4).cast("int") >= least))
     return F.transform(rows, lambda x: F.struct(F.regexp_extract(x, rx, 1).alias("path"), F.regexp_extract(x, rx, 2).cast("int").alias("line"), F.lit("unused-code").alias("rule"), F.lit("low").alias("severity"), F.lit("vulture").alias("tool")))
+
+
+KNIP = "files array<string>, dependencies array<string>, unused array<struct<name:string,file:string,line:int>>, unresolved array<struct<name:string,file:string,line:int>>"
+
+
+def _finding(path: Column, line: Column, rule: str, severity: str, tool: str, what: Column) -> Column:
+    return F.struct(path.alias("path"), F.coalesce(line, F.lit(1)).alias("line"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(tool).alias("tool"), what.alias("what"))
+
+
+def knip(text: Column) -> Column:
+    """Unused files, dependencies and exports, and imports that lead nowhere; ``what`` is their name."""
+    r = F.from_json(text, KNIP)
+    none = F.array().cast("array<struct<path:string,line:int,rule:string,severity:string,tool:string,what:string>>")
+    names = lambda key, rule, severity: F.coalesce(F.transform(r[key], lambda x: _finding(x, F.lit(1), rule, severity, "knip", x)), none)
+    places = lambda key, rule, severity: F.coalesce(F.transform(r[key], lambda x: _finding(x["file"], x["line"], rule, severity, "knip", x["name"])), none)
+    return F.concat(names("files", "knip:unused-file", "medium"), names("dependencies", "knip:unused-dependency", "low"), places("unused", "knip:unused-export", "low"), places("unresolved", "knip:unresolved", "medium"))
+
+
+def depcheck(text: Column) -> Column:
+    """Declared packages that nothing imports, by manifest; those for development say so."""
+    r = F.from_json(text, "dependencies array<string>, devDependencies array<string>")
+    of = lambda key, dev: F.coalesce(F.transform(r[key], lambda x: F.struct(*(_finding(F.lit("package.json"), F.lit(1), "depcheck:unused", "low", "depcheck", x)[c].alias(c) for c in ("path", "line", "rule", "severity", "tool", "what")), F.lit(dev).alias("dev"))), F.array().cast("array<struct<path:string,line:int,rule:string,severity:string,tool:string,what:string,dev:boolean>>"))
+    return F.concat(of("dependencies", False), of("devDependencies", True))
+
+
+def engine_rows(status: DataFrame, passes: DataFrame) -> DataFrame:
+    """Every tool (id, label, kind, available) with its last run (id, ok, available, findings, ms, reason), if there was one."""
+    p = passes.select("id", "ok", F.col("available").alias("was"), F.col("findings").alias("n"), F.col("ms").alias("took"), "reason")
+    ok, failed = F.coalesce("ok", F.lit(False)), F.coalesce(~F.col("ok") & F.col("was"), F.lit(False))
+    return status.join(p, "id", "left").select(
+        "id", F.coalesce("label", "id").alias("label"), F.coalesce("kind", F.lit("security")).alias("kind"), F.coalesce("available", F.lit(False)).alias("available"),
+        ok.alias("ran"), failed.alias("failed"), F.when(ok, F.col("n")).otherwise(0).cast("long").alias("findings"), F.when(ok, F.col("took")).alias("ms"), F.when(failed, F.col("reason")).alias("failure"),
+    )
+
+
+def engine_summary(rows: DataFrame, ran_once: bool = True) -> DataFrame:
+    """tone (idle, none, clean, found) and counts in one line: nothing ran is never told as nothing found."""
+    t = rows.agg(F.count(F.lit(1)).alias("tools"), F.count_if("ran").alias("ran"), F.count_if("failed").alias("failed"), F.count_if(~F.col("available")).alias("missing"), F.coalesce(F.sum("findings"), F.lit(0)).alias("found"))
+    tone = F.when(~F.lit(ran_once), "idle").when(F.col("ran") == 0, "none").when(F.col("found") > 0, "found").otherwise("clean")
+    count = lambda c, what: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(what)))
+    text = (
+        F.when(tone == "idle", "No engine was run.").when((tone == "none") & (F.col("missing") == F.col("tools")) & (F.col("tools") > 0), "No engine is installed.").when(tone == "none", "No engine could run.")
+        .otherwise(F.concat_ws(", ", F.concat(F.col("ran").cast("string"), F.lit(" of "), F.col("tools").cast("string"), F.lit(" ran")), F.concat(F.col("found").cast("string"), F.lit(" findings")), count("failed", " failed"), count("missing", " not installed")))
+    )
+    return t.select(tone.alias("tone"), text.alias("text"))

@@ -11,7 +11,7 @@ from sparkloom.functions import paths as P
 def read(spark: SparkSession, root: str, max_size: int = 200 * 1024, ignore: str = "") -> DataFrame:
     """path, text, lang, size, reason of every file below ``root``; reason is null for files to be analysed.
 
-    Texts of files that are left out are not decoded.  ``ignore`` holds the lines of a .gitignore file.
+    Texts of files that are left out are not decoded; files of no bytes are not seen by Spark's file sources.  ``ignore`` holds the lines of a .gitignore file.
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -21,7 +21,7 @@ def read(spark: SparkSession, root: str, max_size: int = 200 * 1024, ignore: str
     rules = ignore_pattern(ignore)
     if rules:
         reason = F.when(F.col("path").rlike(rules), "ignored").otherwise(reason)
-    binary = F.instr(F.hex(F.substring("content", 1, 1000)), "00") % 2 == 1
+    binary = F.hex(F.substring("content", 1, 1000)).rlike("^(?:..)*?00")  # a zero byte, not two halves of others
     rows = rows.withColumn("reason", F.when(reason.isNull() & binary, "binary").otherwise(reason))
     return rows.select("path", F.when(F.col("reason").isNull(), F.decode("content", "UTF-8")).alias("text"), P.language_of(F.col("path")).alias("lang"), F.col("length").alias("size"), "reason")
 
@@ -62,6 +62,15 @@ def truncated(files: DataFrame, most: int) -> DataFrame:
     return files.orderBy(P.depth_of(F.col("path")), "path").limit(most)
 
 
+def truncation(files: DataFrame, most: int) -> DataFrame:
+    """at_files, files_left, dirs_left: what a walk by depth and path that stops after ``most`` files leaves out; no row if it ends before."""
+    total = files.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    shown = truncated(files, most).agg(F.max(F.struct(P.depth_of(F.col("path")), "path")).alias("last"))
+    beyond = F.struct(P.depth_of(F.col("path")), F.col("path")) > F.col("last")
+    left = files.join(F.broadcast(shown)).where(beyond).agg(F.count(F.lit(1)).alias("files_left"), F.countDistinct(P.dir_of(F.col("path"))).alias("dirs_left"))
+    return total.join(F.broadcast(left)).select(F.lit(most).cast("long").alias("at_files"), "files_left", "dirs_left")
+
+
 def cache_key() -> Column:
     """An aggregate: a fingerprint of files (path, size) in which order does not matter and every repeated row counts."""
     parts = F.sha2(F.concat_ws("\x1f", "path", F.col("size").cast("string")), 256)
