@@ -70,7 +70,7 @@ def test_payloads_fit(spark):
     edges = spark.createDataFrame([(1, 2), (5, 2), (2, 3)], "src long, dst long")
     made = json.loads(A.overview(f, edges, 120).first().json)
     assert made["stats"] == {"files": 6, "connections": 3, "orphans": 2} and [p["kind"] for p in made["parts"]] == ["entry", "hub"] and made["leftOut"] == 1
-    files = {r.payload: json.loads(r.json) for r in A.explain_file(f, edges, 60).collect()}
+    files = {r.payload: json.loads(r.json) for r in A.explain_file(f, edges, 50).collect()}
     assert files["file/2"]["near"] == [{"side": "importer", "other": 1}] and files["file/2"]["leftOut"] == 2 and files["file/4"] == {"file": {"node": 4, "name": "lone.js", "role": "module", "fan_in": 0, "fan_out": 0}, "near": [], "leftOut": 0}
     empty = A.overview(f.limit(0), edges.limit(0)).first().json
     assert json.loads(empty) == {"stats": {"files": 0, "connections": 0, "orphans": 0}, "parts": [], "leftOut": 0}
