@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import stage
 
-MARKERS = ("licen", "copyright", "rights reserved", "public domain", "spdx-", "hereby granted", "redistribution and use")
+MARKERS = ("licen", "creative commons", "copyright", "rights reserved", "public domain", "spdx-", "hereby granted", "redistribution and use")
 THRESHOLD = 0.6
 _WARRANTY = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
@@ -59,18 +59,43 @@ _APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you
 _APACHE_REST = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
 
 
+def _parts(title: str, rest: str) -> list[str]:
+    """A beginning with its first block, its preamble alone, and all of it."""
+    head, _, preamble = rest.partition(" Preamble ")
+    return [f"{title} {head}", *([preamble, f"{title} {rest}"] if preamble else [])]
+
+
 def _gnu(licence: str, name: str, version: str) -> tuple[tuple[str, str], ...]:
     """The notice's first sentence, and the whole notice."""
     return (licence, _GNU_USE.format(name, version)), (licence, f"{_GNU_USE.format(name, version)} {_GNU_HOPE.format(name)}")
 
 
-#: Notices and texts of common licences: (id, text).  Fixed values.
+_FSF = "Copyright (C) {} Free Software Foundation, Inc. {} Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_FSF_OLD, _FSF_NEW = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "https://fsf.org/"
+_FREEDOM = "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License{0} intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."
+#: How licence files begin: (id, title, what follows).  Fixed values.
+_OPENINGS = (
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _FSF.format("2007", _FSF_NEW) + " Preamble The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", _FSF.format("1989, 1991", _FSF_OLD) + " Preamble " + _FREEDOM.format(" is")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", _FSF.format("2007", _FSF_NEW) + " Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _FSF.format("2007", _FSF_NEW) + " This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", _FSF.format("1991, 1999", _FSF_OLD) + " This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1. Preamble " + _FREEDOM.format("s are")),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0", "1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. \"Contributor Version\" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0", "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT. 1. DEFINITIONS"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal", "CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\")."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\")."),
+)
+#: Notices, openings and texts of common licences: (id, text).  Fixed values.
 TEMPLATES = (
     *_gnu("AGPL-3.0", "GNU Affero General Public License", "3"),
     *_gnu("GPL-3.0", "GNU General Public License", "3"),
     *_gnu("GPL-2.0", "GNU General Public License", "2"),
     *_gnu("LGPL-3.0", "GNU Lesser General Public License", "3"),
     *_gnu("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+    *((licence, title) for licence, title, _ in _OPENINGS), *((licence, part) for licence, title, rest in _OPENINGS for part in _parts(title, rest)),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
     ("Apache-2.0", _APACHE), ("Apache-2.0", f"{_APACHE} {_APACHE_REST}"),
     ("BSD-2-Clause", _REDISTRIBUTION), ("BSD-2-Clause", f"{_REDISTRIBUTION} {_WARRANTY}"),
     ("BSD-3-Clause", f"{_REDISTRIBUTION} {_NO_NAMES}"), ("BSD-3-Clause", f"{_REDISTRIBUTION} {_NO_NAMES} {_WARRANTY}"),

@@ -6,8 +6,10 @@ value is ``ln(1 + PER * count / length)``, so it tells how often the text uses i
 Each feature is scaled by its naive Bayes log-count ratio between toxic and clean
 training texts; a logistic regression over the scaled features gives the score.
 
-* At most ``MAX_TRAINING`` labelled rows are learnt from, one a doc_id, chosen by a
-  hash of the doc_id: the one bound on what is learnt.  Every slot is a feature.
+* At most ``MAX_TRAINING`` labelled rows are learnt from, one a doc_id, in the order of
+  a hash of the doc_id, and no more of them than have ``MAX_VALUES`` values (a text of n
+  characters has at most ``3 * n``, and never more than there are slots): the two bounds
+  on what is learnt, by rows and by memory.  Every slot is a feature.
 * Values of features by label are summed where the training texts lie, then by
   slot, as whole numbers of ``1 / UNITS``: the sums do not depend on their order.
 * The regression is fitted in one task over those rows, whose number is bounded; a
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import stage
@@ -40,6 +42,8 @@ BITS = 18
 ORDERS = (3, 4, 5)
 #: Most labelled rows that are learnt from.
 MAX_TRAINING = 8_000
+#: Most values of features of all of them together: eight bytes each in the task that fits.
+MAX_VALUES = 128_000_000
 #: Uses are counted a so many characters, and values in parts of one.
 PER = 1_000
 UNITS = 256
@@ -104,7 +108,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # MAX_TRAINING rows of two numbers: the broadcast has a fixed bound
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = found.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    return stage(rows.select("text", "label").repartition(PARTITIONS), "toxicity-training")
+    rows = stage(rows.repartition(PARTITIONS), "toxicity-training")
+    # sizes of MAX_TRAINING rows at most: one task's running sum, and a broadcast of ids
+    cost = F.least(len(ORDERS) * F.length("text").cast("long"), F.lit(1 << BITS))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = rows.select("doc_id", cost.alias("cost")).withColumn("so_far", F.sum("cost").over(order)).where(F.col("so_far") <= MAX_VALUES)
+    return rows.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi").select("text", "label")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +157,15 @@ class Rows:
         return np.bincount(self.slot, np.repeat(error, self.size) * self.scaled, minlength=1 << BITS)
 
 
-def fit(rows: list[Rows]) -> tuple[np.ndarray, float]:
+def fit(rows: list[Rows], penalty: float | None = None) -> tuple[np.ndarray, float]:
     """Weight of every slot's scaled value, and intercept, by full-batch Adam on the penalised log loss."""
+    penalty = PENALTY if penalty is None else penalty
     count = sum(len(r.label) for r in rows)
     share = sum(r.label.sum() for r in rows) / count
     weights, bias = np.zeros(1 << BITS), float(np.log(share / (1 - share)))
     m, v = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for k in range(1, STEPS + 1):
-        grad = np.append(PENALTY * weights, 0.0)
+        grad = np.append(penalty * weights, 0.0)
         for r in rows:
             error = r.errors(weights, bias)
             grad[:-1] += r.gradient(error) / count
@@ -202,6 +212,37 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(np.frombuffer(bytes(fitted.weights)), fitted.bias)
 
 
+def cross_validate(training: DataFrame, settings: list[tuple[float, float]], folds: int = 5) -> DataFrame:
+    """smoothing, penalty, toxic, found, alarms and loss of each setting: learnt on all folds but one, tried on that one.
+
+    ``SMOOTHING`` and ``PENALTY`` were chosen by this on rows that may be learnt from, and
+    then frozen; held-out rows took no part.  Every setting and fold is a task of its own.
+    """
+    tries = F.array(*(F.struct(F.lit(s).alias("smoothing"), F.lit(p).alias("penalty"), F.lit(k).alias("out")) for s, p in settings for k in range(folds)))
+    rows = training.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"), F.explode(tries).alias("t")).select("text", "label", "fold", "t.*")
+    names = ["smoothing", "penalty", "toxic", "found", "alarms", "loss", "n"]
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        smoothing, penalty, out = (x.as_py() for x in key)
+        slots, label, test = Slots(), np.array(group.column("label").to_pylist()), group.column("fold").to_numpy() == out
+        found = [slots.counted(t.as_py()) for t in group.column("text")]
+        sums = np.zeros((2, 1 << BITS))
+        for (slot, value), y in zip([f for f, t in zip(found, test) if not t], label[~test]):
+            sums[y][slot] += value / UNITS
+        total, y = sums.sum(axis=1), label[test]
+        if not test.any() or not total.all():
+            return pa.table({n: pa.array([v]) for n, v in zip(names, [smoothing, penalty, int(y.sum()), 0, 0, 0.0, 0])})
+        ratio = np.where(sums.any(axis=0), np.log((sums[1] + smoothing * total[1] / total.sum()) / total[1]) - np.log((sums[0] + smoothing * total[0] / total.sum()) / total[0]), 0.0)
+        learnt = np.flatnonzero(~test)
+        weights, bias = fit([Rows([found[i] for i in learnt[k : k + PIECE]], label[learnt[k : k + PIECE]].tolist(), ratio) for k in range(0, len(learnt), PIECE)], penalty)
+        z = np.array([float(value @ (weights * ratio)[slot]) / UNITS + bias for (slot, value), t in zip(found, test) if t])
+        loss = float(np.log1p(np.exp(-np.clip(np.where(y == 1, z, -z), -50, 50))).sum())
+        return pa.table({n: pa.array([v]) for n, v in zip(names, [smoothing, penalty, int(y.sum()), int(((z >= 0) & (y == 1)).sum()), int(((z >= 0) & (y == 0)).sum()), loss, len(y)])})
+
+    each = rows.groupBy("smoothing", "penalty", "out").applyInArrow(run, "smoothing double, penalty double, toxic long, found long, alarms long, loss double, n long")
+    return each.groupBy("smoothing", "penalty").agg(F.sum("toxic").alias("toxic"), F.sum("found").alias("found"), F.sum("alarms").alias("alarms"), (F.sum("loss") / F.sum("n")).alias("loss"))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

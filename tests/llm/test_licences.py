@@ -4,6 +4,8 @@ import os
 import sys
 import textwrap
 
+import pytest
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import assert_same
 
@@ -61,3 +63,31 @@ def test_ids_and_clashing_columns(spark):
 def test_no_rows(spark):
     assert m.scan(spark.createDataFrame([], "doc_id long, text string, dir string")).count() == 0
     assert m.scan(spark.createDataFrame([(1, "x", "d")], "doc_id long, text string, dir string")).first().origin == "none"
+
+
+def opening(licence):
+    """How a licence file begins, laid out as such files are."""
+    title, rest = next((t, r) for i, t, r in m._OPENINGS if i == licence)
+    head = title.replace(" Version", "\n                       Version", 1).replace(" http", "\n   http")
+    return "                    " + head + "\n\n " + wrapped(rest.split(" Preamble ")[0], 66) + ("\n\n                            Preamble\n\n  " + wrapped(rest.split(" Preamble ")[1]) if " Preamble " in rest else "") + "\n"
+
+
+def test_licence_files_by_their_openings(spark):
+    names = [i for i, _, _ in m._OPENINGS]
+    files = {f"{k}": (n, opening(n) + "\n  Other clauses follow here, of which nothing is known.\n") for k, n in enumerate(names)}
+    rows = [(int(k), t, f"d{k}") for k, (_, t) in files.items()] + [(100 + int(k), "code", f"d{k}/src") for k in files]
+    got = {r.doc_id: (r.licence, r.origin) for r in m.scan(spark.createDataFrame(rows, "doc_id long, text string, dir string")).collect()}
+    assert got == {int(k): (n, "own") for k, (n, _) in files.items()} | {100 + int(k): (n, "inherited") for k, (n, _) in files.items()}
+
+
+INSTALLED = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(INSTALLED), reason="no licence texts on this machine")
+def test_whole_licence_files(spark):
+    """Official texts, whole, at the top of a folder."""
+    names = {"GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-3": "LGPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = [(f, n) for f, n in names.items() if os.path.exists(f"{INSTALLED}/{f}")]
+    rows = [(k, open(f"{INSTALLED}/{f}").read(), f"d{k}") for k, (f, _) in enumerate(found)] + [(100 + k, None, f"d{k}/a/b") for k in range(len(found))]
+    got = {r.doc_id: (r.licence, r.origin) for r in m.scan(spark.createDataFrame(rows, "doc_id long, text string, dir string")).collect()}
+    assert got == {k: (n, "own") for k, (_, n) in enumerate(found)} | {100 + k: (n, "inherited") for k, (_, n) in enumerate(found)}

@@ -40,6 +40,28 @@ def test_bound_holds_for_rows(spark, monkeypatch):
     assert m.training_rows(docs, labels).count() == 5
 
 
+def test_bound_holds_for_values(spark, monkeypatch):
+    """Texts are taken in the order of the hash while their values fit; a very long one counts as all slots."""
+    labels = spark.range(1, 60).selectExpr("id doc_id", "id % 2 toxic")
+    docs = spark.range(1, 60).selectExpr("id doc_id", "repeat('ab ', cast(id as int) * 10) text").unionByName(spark.range(1).selectExpr("60l doc_id", "repeat('x y', 600000) text"))
+    whole = m.training_rows(docs, labels).collect()
+    monkeypatch.setattr(m, "MAX_VALUES", 9_000)
+    some = m.training_rows(docs, labels).collect()
+    assert 0 < len(some) < len(whole) and sum(3 * len(r.text) for r in some) <= 9_000 and {r.text for r in some} < {r.text for r in whole}
+    monkeypatch.setattr(m, "MAX_VALUES", 3 << m.BITS)
+    assert any(len(r.text) > 1_000_000 for r in m.training_rows(docs, labels.unionByName(spark.createDataFrame([(60, 1)], "doc_id long, toxic long"))).collect()) == (zlib.crc32(b"60") % 5 != 0)
+
+
+def test_settings_by_cross_validation(spark):
+    rows = [(f"mud and dirt {k} mud", 1) if k % 3 == 0 else (f"sun and air {k} sun", 0) for k in range(90)]
+    training = spark.createDataFrame(rows, "text string, label int")
+    got = m.cross_validate(training, [(10.0, 1e-3), (10.0, 100.0)], folds=3).collect()
+    assert {(r.smoothing, r.penalty, r.toxic) for r in got} == {(10.0, 1e-3, 30), (10.0, 100.0, 30)}
+    strong, weak = sorted(got, key=lambda r: r.loss)
+    assert (strong.penalty, strong.found, strong.alarms) == (1e-3, 30, 0) and weak.loss > strong.loss
+    assert m.cross_validate(training.limit(0), [(1.0, 1.0)]).count() == 0
+
+
 def slots_by_text(texts):
     """Value of every slot of every text, by plain counting of n-grams."""
     slots = m.Slots()
