@@ -57,6 +57,8 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes plainte
 PHRASE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 EXCLUDED = frozenset("head nav header footer aside menu button select datalist fieldset noscript template svg canvas object audio video applet map dialog frameset".split())
+#: Elements whose classes often say ``header`` or ``footer`` of their place in a text.
+TEXTUAL = HEADINGS | frozenset("table caption thead tbody tfoot tr th td".split())
 #: An opening tag ends these open elements (up to the nearest of the second list).
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -66,7 +68,7 @@ CLOSES = {
 #: Words of class and id that name what is no part of an article.
 SAYS_OTHER = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners promo promotion promotions sponsor sponsored sponsors teaser teasers widget widgets "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs crumbs pager pagination toc sitemap toolbar skip "
+    "nav navbar navigation sidenav menu menus breadcrumb breadcrumbs crumbs pager pagination toc sitemap toolbar skip "
     "header masthead topbar logo footer foot colophon copyright imprint sidebar sidebars aside rail related recommended recommendations trending popular tags tagcloud "
     "notice notices cookie cookies consent gdpr privacy disclaimer alert popup modal overlay newsletter subscribe subscription signup login paywall "
     "comment comments commentlist disqus respond reply replies discussion share sharing social follow form search searchbox".split()
@@ -119,8 +121,8 @@ def says_other(name: str, attributes: str) -> int:
         if key in ("class", "id"):
             for token in value.split():
                 words = [w.lower() for w in _WORD.findall(token)]
-                for k, w in enumerate(words):
-                    if w in SAYS_OTHER and not _BESIDE & set(words[:k]):
+                for k, w in enumerate([*words, "".join(words)]):  # side-bar is a sidebar
+                    if w in SAYS_OTHER and not _BESIDE & set(words[:k]) and (w in SAYS_BESIDE or name not in TEXTUAL):
                         said = max(said, 2 if w in SAYS_BESIDE else 1)
     return said
 
@@ -248,7 +250,7 @@ def exclude(elements: list[Element]) -> None:
         up = elements[e.parent]
         inside[i] = inside[e.parent] or e.article
         e.excluded = up.excluded or e.other > 0
-        if e.name in HEADINGS and up.name == "header" and inside[i] and not elements[up.parent].excluded:
+        if e.name in HEADINGS and "header" in up.path.rsplit("/", 1)[-1] and inside[i] and not elements[up.parent].excluded:
             e.excluded = False  # the article's own title
 
 

@@ -53,6 +53,13 @@ def test_unnamed_menus_and_wrappers():
     assert m.extract([page(f"<article><header><h1>Title here</h1><p>By somebody</p></header>{PARAGRAPHS}</article>{other}")]) == [WANT]
 
 
+def test_classes_of_places_in_a_text():
+    rows = '<table class="table"><thead><tr class="header"><th>one<th class="top-header">two<tfoot><tr class="footer"><td>three</table>'
+    for head in ('<h1 class="page-header">Title here</h1>', '<div class="article-header"><h1>Title here</h1><span>By me</span></div>', '<header class="entry-header"><h1>Title here</h1></header>'):
+        beside = '<div class="side-bar">Beside, it is, and long.</div><div class="nav-bar">Go</div><div id="sideBar">x, y, z.</div><h2 class="comments">Comments</h2>'
+        assert m.extract([page(f"<article>{head}{PARAGRAPHS}{rows}{beside}</article>")]) == [WANT + " one two three"]
+
+
 def test_short_articles_beside_long_adverts():
     long = "<div class='x'>" + "Many words, many signs, and no end of them. " * 50 + "</div>"
     assert m.extract([page(f"{long}<article><h1>Of</h1><p>Of.</p></article>{BESIDE['ad']}")]) == ["Of Of."]
