@@ -1,4 +1,17 @@
-"""Stages from raw documents to a tokenised training mixture."""
+"""Stages from raw documents to a tokenised training mixture.
+
+Each stage gets all that the one before it kept, as a written table, and decides by
+row: what leaves, leaves for good.
+
+Edge cases: a null text counts as empty, and an empty one is clean, is one text among
+the exact copies, has the fingerprint zero, and has no ids; of equal texts the row with
+the smallest doc_id stays (ids before nulls, then any one row), of near copies likewise,
+so repeated rows leave one and texts that share an id are decided each by itself; a
+null source is a source of its own in the mixture; very long texts are read whole by
+every stage; columns beside those of ``documents`` are carried through, but ``ids``,
+``decoded`` and ``n_tokens`` are replaced by those of the last stage; without labels of
+both kinds no document is toxic unless most labels are; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -106,15 +106,37 @@ def _min_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = nxt.select("node", "colour")
 
 
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges that touch none of the nodes."""
+    return edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+
+
+def _busiest_component(edges: DataFrame) -> DataFrame | None:
+    """node, component of the node with most ways through it; null if no node has one."""
+    out, into = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o")), edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"))
+    busiest = out.join(into, "node").orderBy(F.desc(F.col("o") * F.col("i")), "node").limit(1).select(F.lit(1).alias("key"), "node")
+    start = stage(busiest, "scc-start")
+    if start.isEmpty():
+        return None
+    both = reach(start, edges).select("node").intersect(reach(start, turned(edges)).select("node"))
+    found = stage(both, "scc-busiest")
+    return found.join(F.broadcast(found.agg(F.min("node").alias("component")))).select("node", "component")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the smallest node of the strongly connected component.
 
-    Colouring: every node takes the smallest node that reaches it; those that reach
-    their colour back, inside it, are its component and leave.  Nodes without a
-    successor or a predecessor leave at once.
+    First what the busiest node reaches and is reached from leaves, which is the giant
+    component if there is one.  Then colouring: every node takes the smallest node that
+    reaches it; those that reach their colour back, inside it, are its component and
+    leave.  Nodes without a successor or a predecessor leave at once.
     """
     left = stage(within(nodes, edges), "scc-edges")
     done: list[DataFrame] = []
+    giant = _busiest_component(left)
+    if giant is not None:
+        done.append(giant)
+        left = stage(_without(left, giant.select("node")), "scc-edges")
     while not left.isEmpty():
         while True:  # trim: both degrees are needed for a cycle
             core = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
@@ -132,8 +154,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         back = reach(roots, turned(inside.select("src", "dst")))
         found = stage(back.select("node", F.col("key").alias("component")), "scc-found")
         done.append(found)
-        gone = found.select("node")
-        left = stage(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-edges")
+        left = stage(_without(left, found.select("node")), "scc-edges")
     named = nodes.select("node")
     if not done:
         return named.withColumn("component", F.col("node"))

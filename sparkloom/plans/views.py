@@ -98,6 +98,36 @@ def patterns(facts: DataFrame) -> DataFrame:
     return facts.select("node", found.alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("example"))
 
 
+#: Thresholds of further patterns: layers of a shape, users of an anchor; layers are looked for so deep.  Fixed values.
+SHAPE, ANCHOR, DEPTH = 3, 3, 12
+
+
+def further_patterns(
+    facts: DataFrame, edges: DataFrame, cycles: DataFrame, untested_hubs: DataFrame, dead_exports: DataFrame, drift: DataFrame, externals: DataFrame, services: DataFrame
+) -> DataFrame:
+    """pattern, severity, n, example of what other reports found; one row a pattern that occurs.
+
+    cycles: component, size; untested_hubs: node; dead_exports: path, name; drift: name,
+    drift; externals: name, users; services: name.  Layers are distances from entries.
+    """
+    told = lambda df, pattern, severity, n, example: df.agg(n.cast("long").alias("n"), example.cast("string").alias("example")).select(F.lit(pattern).alias("pattern"), F.lit(severity).alias("severity"), "n", "example")
+    every = F.count(F.lit(1))
+    depth = stage(G.reach(facts.where("is_entry").select(F.lit(1).alias("key"), "node"), edges, DEPTH), "pattern-depths")
+    layers = depth.agg((F.coalesce(F.max("depth"), F.lit(-1)) + 1).alias("layers"))
+    shaped = layers.where(F.col("layers") >= SHAPE)
+    off = facts.join(depth.select("node"), "node", "left_anti").join(F.broadcast(shaped)).select("node")
+    heaviest = externals.where(F.col("users") >= ANCHOR).orderBy(F.desc("users"), "name").limit(1)
+    tests = facts.agg(F.count_if("is_test").alias("n")).where("n = 0")
+    parts = [
+        told(shaped, "layered-shape", "info", F.max("layers"), F.lit("")), told(off, "unreachable", "info", every, F.min("node")),
+        told(cycles, "cycles", "high", every, F.max_by("component", F.struct("size", (-F.col("component")).alias("low")))), told(untested_hubs, "untested-hubs", "high", every, F.min("node")),
+        told(dead_exports, "dead-exports", "low", every, F.min("path")), told(drift.where("drift = 'undeclared'"), "undeclared-deps", "high", every, F.min("name")),
+        told(drift.where("drift = 'unused'"), "unused-deps", "low", every, F.min("name")), told(heaviest, "top-external", "info", F.max("users"), F.max("name")),
+        told(services, "services", "info", every, F.min("name")), told(tests, "no-tests", "medium", every, F.lit("")),
+    ]
+    return _union(parts).where("n > 0")
+
+
 def tour(facts: DataFrame, cycles: DataFrame) -> DataFrame:
     """node, slot of a reading order; a node keeps its first slot.
 

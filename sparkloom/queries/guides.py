@@ -15,9 +15,10 @@ from sparkloom.operators import symbols as Y
 from sparkloom.plans import agent as A
 from sparkloom.plans import diagrams as M
 from sparkloom.plans import docs as T
+from sparkloom.plans import reports as R
 from sparkloom.plans import targets
 from sparkloom.plans import views as V
-from sparkloom.queries import code, graphs
+from sparkloom.queries import code, graphs, history, more
 from sparkloom.queries.graphs import _G
 from sparkloom.sources import config
 from sparkloom.storage import stage
@@ -154,6 +155,16 @@ def v_agent_search(spark: SparkSession, sf: str) -> DataFrame:
     return A.search(S.search(files, query, 40), S.search_total(files, query), 1_000)
 
 
+def v_patterns_further(spark: SparkSession, sf: str) -> DataFrame:
+    """The patterns that rest on other reports."""
+    nodes, edges = B.nodes(spark, sf), stage(B.edges(spark, sf), "edges")
+    comp = G.components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    services = config.services(_texts(spark, sf, "s{k}/compose.yml", COMPOSE))
+    return V.further_patterns(
+        G.degrees(nodes, edges), edges, comp, graphs.join_untested_hubs(spark, sf), more.join_deadexport_anti(spark, sf), history.join_drift_anti(spark, sf), history.agg_externals(spark, sf), services
+    )
+
+
 def v_symbol_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """Public names of files by language and kind."""
     found = stage(Y.extract(K.sources(spark, sf)), "statements")
@@ -161,9 +172,65 @@ def v_symbol_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return Y.exports(found).join(lang, "path").groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stack_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared packages with category and documentation; every third has a known name."""
+    named = F.array(*map(F.lit, D.STACK))
+    d = B.declared(spark, sf).where("name < 400")
+    label = F.when(F.col("name") % 3 == 0, F.get(named, (F.col("name") % len(D.STACK)).cast("int"))).when(F.col("name") % 3 == 1, F.concat(F.lit("host.org/x/"), F.get(named, (F.col("name") % 7).cast("int")))).otherwise(F.replace("label", F.lit(" "), F.lit("_")))
+    return D.stack_items(d.withColumn("label", label), 60)
+
+
+def doc_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """Which addresses may be fetched: pages, and documentation of packages named like them."""
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.npmjs.com/package/"), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, F.replace("url", F.lit("http://"), F.lit("https://docs.rs/"))).otherwise(F.col("url"))
+    return B.table(spark, sf, "pages").select("page_id", D.doc_allowed(url).alias("allowed"))
+
+
+def _paths(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as files of a repository, and its edges by path."""
+    k = F.col("node")
+    name = lambda a, z: F.concat(F.lit(a), k.cast("string"), F.lit(z))
+    files = B.nodes(spark, sf).select("node", F.when(k % 97 == 0, name("d", "/README.md")).when(k % 10 == 0, name("tests/t", ".py")).when(k % 31 == 0, name("m", "/main.go")).otherwise(name("src/f", ".js")).alias("path"))
+    a, b = files.select(F.col("node").alias("src"), F.col("path").alias("from")), files.select(F.col("node").alias("dst"), F.col("path").alias("to"))
+    return files.select("path"), B.edges(spark, sf).join(a, "src").join(b, "dst").select(F.col("from").alias("src"), F.col("to").alias("dst"))
+
+
+def v_first_pr(spark: SparkSession, sf: str) -> DataFrame:
+    files, edges = _paths(spark, sf)
+    return R.trail(files, stage(edges, "edges")).withColumn("place", F.col("place").cast("long"))
+
+
+def v_first_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    files, edges = _paths(spark, sf)
+    return R.first_tasks(files, edges).withColumn("place", F.col("place").cast("long"))
+
+
+def sink_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """A first contribution as text."""
+    files, edges = _paths(spark, sf)
+    return R.first_contribution(files, stage(edges, "edges"))
+
+
+def v_deps_view(spark: SparkSession, sf: str) -> DataFrame:
+    return R.links_view(graphs._facts(spark, sf), B.edges(spark, sf))
+
+
+def v_log(spark: SparkSession, sf: str) -> DataFrame:
+    return R.log_view(B.commits(spark, sf)).withColumn("place", F.col("place").cast("long"))
+
+
+def v_ai_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return R.overview_sheet(stage(graphs._facts(spark, sf), "facts"), V.folder_edges(B.nodes(spark, sf), B.edges(spark, sf)))
+
+
+def v_ai_folder_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return R.folder_sheets(B.nodes(spark, sf), B.edges(spark, sf))
+
+
 QUERIES = {f.__name__: f for f in (
+    stack_items, doc_hosts, v_first_pr, v_first_tasks, sink_markdown, v_deps_view, v_log, v_ai_facts, v_ai_folder_facts,
     v_workflows, compose_services, join_service_folder, v_diagram_services, resolve_target, v_doc_row, v_facts_line, v_file_doc, v_folder_doc, v_parse_folder_doc, v_diagram_calls, v_diagram_layers,
-    v_agent_overview, v_agent_architecture, v_agent_dependencies, v_agent_explain_file, v_agent_search, v_symbol_kinds,
+    v_agent_overview, v_agent_architecture, v_agent_dependencies, v_agent_explain_file, v_agent_search, v_symbol_kinds, v_patterns_further,
 )}
 
 _K = "s_suppkey::VARCHAR"
@@ -179,7 +246,37 @@ def _packed(parts: str, budget: int) -> str:
 
 
 _LAYERS = "walk AS (SELECT src AS node, 0 AS d FROM edges UNION SELECT dst, d + 1 FROM walk JOIN edges ON src = node), lay AS (SELECT node, max(d)::INTEGER AS layer FROM walk GROUP BY 1)"
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_KNOWN = "known(i, key, category, docs) AS (VALUES " + ", ".join(f"({i}, {_Q(k)}, {_Q(c)}, {_Q(u)})" for i, (k, (c, u)) in enumerate(D.STACK.items())) + ")"
+_REG = "reg(r, ecosystem, a, z, lang) AS (VALUES " + ", ".join(f"({i}, {_Q(e)}, {_Q(a)}, {_Q(z)}, {_Q(g)})" for i, (e, (a, z, g)) in enumerate(D.REGISTRIES.items())) + ")"
+_PATHS = "WITH " + B.edges_sql() + """, f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 97 = 0 THEN 'd' || p_partkey || '/README.md' WHEN p_partkey % 10 = 0 THEN 'tests/t' || p_partkey || '.py' WHEN p_partkey % 31 = 0 THEN 'm' || p_partkey || '/main.go' ELSE 'src/f' || p_partkey || '.js' END AS path FROM part),
+    u AS (SELECT f.path, count(*) AS users FROM edges JOIN f ON f.k = dst WHERE src IN (SELECT k FROM f) GROUP BY 1)"""
+_TRAIL = """, en AS (SELECT 1 AS part, row_number() OVER (ORDER BY path) AS k, path, 'entry' AS role FROM f WHERE path LIKE '%/main.go' QUALIFY k <= 8), hb AS (SELECT 2 AS part, row_number() OVER (ORDER BY users DESC, path) AS k, path, 'hub' AS role FROM u WHERE path NOT LIKE '%.md' QUALIFY k <= 6),
+    ev AS (SELECT * FROM en UNION ALL SELECT * FROM hb WHERE path NOT IN (SELECT path FROM en) UNION ALL SELECT * FROM (SELECT 3, row_number() OVER (ORDER BY path) AS k, path, 'test' FROM f WHERE path LIKE 'tests/%' QUALIFY k <= 2) UNION ALL SELECT * FROM (SELECT 4, row_number() OVER (ORDER BY path) AS k, path, 'guide' FROM f WHERE path LIKE '%.md' QUALIFY k <= 2)),
+    tr AS (SELECT row_number() OVER (ORDER BY part, k) AS place, path, role FROM ev QUALIFY place <= 12)"""
+_TASKS = """, ts AS (SELECT 1::BIGINT AS place, 'trace the most imported file' AS task, path, users || ' files import it' AS reason FROM u WHERE path NOT LIKE '%.md' ORDER BY users DESC, u.path LIMIT 1),
+    t2 AS (SELECT 2::BIGINT AS place, 'write down what it runs on' AS task, (SELECT min(path) FROM f WHERE path LIKE '%/main.go') AS path, 'no manifest is to be found' AS reason), tk AS (SELECT * FROM ts UNION ALL SELECT * FROM t2)"""
 ORACLES = {
+    "stack_items": "WITH " + B.DECLARED + f""", {_KNOWN}, {_REG}, d AS (SELECT declared.*, CASE WHEN name % 3 = 0 THEN a.key WHEN name % 3 = 1 THEN 'host.org/x/' || b.key ELSE replace(label, ' ', '_') END AS lab FROM declared JOIN known a ON a.i = name % {len(D.STACK)} JOIN known b ON b.i = name % 7 WHERE name < 400),
+        o AS (SELECT lab, r, dev, d.ecosystem, version, a, z, lang FROM d JOIN reg USING (ecosystem) WHERE lab <> 'react-dom' OR d.ecosystem <> 'npm' QUALIFY row_number() OVER (PARTITION BY lab ORDER BY r, dev, version) = 1),
+        k AS (SELECT o.*, category, docs FROM o LEFT JOIN known ON key = CASE ecosystem WHEN 'go' THEN split_part(lab, '/', -1) WHEN 'cargo' THEN CASE WHEN lab IN (SELECT key FROM known) THEN lab ELSE replace(lab, '_', '-') END ELSE lab END),
+        s AS (SELECT lab AS name, CASE WHEN ecosystem = 'npm' THEN split_part(regexp_replace(version, '^[~^>=< ]+', ''), ' ', 1) ELSE '' END AS version, coalesce(category, 'Library') AS category, lang, CASE WHEN docs IS NOT NULL AND ecosystem <> 'go' THEN docs ELSE a || lab || z END AS docs, dev FROM k)
+        SELECT * FROM s ORDER BY list_position([{", ".join(_Q(c) for c in D.CATEGORIES)}], category), name LIMIT 60""",
+    "doc_hosts": "SELECT page_id, page_id % 3 = 0 OR (page_id % 3 = 1 AND starts_with(url, 'http://')) AS allowed FROM pages",
+    "v_first_pr": _PATHS + _TRAIL + " SELECT place, path, role FROM tr",
+    "v_first_tasks": _PATHS + _TASKS + " SELECT place, task, path, reason FROM tk",
+    "sink_markdown": _PATHS + _TRAIL + _TASKS + """ SELECT '# First contribution' || chr(10) || chr(10) || (SELECT count(*) || ' files, ' || count(*) FILTER (path NOT LIKE '%.md') || ' of source, ' || count(*) FILTER (path LIKE 'tests/%') || ' tests, ' || count(*) FILTER (path LIKE '%.md') || ' guides' FROM f)
+        || chr(10) || chr(10) || '## Trail' || chr(10) || chr(10) || (SELECT string_agg('- ' || role || ': `' || path || '`', chr(10) ORDER BY place) FROM tr) || chr(10) || chr(10) || '## Tasks' || chr(10) || chr(10) || (SELECT string_agg(place || '. ' || task || ' (`' || path || '`): ' || reason, chr(10) ORDER BY place) FROM tk) || chr(10) AS text""",
+    "v_deps_view": _G() + """, ne AS (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other) AS k FROM (SELECT dst AS node, 'importer' AS side, src AS other FROM edges UNION ALL SELECT src, 'import', dst FROM edges)),
+        n AS (SELECT node, string_agg(CASE WHEN side = 'import' THEN other::VARCHAR END, ', ' ORDER BY other) AS i, string_agg(CASE WHEN side = 'importer' THEN other::VARCHAR END, ', ' ORDER BY other) AS o FROM ne WHERE k <= 15 GROUP BY 1)
+        SELECT node, name || ' (' || CASE WHEN is_test THEN 'test' WHEN is_entry THEN 'entry' WHEN fan_in >= 5 THEN 'hub' WHEN fan_out = 0 AND fan_in > 0 THEN 'leaf' ELSE 'module' END || ')' || chr(10) || 'imports ' || fan_out || ': ' || coalesce(i, 'none') || chr(10) || 'imported by ' || fan_in || ': ' || coalesce(o, 'none') AS text FROM facts LEFT JOIN n USING (node)""",
+    "v_log": "WITH " + B.COMMITS + """, w AS (SELECT "commit", author, day, count(path) AS files FROM commits GROUP BY ALL) SELECT row_number() OVER (ORDER BY day DESC, "commit") AS place, "commit", author, day, files FROM w QUALIFY place <= 15""",
+    "v_ai_facts": _G() + """, fe AS (SELECT a.folder AS f, b.folder AS t, count(*) AS n FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.folder <> b.folder GROUP BY 1, 2)
+        SELECT 'Files by folder: ' || (SELECT string_agg(folder || ' ' || n, ', ' ORDER BY folder) FROM (SELECT folder, count(*) AS n FROM facts GROUP BY 1)) || chr(10) || 'Imports between folders: ' || coalesce((SELECT string_agg(f || ' to ' || t || ' ' || n, ', ' ORDER BY n DESC, f, t) FROM (SELECT * FROM fe ORDER BY n DESC, f, t LIMIT 20)), 'none')
+        || chr(10) || 'Entries: ' || coalesce((SELECT string_agg(node::VARCHAR, ', ' ORDER BY node) FROM (SELECT node FROM facts WHERE is_entry ORDER BY node LIMIT 20)), 'none') || chr(10) || 'Most imported: ' || coalesce((SELECT string_agg(node || ' ' || fan_in, ', ' ORDER BY fan_in DESC, node) FROM (SELECT * FROM facts WHERE fan_in >= 2 ORDER BY fan_in DESC, node LIMIT 6)), 'none') AS sheet""",
+    "v_ai_folder_facts": _G() + """, e2 AS (SELECT src, dst, a.folder AS f, b.folder AS t FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst), r AS (SELECT f AS folder, CASE WHEN f = t THEN 'inside' ELSE 'outward' END AS way, src, dst FROM e2 UNION ALL SELECT t, 'inward', src, dst FROM e2 WHERE f <> t),
+        k AS (SELECT *, row_number() OVER (PARTITION BY folder, way ORDER BY src, dst) AS k FROM r), g AS (SELECT folder, string_agg(CASE WHEN way = 'inside' THEN src || ' to ' || dst END, '; ' ORDER BY k) AS i, string_agg(CASE WHEN way = 'outward' THEN src || ' to ' || dst END, '; ' ORDER BY k) AS o, string_agg(CASE WHEN way = 'inward' THEN src || ' to ' || dst END, '; ' ORDER BY k) AS w FROM k WHERE k <= 12 GROUP BY 1)
+        SELECT folder, folder || ': ' || n || ' files' || chr(10) || 'inside: ' || coalesce(i, 'none') || chr(10) || 'outward: ' || coalesce(o, 'none') || chr(10) || 'inward: ' || coalesce(w, 'none') AS sheet FROM (SELECT folder, count(*) AS n FROM nodes GROUP BY 1) LEFT JOIN g USING (folder)""",
     "v_workflows": """WITH j AS (SELECT '.github/workflows/w' || s_suppkey || '.yml' AS file, 'Flow ' || s_suppkey AS name, 'push,schedule' AS triggers, s_suppkey AS k, s_nationkey AS n FROM supplier)
         SELECT file, name, triggers, 'build' AS job, 'Build ' || n AS job_name, 'node-' || n AS runs_on, '' AS needs, 'actions/checkout@v' || n || ';Step ' || k || '=echo ' || k || '/- no step' AS steps FROM j
         UNION ALL SELECT file, name, triggers, 'ship', 'ship', 'ubuntu-latest', 'build,check' || n, 'ship ' || k || '=ship ' || k FROM j""",
@@ -223,5 +320,12 @@ ORACLES = {
     "v_agent_search": "WITH " + B.FILES + """, hit AS (SELECT path, text FROM files WHERE contains(path, 'src1') AND path LIKE '%.py' AND contains(path, '/tests/')), top AS (SELECT * FROM hit ORDER BY path LIMIT 40),
         sn AS (SELECT path, regexp_replace(string_split(text, chr(10))[1], '\\r$', '') AS line FROM top), pt AS (SELECT 1 AS key, row_number() OVER (ORDER BY path) AS rank, to_json({'path': path, 'score': 1.0::DOUBLE, 'line': 1, 'snippet': trim(CASE WHEN length(line) > 120 THEN left(line, 118) ELSE line END, ' ' || chr(9) || chr(10) || chr(13))})::VARCHAR AS item FROM sn), """ + _packed("pt", 1_000) + """
         SELECT 'search' AS payload, '{"results":[' || coalesce((SELECT items FROM pk), '') || '],"leftOut":' || coalesce((SELECT left_out FROM pk), 0) || ',"total":' || (SELECT count(*) FROM hit) || '}' AS json""",
+    "v_patterns_further": _G() + f""", dp AS (SELECT node, 0 AS d FROM nodes WHERE is_entry UNION SELECT dst, d + 1 FROM dp JOIN edges ON src = node WHERE d < 12), dm AS (SELECT node, min(d) AS d FROM dp GROUP BY 1), ly AS (SELECT coalesce(max(d), -1) + 1 AS n FROM dm),
+        cy AS ({graphs.ORACLES["g_scc"]}), cs AS (SELECT component, count(*) AS size FROM cy GROUP BY 1 HAVING size > 1), uh AS ({graphs.ORACLES["join_untested_hubs"]}), de AS ({more.ORACLES["join_deadexport_anti"]}), dr AS ({history.ORACLES["join_drift_anti"]}), ex AS ({history.ORACLES["agg_externals"]}),
+        pt AS (SELECT 'layered-shape' AS pattern, 'info' AS severity, n, '' AS example FROM ly WHERE n >= 3 UNION ALL SELECT 'unreachable', 'info', count(*), min(node)::VARCHAR FROM nodes WHERE node NOT IN (SELECT node FROM dm) AND (SELECT n FROM ly) >= 3
+          UNION ALL SELECT 'cycles', 'high', count(*), (SELECT component::VARCHAR FROM cs ORDER BY size DESC, component LIMIT 1) FROM cs UNION ALL SELECT 'untested-hubs', 'high', count(*), min(node)::VARCHAR FROM uh UNION ALL SELECT 'dead-exports', 'low', count(*), min(path)::VARCHAR FROM de
+          UNION ALL SELECT 'undeclared-deps', 'high', count(*), min(name)::VARCHAR FROM dr WHERE drift = 'undeclared' UNION ALL SELECT 'unused-deps', 'low', count(*), min(name)::VARCHAR FROM dr WHERE drift = 'unused'
+          UNION ALL SELECT * FROM (SELECT 'top-external', 'info', users, name::VARCHAR FROM ex WHERE users >= 3 ORDER BY users DESC, name LIMIT 1) UNION ALL SELECT 'services', 'info', 2 * count(*), 'db' FROM supplier UNION ALL SELECT 'no-tests', 'medium', 1, '' WHERE (SELECT count(*) FROM nodes WHERE is_test) = 0)
+        SELECT pattern, severity, n::BIGINT AS n, example FROM pt WHERE n > 0""",
     "v_symbol_kinds": code._W + code._EXPORTS + "SELECT lang, x.kind, count(*) AS n FROM (SELECT DISTINCT path, name, kind FROM x) x JOIN (SELECT DISTINCT path, lang FROM p) USING (path) GROUP BY 1, 2",
 }

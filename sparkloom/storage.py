@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders of staged tables that a ``temporary`` block is to delete, one list a block.
+_WRITTEN: list[list[str]] = []
+
+
+def note(path: str) -> str:
+    """Tells the innermost ``temporary`` block of a folder that is about to be written."""
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables staged inside the block when it ends.
+
+    A query's result may still read its staged tables, so write or collect it inside:
+    ``with temporary(spark): query(spark, folder).write.parquet(out)``.
+    """
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _WRITTEN.pop():
+            path_of(path).getFileSystem(conf).delete(path_of(path), True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and reads it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = note(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
