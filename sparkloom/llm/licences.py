@@ -187,7 +187,8 @@ def classify(lines: DataFrame) -> DataFrame:
     size = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select((F.col("n") + len(TEMPLATES)).alias("size"))
     idf = stage(df.join(F.broadcast(size)).select("term", (F.ln((1 + F.col("size")) / (1 + F.col("df"))) + 1).alias("idf")), "licence-idf")
     weigh = lambda x: x.join(idf, "term").withColumn("w", F.col("count") * F.col("idf"))
-    l_w, t_w = weigh(l_terms), weigh(t_terms)
+    # dealt by key once: norms, products with every template and the best of them stay where a statement's terms lie
+    l_w, t_w = weigh(l_terms).repartition(F.col("key")), weigh(t_terms)
     l_norm = l_w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l_norm"))
     t_norm = t_w.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     # the templates' terms are a fixed table of a few thousand rows

@@ -20,7 +20,7 @@ Labels are learnt only from rows whose ``crc32(doc_id as text) mod 5`` is not
 zero; label, language, source and doc_id are never features.
 
 Edge cases: null and empty texts have no features and score the intercept; with
-labels of one kind or none the score is the smoothed share of toxic labels; a
+labels of one kind or none the score is the smoothed share of toxic labels (one third without any); a
 null label or null doc_id is not learnt from, a null doc_id is never held out;
 repeated labels of one doc_id count once, as toxic if any is; of rows with one
 doc_id the smallest text is learnt from; extra columns are left out (and kept by
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     training = training_rows(docs, labels)
     got = training.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     if got.toxic in (0, got.n):
-        share = (got.toxic + 1) / (got.n + 2)
+        share = (got.toxic + 1) / (got.n + 3)  # below one half without any label: nothing is known, so nothing is toxic
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
     rated = log_count_ratios(training).toPandas()  # 2 ** BITS rows at most
     ratio = np.zeros(1 << BITS)

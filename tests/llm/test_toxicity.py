@@ -152,3 +152,13 @@ def test_frequency_counts(spark):
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in m.score(docs, m.train(docs, labels)).collect()}
     assert all((got[k] >= 0.5) == (k % 3 == 0) for k in range(90))
+
+
+def test_labels_of_one_kind_or_none(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(12)], "doc_id long, text string")
+    for rows, toxic in (([], 0), ([(k, 0) for k in range(12)], 0), ([(k, 1) for k in range(12)], 1)):
+        folder = f"{tmp_path}/{len(rows)}-{toxic}"
+        spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs.write.parquet(f"{folder}/documents.parquet")
+        assert {r.predicted for r in m.op9_toxicity(spark, folder).collect()} == {toxic}
+        assert m.drop_toxic(spark, docs, folder).count() == (0 if toxic else 12)
