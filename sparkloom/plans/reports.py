@@ -23,6 +23,10 @@ def _first(df: DataFrame, most: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(most).withColumn("k", F.row_number().over(Window.orderBy(*order)))
 
 
+def _or_none(name: str) -> Column:
+    return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("none"))
+
+
 def trail(files: DataFrame, edges: DataFrame) -> DataFrame:
     """place, path, role of a reading path: ways in, hubs, tests and guides; files: path; edges: src, dst of local imports."""
     source = files.where(F.col("path").rlike(SOURCE)).select("path")
@@ -72,7 +76,7 @@ def links_view(facts: DataFrame, edges: DataFrame, most: int = 15) -> DataFrame:
     near = G.neighbours(edges, most).groupBy("node").pivot("side", ["importer", "import"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: x.cast("string")), ", "))
     f = facts.withColumn("role", G.role()).join(near, "node", "left")
     n = lambda c: F.col(c).cast("string")
-    text = F.concat("name", F.lit(" ("), "role", F.lit(")\nimports "), n("fan_out"), F.lit(": "), F.coalesce("import", F.lit("none")), F.lit("\nimported by "), n("fan_in"), F.lit(": "), F.coalesce("importer", F.lit("none")))
+    text = F.concat("name", F.lit(" ("), "role", F.lit(")\nimports "), n("fan_out"), F.lit(": "), _or_none("import"), F.lit("\nimported by "), n("fan_in"), F.lit(": "), _or_none("importer"))
     return f.select("node", text.alias("text"))
 
 
@@ -91,7 +95,7 @@ def overview_sheet(facts: DataFrame, folder_edges: DataFrame, most: int = 6) ->
     entries = ways.agg(F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), ", ").alias("entries"))
     hubs = _first(facts.where("fan_in >= 2"), most, F.desc("fan_in"), "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "node", "fan_in"))), lambda x: F.concat(x["node"].cast("string"), F.lit(" "), x["fan_in"].cast("string"))), ", ").alias("hubs"))
     one = sizes.join(F.broadcast(traffic)).join(F.broadcast(entries)).join(F.broadcast(hubs))
-    part = lambda title, c: F.concat(F.lit(title + ": "), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("none")))
+    part = lambda title, c: F.concat(F.lit(title + ": "), _or_none(c))
     return one.select(F.concat_ws("\n", part("Files by folder", "folders"), part("Imports between folders", "traffic"), part("Entries", "entries"), part("Most imported", "hubs")).alias("sheet"))
 
 
@@ -105,5 +109,5 @@ def folder_sheets(facts: DataFrame, edges: DataFrame, most: int = 12) -> DataFra
     kept = rows.withColumn("k", k).where(F.col("k") <= most)
     one = kept.groupBy("folder").pivot("way", ["inside", "outward", "inward"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", pair.alias("t")))), lambda x: x["t"]), "; "))
     sizes = facts.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
-    part = lambda c: F.concat(F.lit(c + ": "), F.coalesce(c, F.lit("none")))
+    part = lambda c: F.concat(F.lit(c + ": "), _or_none(c))
     return sizes.join(one, "folder", "left").select("folder", F.concat_ws("\n", F.concat("folder", F.lit(": "), F.col("n").cast("string"), F.lit(" files")), part("inside"), part("outward"), part("inward")).alias("sheet"))

@@ -251,9 +251,9 @@ _KNOWN = "known(i, key, category, docs) AS (VALUES " + ", ".join(f"({i}, {_Q(k)}
 _REG = "reg(r, ecosystem, a, z, lang) AS (VALUES " + ", ".join(f"({i}, {_Q(e)}, {_Q(a)}, {_Q(z)}, {_Q(g)})" for i, (e, (a, z, g)) in enumerate(D.REGISTRIES.items())) + ")"
 _PATHS = "WITH " + B.edges_sql() + """, f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 97 = 0 THEN 'd' || p_partkey || '/README.md' WHEN p_partkey % 10 = 0 THEN 'tests/t' || p_partkey || '.py' WHEN p_partkey % 31 = 0 THEN 'm' || p_partkey || '/main.go' ELSE 'src/f' || p_partkey || '.js' END AS path FROM part),
     u AS (SELECT f.path, count(*) AS users FROM edges JOIN f ON f.k = dst WHERE src IN (SELECT k FROM f) GROUP BY 1)"""
-_TRAIL = """, en AS (SELECT 1 AS part, row_number() OVER (ORDER BY path) AS k, path, 'entry' AS role FROM f WHERE path LIKE '%/main.go' QUALIFY k <= 8), hb AS (SELECT 2 AS part, row_number() OVER (ORDER BY users DESC, path) AS k, path, 'hub' AS role FROM u WHERE path NOT LIKE '%.md' QUALIFY k <= 6),
-    ev AS (SELECT * FROM en UNION ALL SELECT * FROM hb WHERE path NOT IN (SELECT path FROM en) UNION ALL SELECT * FROM (SELECT 3, row_number() OVER (ORDER BY path) AS k, path, 'test' FROM f WHERE path LIKE 'tests/%' QUALIFY k <= 2) UNION ALL SELECT * FROM (SELECT 4, row_number() OVER (ORDER BY path) AS k, path, 'guide' FROM f WHERE path LIKE '%.md' QUALIFY k <= 2)),
-    tr AS (SELECT row_number() OVER (ORDER BY part, k) AS place, path, role FROM ev QUALIFY place <= 12)"""
+_TRAIL = """, en AS (SELECT 1 AS part, row_number() OVER (ORDER BY path) AS rk, path, 'entry' AS role FROM f WHERE path LIKE '%/main.go' QUALIFY rk <= 8), hb AS (SELECT 2 AS part, row_number() OVER (ORDER BY users DESC, path) AS rk, path, 'hub' AS role FROM u WHERE path NOT LIKE '%.md' QUALIFY rk <= 6),
+    ev AS (SELECT * FROM en UNION ALL SELECT * FROM hb WHERE path NOT IN (SELECT path FROM en) UNION ALL SELECT * FROM (SELECT 3, row_number() OVER (ORDER BY path) AS rk, path, 'test' FROM f WHERE path LIKE 'tests/%' QUALIFY rk <= 2) UNION ALL SELECT * FROM (SELECT 4, row_number() OVER (ORDER BY path) AS rk, path, 'guide' FROM f WHERE path LIKE '%.md' QUALIFY rk <= 2)),
+    tr AS (SELECT row_number() OVER (ORDER BY part, rk) AS place, path, role FROM ev QUALIFY place <= 12)"""
 _TASKS = """, ts AS (SELECT 1::BIGINT AS place, 'trace the most imported file' AS task, path, users || ' files import it' AS reason FROM u WHERE path NOT LIKE '%.md' ORDER BY users DESC, u.path LIMIT 1),
     t2 AS (SELECT 2::BIGINT AS place, 'write down what it runs on' AS task, (SELECT min(path) FROM f WHERE path LIKE '%/main.go') AS path, 'no manifest is to be found' AS reason), tk AS (SELECT * FROM ts UNION ALL SELECT * FROM t2)"""
 ORACLES = {
