@@ -38,7 +38,7 @@ def tsconfig(files: DataFrame) -> DataFrame:
     base = F.regexp_replace(F.regexp_replace(F.coalesce("o.baseUrl", F.lit("")), r"^\.?/", ""), "/$", "")
     read = read.select("path", base.alias("base"), F.coalesce("o.paths", F.create_map().cast("map<string,array<string>>")).alias("paths")).where((F.size("paths") > 0) | (F.col("base") != ""))
     first = read.orderBy(F.desc("path")).limit(1)  # tsconfig comes after jsconfig
-    return first.select(F.when(F.col("base") == ".", F.lit("")).otherwise(F.col("base")).alias("base"), F.explode_outer("paths").alias("pattern", "targets"))
+    return first.select("base", F.explode_outer("paths").alias("pattern", "targets"))
 
 
 def go_module(files: DataFrame) -> DataFrame:

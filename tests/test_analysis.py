@@ -208,7 +208,9 @@ def test_aliases(spark):
     # of two configurations the first that says anything; broken ones say nothing
     rows_of = lambda repo: [tuple(r) for r in R.tsconfig(table(spark, repo)).collect()]
     assert rows_of({"tsconfig.json": "{ broken", "jsconfig.json": '{"compilerOptions": {"baseUrl": "src"}}', "a/tsconfig.json": '{"compilerOptions": {"baseUrl": "no"}}'}) == [("src", None, None)]
-    assert rows_of({"tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"a//b": ["x//y"]}}}'}) == [("", "a//b", ["x//y"])] and rows_of({"a.js": ""}) == []
+    assert rows_of({"tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"a//b": ["x//y"]}}}'}) == [(".", "a//b", ["x//y"])] and rows_of({"a.js": ""}) == []
+    root, _, _ = resolved(spark, {"tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./src/*"]}}}', "src/a.ts": "", "lib/b.js": "", "m.ts": "import '@/a'; import 'lib/b'; import 'src/a'; import 'vue'"})
+    assert {k[1]: v for k, v in root.items()} == {"@/a": "src/a.ts", "lib/b": "lib/b.js", "src/a": "src/a.ts", "vue": "vue"}
 
 
 def test_other_languages_resolve(spark):
