@@ -198,9 +198,21 @@ def line_of(text: Column, needle: str) -> Column:
     return F.when(at == 0, F.lit(0)).otherwise(F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
+def snippet_at(text: Column, place: Column, most: int = 120) -> Column:
+    """The line of a place; of a longer one a stretch around the place, with a mark where it is cut off before."""
+    place = F.greatest(place, F.lit(1))
+    before = F.left(text, place - 1)
+    column = F.length(F.substring_index(before, "\n", -1))
+    line = F.concat(F.substring_index(before, "\n", -1), F.substring_index(F.substring(text, place, F.length(text)), "\n", 1))
+    line = F.regexp_replace(line, r"\r$", "")
+    begin = F.greatest(column - most // 3, F.lit(0))
+    cut = F.concat(F.when(begin > 0, "…").otherwise(""), F.substring(line, begin + 1, F.lit(most - 2)))
+    return js_trim(F.when(F.length(line) > most, cut).otherwise(line))
+
+
 def snippet(text: Column, needle: str, around: int = 120) -> Column:
-    """The trimmed line of the first occurrence, at most ``around`` characters."""
-    return F.when(F.instr(text, needle) == 0, F.lit("")).otherwise(F.left(js_trim(F.get(F.split(text, "\n"), (line_of(text, needle) - 1).cast("int"))), F.lit(around)))
+    """The surroundings of the first occurrence; empty if there is none."""
+    return F.when(F.instr(text, needle) == 0, F.lit("")).otherwise(snippet_at(text, F.instr(text, needle), around))
 
 
 #: Comments and quoted texts of scripts; one that is not closed goes on to the end.

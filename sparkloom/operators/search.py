@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import code as C
 from sparkloom.functions import paths as P
-from sparkloom.functions.code import let
+from sparkloom.functions.code import let, snippet_at
 from sparkloom.storage import stage
 
 
@@ -339,18 +339,6 @@ def line_at(text: Column, place: Column) -> Column:
     return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
-def snippet_at(text: Column, place: Column, most: int = 120) -> Column:
-    """The line of a place; of a longer one a stretch around the place, with a mark where it is cut off before."""
-    place = F.greatest(place, F.lit(1))
-    before = F.left(text, place - 1)
-    column = F.length(F.substring_index(before, "\n", -1))
-    line = F.concat(F.substring_index(before, "\n", -1), F.substring_index(F.substring(text, place, F.length(text)), "\n", 1))
-    line = F.regexp_replace(line, r"\r$", "")
-    begin = F.greatest(column - most // 3, F.lit(0))
-    cut = F.concat(F.when(begin > 0, "…").otherwise(""), F.substring(line, begin + 1, F.lit(most - 2)))
-    return C.js_trim(F.when(F.length(line) > most, cut).otherwise(line))
-
-
 def index(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings (path, token, tf) and sizes (path, n_tokens), written once."""
     postings = documents.select("path", F.explode(C.tokens(F.col("text"))).alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("tf"))

@@ -10,6 +10,7 @@ from sparkloom.functions import code as C
 from sparkloom.functions import paths as P
 from sparkloom.operators import findings as R
 from sparkloom.operators import folders as D
+from sparkloom.queries.search import _line, _snippet
 
 _FILES = B.files
 
@@ -257,7 +258,7 @@ ORACLES = {
         CASE WHEN comment + code = 0 THEN 0 ELSE floor(100.0 * comment / (comment + code) + 0.5) END::BIGINT AS doc_ratio FROM h JOIN stats USING (path)""",
     "tokenize": _W + r", t AS (SELECT path, unnest(regexp_split_to_array(lower(text), '\W+')) AS token FROM files) SELECT path, token, count(*) AS tf FROM t WHERE length(token) > 1 GROUP BY 1, 2",
     "binary_sniff": _W + "SELECT path, contains(left(text, 1000), chr(0)) AS is_binary FROM files",
-    "snippets": _W + rf"""SELECT path, len(string_split(split_part(text, 'idiot', 1), chr(10)))::BIGINT AS line, left({_TRIM.format("string_split(text, chr(10))[len(string_split(split_part(text, 'idiot', 1), chr(10)))]")}, 120) AS snippet FROM files WHERE contains(text, 'idiot')""",
+    "snippets": _W + f", x AS (SELECT path, text, strpos(text, 'idiot') AS pos_ FROM files WHERE contains(text, 'idiot')) SELECT path, {_line('pos_')} AS line, {_snippet('pos_', 120)} AS snippet FROM x",
     "html_to_text": r"""SELECT page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([\s\S]*?)</title>', 1)) AS title, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
         replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<script[\s\S]*?</script>', ' ', 'g'), '(?i)<style[\s\S]*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
         '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\f\v]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), 14000) AS text FROM pages""",

@@ -92,6 +92,12 @@ def test_snippets(spark):
     assert line == 3 and "NEEDLE" in shown and len(shown) <= 60 and shown.startswith("…")
 
 
+def test_snippet_keeps_the_hit(spark):
+    text = "a" * 300 + "hit" + "b" * 300
+    row = one(spark, C.snippet(F.lit(text), "hit").alias("s"), C.snippet(F.lit(text), "none").alias("n"))
+    assert "hit" in row.s and row.s.startswith("…") and len(row.s) <= 120 and row.n == ""
+
+
 DOCS = [
     ("src/router.js", "export function openRouter() {\n  return config;\n}\n"), ("src/server.py", "# openRouter is not here\nopenRouter()\n"),
     ("tests/router.test.js", "import { openRouter } from '../src/router.js';\n// openRouter test\n"), ("vendor/lib.js", "module.exports = { openRouter: true };\n"), ("README.md", "nothing"),
