@@ -102,7 +102,9 @@ def _filled(text: str | Column, block: Column | None = None) -> Column:
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text, lang of a file a part."""
     kinds = F.array(*(F.struct(F.lit(e).alias("ext"), F.lit(g).alias("lang"), F.lit(h).alias("header"), F.lit(b).alias("block")) for e, g, h, b in TEXTS))
-    part = B.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.get(kinds, (F.col("p_partkey") % 8).cast("int")).alias("t"))
+    # few bytes a row become a text each: keys are dealt to all cores before
+    keys = B.table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    part = keys.select("p_partkey", "p_size", F.get(kinds, (F.col("p_partkey") % 8).cast("int")).alias("t"))
     blocks = F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda b: _filled(F.col("t.block"), b))
     text = F.concat_ws("\n", _filled(F.col("t.header")), F.array_join(blocks, "\n"))
     return part.select(_filled(F.concat(F.lit("gen/d{d}/p{k}."), F.col("t.ext"))).alias("path"), text.alias("text"), F.col("t.lang").alias("lang"))
