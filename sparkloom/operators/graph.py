@@ -118,7 +118,11 @@ def _busiest_component(edges: DataFrame) -> DataFrame | None:
     start = stage(busiest, "scc-start")
     if start.isEmpty():
         return None
-    both = reach(start, edges).select("node").intersect(reach(start, turned(edges)).select("node"))
+    # both ways in the same rounds: a node of either way is told by a number beside it
+    way = lambda k, name: F.struct(F.lit(k).alias("way"), F.col(name).alias("node"))
+    steps = edges.select(way(1, "src").alias("src"), way(1, "dst").alias("dst")).unionByName(edges.select(way(2, "dst").alias("src"), way(2, "src").alias("dst")))
+    seen = reach(start.select("key", F.explode(F.array(way(1, "node"), way(2, "node"))).alias("node")), steps)
+    both = seen.select("node.*").groupBy("node").agg(F.count(F.lit(1)).alias("ways")).where("ways = 2").select("node")
     found = stage(both, "scc-busiest")
     return found.join(F.broadcast(found.agg(F.min("node").alias("component")))).select("node", "component")
 
