@@ -73,35 +73,43 @@ def parse(raw: Column, case: Column | bool = False) -> Column:
     pieces = F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(r'"[^"]*"|/[^\s/]+/[gimsuy]*|\S+|\s+'), F.lit(0))
     fold = lambda x: F.when(case, x).otherwise(F.lower(x))
 
-    def clause(x: Column, start: Column) -> Column:
+    def kind_of(x: Column) -> Column:
         name, colon = F.lower(F.substring_index(x, ":", 1)), F.instr(x, ":")
         value = F.when(colon > 1, F.substring(x, colon + 1, F.length(x))).otherwise("")
-        low = F.lower(value)
-        kind = (
+        return (
             F.when(x.rlike(r"^\s") | x.rlike(r'^"\s*"$') | ((colon > 1) & (value == "") & ~x.startswith("-")), F.lit(None))
             .when(x.rlike('^"[^"]*"$'), "phrase").when(x.rlike(_PATTERN), F.when(F.length(F.regexp_extract(x, _PATTERN, 1)) <= MAX_PATTERN, "regex").otherwise("long"))
             .when(x.startswith("-") & (F.length(x) > 1), "neg").when(name.isin("ext", "exts", "type") & (value != ""), "ext").when(name.isin("path", "in") & (value != ""), "path")
-            .when((name == "kind") & (value != ""), "kind").when((name == "is") & low.isin("test", "tests", "source", "src"), "is").otherwise("term")
+            .when((name == "kind") & (value != ""), "kind").when((name == "is") & F.lower(value).isin("test", "tests", "source", "src"), "is").otherwise("term")
         )
-        flags = F.regexp_extract(x, _PATTERN, 2)
+
+    def clause(k: Column) -> Column:
+        kind, x, start = k["kind"], k["raw"], k["start"]
+        value = F.substring(x, F.instr(x, ":") + 1, F.length(x))  # of kinds that have one
         text = (
             F.when(kind == "phrase", fold(F.regexp_replace(x, r'^"\s*|\s*"$', ""))).when(kind == "regex", F.regexp_extract(x, _PATTERN, 1)).when(kind == "neg", fold(F.substring(x, 2, F.length(x))))
-            .when(kind.isin("ext", "kind"), low).when(kind == "path", fold(value)).when(kind == "is", F.when(low.startswith("t"), "test").otherwise("source")).otherwise(fold(x))
-        )
-        return F.struct(
-            kind.alias("kind"), x.alias("raw"), start.alias("start"), (start + F.length(x)).alias("end"), text.alias("value"),
-            F.when(kind == "regex", F.when((flags == "") & ~case, "i").otherwise(flags)).alias("flags"),
+            .when(kind.isin("ext", "kind"), F.lower(value)).when(kind == "path", fold(value)).when(kind == "is", F.when(F.lower(value).startswith("t"), "test").otherwise("source")).otherwise(fold(x))
         )
+        flags = F.when(kind == "regex", let(F.regexp_extract(x, _PATTERN, 2), lambda f: F.when((f == "") & ~case, "i").otherwise(f)))
+        return F.struct(kind.alias("kind"), x.alias("raw"), start.alias("start"), (start + F.length(x)).alias("end"), text.alias("value"), flags.alias("flags"))
 
-    def of(p: Column) -> Column:
-        at = lambda k: F.aggregate(F.slice(p, F.lit(1), k), F.lit(0), lambda n, x: n + F.length(x))
-        every = F.filter(F.transform(p, lambda x, k: clause(x, at(k))), lambda c: c["kind"].isNotNull())
+    def of(every: Column) -> Column:
         long = F.filter(every, lambda c: c["kind"] == "long")
         size = F.length(F.regexp_extract(F.get(long, F.lit(0))["raw"], _PATTERN, 1))
         error = F.when(F.size(long) > 0, F.concat(F.lit("Regex is too long ("), size.cast("string"), F.lit(f" > {MAX_PATTERN}).")))
-        return F.struct(F.filter(every, lambda c: c["kind"] != "long").alias("clauses"), error.alias("error"))
+        return F.struct(F.transform(F.filter(every, lambda c: c["kind"] != "long"), clause).alias("clauses"), error.alias("error"))
+
+    # what later steps name more than once is computed once: pieces, their starts (running sums) and kinds
+    def placed(p: Column) -> Column:
+        first = F.array(F.lit(0))
+        starts = F.aggregate(p, first, lambda n, x: F.concat(n, F.array(F.element_at(n, -1) + F.length(x))))
+        return F.arrays_zip(p.alias("raw"), starts.alias("start"))
+
+    def kinds(zipped: Column) -> Column:
+        told = F.transform(zipped, lambda z: F.struct(kind_of(z["raw"]).alias("kind"), z["raw"].alias("raw"), z["start"].alias("start")))
+        return F.filter(told, lambda c: c["kind"].isNotNull() & c["raw"].isNotNull())
 
-    return let(pieces, of)
+    return let(pieces, lambda p: let(kinds(placed(p)), of))
 
 
 def values(parsed: Column, kind: str) -> Column:

@@ -10,6 +10,7 @@ from sparkloom import code_tables as K
 from sparkloom.functions import paths as P
 from sparkloom.operators import search as S
 from sparkloom.operators import symbols as Y
+from sparkloom.storage import spread
 
 TERMS = ["the", "license", "idiot"]
 
@@ -67,7 +68,9 @@ RAW = "concat(p_name, ' \"', p_type, ' Part ', p_size, '\"  -', p_brand, ' EXT:J
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return B.table(spark, sf, "part").select("p_partkey", F.expr(RAW).alias("raw")).withColumn("q", S.parse(F.col("raw")))
+    parts = B.table(spark, sf, "part")
+    raw = parts.select("p_partkey", F.expr(RAW).alias("raw"))
+    return spread(raw, parts.count(), "p_partkey").withColumn("q", S.parse(F.col("raw")))
 
 
 def q_parse(spark: SparkSession, sf: str) -> DataFrame:

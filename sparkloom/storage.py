@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task that ``spread`` aims at.  Fixed value.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
+    """``df`` of about ``rows`` rows dealt by the keys into parts of a bounded size, as many as there are cores at least.
+
+    Small files are read by one task and compressed rows are dealt to few, however much
+    work or memory a row takes; a number of parts that is given stays.
+    """
+    spark = df.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(least, rows // TASK_ROWS + 1), *keys)
+
+
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
