@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.code import js_trim
+from sparkloom.functions.code import js_trim, let
 
 #: A file with so many importers is a hub.  Fixed value.
 HUB = 5
@@ -73,10 +73,23 @@ def parse_doc(text: Column) -> Column:
     Without a line for the folder the first two lines that are none of a file tell of it; of two lines for one file the later counts.
     """
     folder, file = r"(?i)^FOLDER:\s*(.+)$", r"(?i)^FILE:\s*([^:]+?):\s+(.+)$"
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), js_trim), lambda x: x != "")
-    told = F.array_join(F.transform(F.filter(lines, lambda x: x.rlike(folder)), lambda x: F.trim(F.regexp_extract(x, folder, 1))), " ")
-    rest = F.filter(lines, lambda x: ~x.rlike(folder) & ~x.rlike(file))
-    found = F.transform(F.filter(lines, lambda x: ~x.rlike(folder) & x.rlike(file)), lambda x: F.struct(F.trim(F.regexp_extract(x, file, 1)).alias("name"), F.trim(F.regexp_extract(x, file, 2)).alias("text")))
-    names = F.transform(found, lambda f: f["name"])
-    last = F.transform(F.array_distinct(names), lambda n: F.element_at(F.filter(found, lambda f: f["name"] == n), -1))
-    return F.struct(F.when(told != "", told).otherwise(F.array_join(F.slice(rest, 1, 2), " ")).alias("brief"), last.alias("files"))
+    def last_of(found: Column) -> Column:
+        """The later of two lines for one file, in the place of the first: sorted by name, so no file is compared with all."""
+        numbered = F.transform(found, lambda f, i: F.struct(f["name"].alias("name"), i.alias("i"), f["text"].alias("text")))
+
+        def ends(s: Column) -> Column:
+            first = F.filter(s, lambda f, i: (i == 0) | (f["name"] != F.get(s, i - 1)["name"]))
+            last = F.filter(s, lambda f, i: (i == F.size(s) - 1) | (f["name"] != F.get(s, i + 1)["name"]))
+            both = F.zip_with(first, last, lambda x, y: F.struct(x["i"].alias("i"), y["name"].alias("name"), y["text"].alias("text")))
+            return F.transform(F.array_sort(both), lambda f: F.struct(f["name"].alias("name"), f["text"].alias("text")))
+
+        return let(F.array_sort(numbered), ends)
+
+    def of(lines: Column) -> Column:
+        told = F.array_join(F.transform(F.filter(lines, lambda x: x.rlike(folder)), lambda x: F.trim(F.regexp_extract(x, folder, 1))), " ")
+        rest = F.filter(lines, lambda x: ~x.rlike(folder) & ~x.rlike(file))
+        found = F.transform(F.filter(lines, lambda x: ~x.rlike(folder) & x.rlike(file)), lambda x: F.struct(F.trim(F.regexp_extract(x, file, 1)).alias("name"), F.trim(F.regexp_extract(x, file, 2)).alias("text")))
+        brief = let(told, lambda t: F.when(t != "", t).otherwise(F.array_join(F.slice(rest, 1, 2), " ")))
+        return F.struct(brief.alias("brief"), last_of(found).alias("files"))
+
+    return let(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), js_trim), lambda x: x != ""), of)

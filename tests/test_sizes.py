@@ -1,10 +1,27 @@
 """Work that must not grow faster than the tables: rows dealt to all tasks, nothing quadratic inside a row."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from sparkloom.plans import docs as T
 from sparkloom.queries import QUERIES
 
 
 @pytest.mark.parametrize("name", ["q_parse", "q_remove_clause"])
 def test_rows_of_one_file_are_dealt(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4
+
+
+def test_a_long_folder_doc_is_read_in_one_pass(spark):
+    lines = [f"FILE: f{k % 3000}: text {k}" for k in range(6000)]
+    start = time.monotonic()
+    read = spark.createDataFrame([("FOLDER: all\n" + "\n".join(lines),)], "t string").select(T.parse_doc(F.col("t")).alias("d")).first().d
+    assert time.monotonic() - start < 30
+    assert [(f.name, f.text) for f in read.files] == [(f"f{k}", f"text {k + 3000}") for k in range(3000)]
+
+
+def test_pairs_of_packages_are_not_compared(spark, sf_dir):
+    plan = QUERIES["join_dir_fanout"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Aggregate" not in plan.split("Join")[0]
