@@ -14,10 +14,11 @@ from sparkloom.storage import stage
 
 def resolve(imports: DataFrame, spec: Column, files: DataFrame, endings: tuple[str, ...], root: str = "lib/") -> DataFrame:
     """The imports with path: the first candidate (spec with an ending) that is a file, or null."""
-    tries = imports.select("*", F.posexplode(F.array(*map(F.lit, endings))).alias("k", "ending"))
-    tries = tries.withColumn("candidate", F.concat(F.lit(root), spec, F.col("ending")))
-    hits = tries.join(files, tries["candidate"] == files["path"], "left")
-    return hits.groupBy(*imports.columns).agg(F.min_by("path", F.when(F.col("path").isNotNull(), F.col("k"))).alias("path"))
+    # each text is looked up once, however many files import it
+    asked = imports.select(spec.alias("asked")).distinct().select("asked", F.posexplode(F.array(*map(F.lit, endings))).alias("k", "ending"))
+    hits = asked.withColumn("path", F.concat(F.lit(root), "asked", F.col("ending"))).join(files.select("path"), "path")
+    found = hits.groupBy("asked").agg(F.min(F.struct("k", "path"))["path"].alias("path"))
+    return imports.join(found, spec == found["asked"], "left").select(*imports.columns, "path")
 
 
 def tested(nodes: DataFrame, edges: DataFrame) -> DataFrame:

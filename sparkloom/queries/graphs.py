@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom import bindings as B
 from sparkloom.operators import graph as G
 from sparkloom.plans import views as V
-from sparkloom.storage import stage
+from sparkloom.storage import spread, stage
 
 
 def _facts(spark: SparkSession, sf: str, least: int = 0) -> DataFrame:
@@ -48,7 +48,8 @@ def agg_edge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 def join_import_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Imports resolved to the first existing candidate path."""
-    li = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("spec")).distinct()
+    lines = B.table(spark, sf, "lineitem")
+    li = spread(lines.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("spec")), lines.count(), "src", "spec").distinct()
     files = B.table(spark, sf, "part").where("p_size % 3 <> 0").select(F.concat(F.lit("lib/"), F.col("p_partkey").cast("string"), F.element_at(F.array(F.lit(".js"), F.lit(".ts"), F.lit("/index.js")), (F.col("p_size") % 3 + 1).cast("int"))).alias("path"))
     return V.resolve(li, F.col("spec").cast("string"), files, ("", ".js", ".ts", "/index.js"))
 

@@ -25,3 +25,8 @@ def test_a_long_folder_doc_is_read_in_one_pass(spark):
 def test_pairs_of_packages_are_not_compared(spark, sf_dir):
     plan = QUERIES["join_dir_fanout"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan and "Aggregate" not in plan.split("Join")[0]
+
+
+def test_imports_are_not_multiplied_by_their_candidates(spark, sf_dir):
+    plan = QUERIES["join_import_resolve"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
