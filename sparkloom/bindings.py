@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths as P
+from sparkloom.storage import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,7 +132,8 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text, lang: every part as a small source file of one line of ``CODE`` and its name as a comment."""
     lines = F.array(*(F.struct(F.lit(e).alias("ext"), F.lit(g).alias("lang"), F.lit(x).alias("line")) for e, g, x in CODE))
     picked = F.get(lines, (F.col("p_partkey") % len(CODE)).cast("int"))
-    out = table(spark, sf_dir, "part").select("p_partkey", "p_name", picked.alias("c"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    out = spread(part, part.count(), "p_partkey").select("p_partkey", "p_name", picked.alias("c"))
     return out.select(F.concat(F.lit("gen/"), F.col("p_partkey").cast("string"), F.lit("."), F.col("c.ext")).alias("path"), F.concat(F.lit("# "), "p_name", F.lit("\n"), F.col("c.line")).alias("text"), F.col("c.lang").alias("lang"))
 
 

@@ -11,6 +11,7 @@ from sparkloom.functions import paths as P
 from sparkloom.operators import findings as R
 from sparkloom.operators import folders as D
 from sparkloom.queries.search import _line, _snippet
+from sparkloom.storage import stage
 
 _FILES = B.files
 
@@ -162,7 +163,7 @@ def filter_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 def findings_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of a second engine on files, merged: known paths only, one row a path, line and rule."""
-    own = _findings(spark, sf).select("path", "line", "rule", "severity")
+    own = stage(_findings(spark, sf).select("path", "line", "rule", "severity"), "findings")  # read four times
     outside = own.where(F.col("line") % 2 == 1).withColumn("severity", F.lit("low"))
     unknown = own.limit(0).unionByName(own.where("line = 1").withColumn("path", F.concat(F.lit("gone/"), "path")))
     return R.merge(own, outside.unionByName(unknown), own.select("path").distinct())

@@ -5,8 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import bindings as B
 from sparkloom.plans import docs as T
-from sparkloom.queries import QUERIES
+from sparkloom.queries import QUERIES, guides
 
 
 @pytest.mark.parametrize("name", ["q_parse", "q_remove_clause"])
@@ -30,3 +31,8 @@ def test_pairs_of_packages_are_not_compared(spark, sf_dir):
 def test_imports_are_not_multiplied_by_their_candidates(spark, sf_dir):
     plan = QUERIES["join_import_resolve"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_generated_files_of_one_small_file_are_dealt(spark, sf_dir):
+    assert B.code(spark, sf_dir).rdd.getNumPartitions() >= 4
+    assert guides._texts(spark, sf_dir, "s{k}/compose.yml", guides.COMPOSE).rdd.getNumPartitions() >= 4
