@@ -21,7 +21,7 @@ from sparkloom.plans import views as V
 from sparkloom.queries import code, graphs, history, more
 from sparkloom.queries.graphs import _G
 from sparkloom.sources import config
-from sparkloom.storage import stage
+from sparkloom.storage import spread, stage
 
 #: Workflow of a supplier: {k} its key, {n} its nation.
 FLOW = """name: "Flow {k}" # of nation {n}
@@ -64,7 +64,8 @@ volumes:
 
 def _texts(spark: SparkSession, sf: str, path: str, text: str) -> DataFrame:
     fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("{k}"), F.col("s_suppkey").cast("string")), F.lit("{n}"), F.col("s_nationkey").cast("string"))
-    return B.table(spark, sf, "supplier").select(fill(path).alias("path"), fill(text).alias("text"))
+    keys = B.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    return spread(keys, keys.count(), "s_suppkey").select(fill(path).alias("path"), fill(text).alias("text"))
 
 
 def v_workflows(spark: SparkSession, sf: str) -> DataFrame:

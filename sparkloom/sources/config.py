@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.storage import stage
+
 
 _STACK = "array<struct<indent:int,name:string,item:boolean>>"
 _ROWS = "array<struct<path:array<string>,name:string,value:string,line:int>>"
@@ -70,8 +72,9 @@ def listed(value: Column) -> Column:
 
 
 def _read(files: DataFrame) -> DataFrame:
-    """file, p (path of names), name, value, line; files: path, text."""
-    return files.select(F.col("path").alias("file"), F.explode(entries(F.coalesce("text", F.lit(""))))).select("file", F.col("col.path").alias("p"), "col.name", "col.value", "col.line")
+    """file, p (path of names), name, value, line; files: path, text.  Texts are read once, however often their rows are."""
+    rows = files.select(F.col("path").alias("file"), F.explode(entries(F.coalesce("text", F.lit(""))))).select("file", F.col("col.path").alias("p"), "col.name", "col.value", "col.line")
+    return stage(rows, "config-rows")
 
 
 def _many(rows: DataFrame, depth: int, name: str, *keys: str) -> DataFrame:
