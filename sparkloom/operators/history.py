@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.storage import stage
+from sparkloom.storage import spread, stage
 
 #: Commits of more files say nothing about coupling.
 MAX_FILES = 50
@@ -35,10 +35,29 @@ def pairs(commits: DataFrame) -> DataFrame:
 
     Commits are counted first, so lists are only gathered for those that have a bounded one.
     """
-    fit = commits.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, MAX_FILES)).select("commit")
-    lists = commits.join(fit, "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("p"))
+    return _pairs(commits)[0]
+
+
+def _pairs(commits: DataFrame) -> tuple[DataFrame, int]:
+    """The pairs, and how many they are at most."""
+    commits = stage(commits.select("commit", "path"), "pairs-commits")
+    dealt = spread(commits, commits.count(), "commit")
+    fit = stage(dealt.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, MAX_FILES)), "pairs-sizes")
+    most = fit.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("most")).first().most
+    lists = dealt.join(fit.select("commit"), "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("p"))
     at = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return lists.select("commit", F.explode(at).alias("x")).select("commit", "x.a", "x.b")
+    return lists.select("commit", F.explode(at).alias("x")).select("commit", "x.a", "x.b"), most
+
+
+def _counted(commits: DataFrame, *more: Column) -> DataFrame:
+    """a, b, n and what else is asked of every pair: most pairs occur once, so they are dealt before they are counted."""
+    found, most = _pairs(commits)
+    return spread(found, most, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), *more)
+
+
+def cooccurring(commits: DataFrame, least: int = 2) -> DataFrame:
+    """a, b, n of the pairs changed together so often."""
+    return _counted(commits).where(F.col("n") >= least)
 
 
 def cochange(commits: DataFrame, edges: DataFrame, least: int = 2, most: int = 20) -> DataFrame:
@@ -50,7 +69,7 @@ def cochange(commits: DataFrame, edges: DataFrame, least: int = 2, most: int = 2
 
 def first_pairs(commits: DataFrame, most: int = 5000) -> DataFrame:
     """Counts of the pairs that were seen first: ranked by first commit, then a, b."""
-    seen = pairs(commits).groupBy("a", "b").agg(F.min("commit").alias("first"), F.count(F.lit(1)).alias("n"))
+    seen = _counted(commits, F.min("commit").alias("first"))
     return seen.orderBy("first", "a", "b").limit(most).where("n >= 2").select("a", "b", "n")
 
 

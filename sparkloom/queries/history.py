@@ -53,7 +53,7 @@ def join_history_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def join_cooccur(spark: SparkSession, sf: str) -> DataFrame:
-    return H.pairs(B.commits(spark, sf)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return H.cooccurring(B.commits(spark, sf))
 
 
 def agg_cochange(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,3 +36,9 @@ def test_imports_are_not_multiplied_by_their_candidates(spark, sf_dir):
 def test_generated_files_of_one_small_file_are_dealt(spark, sf_dir):
     assert B.code(spark, sf_dir).rdd.getNumPartitions() >= 4
     assert guides._texts(spark, sf_dir, "s{k}/compose.yml", guides.COMPOSE).rdd.getNumPartitions() >= 4
+
+
+@pytest.mark.parametrize("name", ["join_cooccur", "win_first_seen_cap"])
+def test_pairs_are_dealt_before_they_are_counted(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [a" in plan
