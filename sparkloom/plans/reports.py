@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import graph as G
+from sparkloom.storage import spread, stage
 
 #: Names of ways in, guides, and manifests.  Fixed values.
 ENTRY = r"(?i)(^|/)(index|main|app|server|cli|manage|cmd)(\.|/)"
@@ -99,14 +100,21 @@ def overview_sheet(facts: DataFrame, folder_edges: DataFrame, most: int = 6) ->
     return one.select(F.concat_ws("\n", part("Files by folder", "folders"), part("Imports between folders", "traffic"), part("Entries", "entries"), part("Most imported", "hubs")).alias("sheet"))
 
 
+#: Shares of a folder's links of which the first are taken apart.  Fixed value.
+SHARES = 64
+
+
 def folder_sheets(facts: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
     """folder, sheet: a folder's traffic inside, outward and inward (of either the first ``most``)."""
     a, b = facts.select(F.col("node").alias("src"), F.col("folder").alias("f")), facts.select(F.col("node").alias("dst"), F.col("folder").alias("t"))
-    e = edges.join(a, "src").join(b, "dst")
+    e = stage(edges.join(a, "src").join(b, "dst").select("src", "dst", "f", "t"), "sheet-edges")
     pair = F.concat(F.col("src").cast("string"), F.lit(" to "), F.col("dst").cast("string"))
     rows = e.where("f = t").select(F.col("f").alias("folder"), F.lit("inside").alias("way"), "src", "dst").unionByName(e.where("f <> t").select(F.col("f").alias("folder"), F.lit("outward").alias("way"), "src", "dst")).unionByName(e.where("f <> t").select(F.col("t").alias("folder"), F.lit("inward").alias("way"), "src", "dst"))
-    k = F.row_number().over(Window.partitionBy("folder", "way").orderBy("src", "dst"))
-    kept = rows.withColumn("k", k).where(F.col("k") <= most)
+    first = lambda *by: F.row_number().over(Window.partitionBy("folder", "way", *by).orderBy("src", "dst"))
+    # folders are few: the first of each share, then the first of those
+    dealt = spread(rows.withColumn("share", F.pmod(F.xxhash64("src", "dst"), F.lit(SHARES))), 2 * e.count(), "folder", "way", "share")
+    some = dealt.withColumn("k", first("share")).where(F.col("k") <= most).drop("k", "share")
+    kept = some.withColumn("k", first()).where(F.col("k") <= most)
     one = kept.groupBy("folder").pivot("way", ["inside", "outward", "inward"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", pair.alias("t")))), lambda x: x["t"]), "; "))
     sizes = facts.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
     part = lambda c: F.concat(F.lit(c + ": "), _or_none(c))
