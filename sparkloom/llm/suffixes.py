@@ -19,10 +19,17 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit polynomial hash of every window of ``length`` bytes."""
     n = len(data)
+    # in place where it can be: each array is eight times as large as the text
     power = np.multiply.accumulate(np.append(np.uint64(1), np.full(max(n - 1, 0), _ODD)))[:n]
-    total = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64))
-    back = np.multiply.accumulate(np.append(np.uint64(1), np.full(max(n - length, 0), _INVERSE)))
-    return (total[length:] - total[: n - length + 1]) * back[: n - length + 1]
+    terms, total = data.astype(np.uint64), np.zeros(n + 1, np.uint64)
+    terms += np.uint64(1)
+    terms *= power
+    np.cumsum(terms, out=total[1:])
+    del power, terms
+    out = total[length:] - total[: n - length + 1]
+    del total
+    out *= np.multiply.accumulate(np.append(np.uint64(1), np.full(max(n - length, 0), _INVERSE)))[: n - length + 1]
+    return out
 
 
 def suffix_order(data: np.ndarray, ends: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
@@ -38,23 +45,33 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, windows: np.ndarray, length
     same = np.zeros(n, bool)
     same[:-1] = data[:-1] == data[1:]
     greater[ends - 1], same[ends - 1] = True, False
-    decided = np.where(same, n - 1, np.arange(n))
+    decided = np.where(same, np.int32(n - 1), np.arange(n, dtype=np.int32))
     decided = np.minimum.accumulate(decided[::-1])[::-1]
     type_a = greater[decided]
+    del decided, greater, same
     # the suffixes to sort: every window start, and on to the first of type B
-    next_b = np.minimum.accumulate(np.where(type_a, n, np.arange(n))[::-1])[::-1]
-    stop = np.minimum(next_b[starts + windows - 1] + 1, ends)
+    next_b = np.minimum.accumulate(np.where(type_a, np.int32(n), np.arange(n, dtype=np.int32))[::-1])[::-1]
+    stop = np.minimum(next_b[starts + windows - 1].astype(np.int64) + 1, ends)
+    del next_b
     inside = np.zeros(n + 1, np.int32)
     np.add.at(inside, starts, 1)
     np.add.at(inside, stop, -1)
     inside = np.cumsum(inside[:n]) > 0
-    # first stage: type B directly
+    # first stage: type B directly, those of one first pair of bytes at a time: only their keys are held
     b = np.flatnonzero(inside & ~type_a)
-    text = data.tobytes().decode("latin-1")
+    raw = data.tobytes()
     limit = np.minimum(b + length, ends[np.searchsorted(ends, b, side="right")])
-    keys = [text[i:j] for i, j in zip(b.tolist(), limit.tolist())]
-    b = b[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys, text
+    pair = data[b].astype(np.int32) << 9  # a suffix of one byte comes before all that go on
+    longer = limit - b > 1
+    pair[longer] |= data[b[longer] + 1].astype(np.int32) + 1
+    order = np.argsort(pair, kind="stable")
+    b, limit, pair = b[order], limit[order], pair[order]
+    edges = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])).tolist() if len(b) else []
+    del order, pair, longer
+    for i, j in zip(edges, [*edges[1:], len(b)]):
+        keys = [raw[x:y] for x, y in zip(b[i:j].tolist(), limit[i:j].tolist())]
+        b[i:j] = b[i:j][sorted(range(len(keys)), key=keys.__getitem__)]
+    del raw, limit
     cut = np.searchsorted(data[b], np.arange(257))
     # second stage: type A by scans of the buckets
     is_start = np.zeros(n, bool)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -105,3 +106,14 @@ def test_query(spark, sf_dir):
     docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda d: d.doc_id)
     got = sorted(map(tuple, m.op3_substrings(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
     assert got == [(d.doc_id, *r) for d, r in zip(docs, brute([d.text for d in docs]))]
+
+
+def test_keys_of_all_suffixes_are_not_held_at_once():
+    rnd = np.random.default_rng(3)
+    strings = [bytes(rnd.integers(97, 123, 300, np.uint8)) for _ in range(1000)]
+    data, ends = np.frombuffer(b"".join(strings), np.uint8), np.arange(300, 300_001, 300)
+    tracemalloc.start()
+    order = suffixes.suffix_order(data, ends, np.full(1000, 101), 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(order) == 101_000 and peak < 40 * len(data)
