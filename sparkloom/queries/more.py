@@ -16,7 +16,7 @@ from sparkloom.plans import views as V
 from sparkloom.queries import files as Q
 from sparkloom.queries import graphs as H
 from sparkloom.sources import repository
-from sparkloom.storage import stage
+from sparkloom.storage import spread, stage
 
 
 def join_degree(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +71,8 @@ def agg_folder_crossings(spark: SparkSession, sf: str) -> DataFrame:
 def agg_tech_debt(spark: SparkSession, sf: str) -> DataFrame:
     """Share of files that are hard to maintain, and its class."""
     t, lang = F.col("text"), F.col("lang")
-    f = B.files(spark, sf).select(C.halstead(t, lang).alias("h"), C.complexity(t, lang).alias("cx"), C.code_stats(t, lang).alias("s"))
+    files = B.files(spark, sf)
+    f = spread(files, files.count(), "doc_id").select(C.halstead(t, lang).alias("h"), C.complexity(t, lang).alias("cx"), C.code_stats(t, lang).alias("s"))
     mi = F.round(C.maintainability(F.col("h.volume"), F.col("cx"), F.col("s.code")), 4)
     out = f.agg(F.count_if(mi < 65).alias("low"), F.count(F.lit(1)).alias("files"))
     ratio = F.col("low") / F.greatest("files", F.lit(1))

@@ -47,3 +47,8 @@ def test_pairs_are_dealt_before_they_are_counted(spark, sf_dir, name):
 def test_links_of_few_folders_are_cut_by_shares_first(spark, sf_dir):
     plan = QUERIES["v_ai_folder_facts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [folder" in plan
+
+
+def test_documents_are_dealt_before_they_are_measured(spark, sf_dir):
+    plan = QUERIES["agg_tech_debt"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan
