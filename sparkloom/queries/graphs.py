@@ -133,7 +133,7 @@ def g_communities(spark: SparkSession, sf: str) -> DataFrame:
     """Every brand is a repository: communities inside each."""
     edges, nodes = B.edges(spark, sf), B.nodes(spark, sf).select("node", "folder")
     a, b = nodes.withColumnRenamed("node", "src"), nodes.select(F.col("node").alias("dst"), F.col("folder").alias("other"))
-    return G.communities(edges.join(a, "src").join(b, "dst").where("folder = other").select(F.col("folder").alias("repo"), "src", "dst"))
+    return G.communities(edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("folder = other").select(F.col("folder").alias("repo"), "src", "dst"))
 
 
 def g_dep_tree(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import bindings as B
+from sparkloom.operators import graph as G
 from sparkloom.plans import docs as T
 from sparkloom.queries import QUERIES, guides
 
@@ -52,3 +53,19 @@ def test_links_of_few_folders_are_cut_by_shares_first(spark, sf_dir):
 def test_documents_are_dealt_before_they_are_measured(spark, sf_dir):
     plan = QUERIES["agg_tech_debt"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [doc_id" in plan
+
+
+def test_hubs_are_listed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(G, "LIST", 5)
+    pairs = sorted({(a, b) for k in range(40) for a, b in ((0, k + 1), (k + 1, 0), (k, k + 1))})
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    rows = G.listed(edges).collect()
+    assert sorted((r.src, x) for r in rows for x in r.ends) == pairs
+    assert sum(r.src == 0 for r in rows) > 1 and max(len(r.ends) for r in rows) < 20
+    nodes = edges.select(F.col("src").alias("node")).distinct()
+    rank = {r.node: r["rank"] for r in G.pagerank(nodes, edges).collect()}
+    want, out = dict.fromkeys(range(41), 1 / 41), {n: sum(a == n for a, _ in pairs) for n in range(41)}
+    for _ in range(24):
+        want = {n: 0.15 / 41 + 0.85 * sum(want[a] / out[a] for a, b in pairs if b == n) for n in want}
+    assert all(abs(rank[n] - want[n]) < 1e-9 for n in want)
+    assert {r.depth for r in G.reach(nodes.where("node = 3").select(F.lit(1).alias("key"), "node"), edges).collect()} == {0, 1, 2}
