@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import bindings as B
+from sparkloom.storage import spread, stage
 
 #: Ending, language, header and block of ``p_partkey % 8``.  {k}: key, {n}: key of the next file of the language, {b}: block, {d}, {e}: folders of k and n.
 TEXTS = (
@@ -102,8 +103,10 @@ def _filled(text: str | Column, block: Column | None = None) -> Column:
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text, lang of a file a part."""
     kinds = F.array(*(F.struct(F.lit(e).alias("ext"), F.lit(g).alias("lang"), F.lit(h).alias("header"), F.lit(b).alias("block")) for e, g, h, b in TEXTS))
-    # few bytes a row become a text each: keys are dealt to all cores before
-    keys = B.table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    # few bytes a row become a text each: keys are dealt to all cores before, from many files, or filters on paths
+    # would be carried to the one task that reads the table
+    part = B.table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    keys = stage(spread(part, part.count(), "p_partkey"), "source-keys").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
     part = keys.select("p_partkey", "p_size", F.get(kinds, (F.col("p_partkey") % 8).cast("int")).alias("t"))
     blocks = F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda b: _filled(F.col("t.block"), b))
     text = F.concat_ws("\n", _filled(F.col("t.header")), F.array_join(blocks, "\n"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import bindings as B
+from sparkloom import code_tables as K
 from sparkloom.operators import graph as G
 from sparkloom.plans import docs as T
 from sparkloom.queries import QUERIES, guides
@@ -55,6 +56,10 @@ def test_documents_are_dealt_before_they_are_measured(spark, sf_dir):
     assert "RepartitionByExpression [doc_id" in plan
 
 
+def test_a_filter_on_paths_does_not_read_one_file(spark, sf_dir):
+    assert len(K.repository(spark, sf_dir).where("path = 'go.mod'").inputFiles()) >= 4
+
+
 def test_hubs_are_listed_in_parts(spark, monkeypatch):
     monkeypatch.setattr(G, "LIST", 5)
     pairs = sorted({(a, b) for k in range(40) for a, b in ((0, k + 1), (k + 1, 0), (k, k + 1))})
