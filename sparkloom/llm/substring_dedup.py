@@ -123,8 +123,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, content long, key long, start int, size short")
 
 
-def cut_segments(docs: DataFrame, shown: DataFrame) -> DataFrame:
-    """anchor, content, n, bytes: the bytes of every segment at the place that shows it."""
+def cut_segments(docs: DataFrame, shown: DataFrame, placed: bool = False) -> DataFrame:
+    """anchor, content, n, bytes: the bytes of every segment at the place that shows it.
+
+    Only texts that may show one of these segments are dealt.  ``placed`` adds ``at``,
+    where in its bytes a segment's anchor lies: here, as a second pass over Arrow
+    batches in the same stage would hold a second Python process a core.
+    """
+    showing = marked(docs, "key", bitmap_of(shown, "key", DOC_BITS), DOC_BITS).where("maybe").drop("maybe")
     wanted = shown.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "n", "start", "size")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +139,14 @@ def cut_segments(docs: DataFrame, shown: DataFrame) -> DataFrame:
                 raw, rows = _bytes_of(text), w.values
                 start, size = rows.field("start").to_numpy(), rows.field("size").to_numpy().astype(np.int64)
                 body = [raw[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist())]
-                yield pa.RecordBatch.from_arrays([rows.field("anchor"), rows.field("content"), rows.field("n"), pa.array(body, pa.binary())], ["anchor", "content", "n", "bytes"])
+                out = pa.RecordBatch.from_arrays([rows.field("anchor"), rows.field("content"), rows.field("n"), pa.array(body, pa.binary())], ["anchor", "content", "n", "bytes"])
+                if placed:
+                    anchors = rows.field("anchor").to_numpy().view(np.uint64)
+                    at = [int(np.argmax(gram_hashes(raw[a : a + n]) == h)) for a, n, h in zip(start.tolist(), size.tolist(), anchors)]
+                    out = out.append_column("at", pa.array(at, pa.int32()))
+                yield out
 
-    return docs.join(wanted, "key").select("text", "w").mapInArrow(run, "anchor long, content long, n long, bytes binary")
+    return showing.join(wanted, "key").select("text", "w").mapInArrow(run, "anchor long, content long, n long, bytes binary" + ", at int" * placed)
 
 
 def repeated_ranges(cut: DataFrame) -> DataFrame:
@@ -175,18 +186,6 @@ def repeated_ranges(cut: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, content long, froms array<int>, tos array<int>")
 
 
-def place_anchors(cut: DataFrame) -> DataFrame:
-    """Adds ``at``, where in its bytes a segment's anchor lies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchors = batch.column("anchor").to_numpy().view(np.uint64)
-            at = [int(np.argmax(gram_hashes(_bytes_of(raw)) == h)) for h, raw in zip(anchors, batch.column("bytes"))]
-            yield batch.append_column("at", pa.array(at, pa.int32()))
-
-    return cut.mapInArrow(run, "anchor long, content long, n long, bytes binary, at int")
-
-
 def _shared(mine: Callable[[Column, Column], Column], other: Callable[[Column, Column], Column], most: Column) -> Column:
     """How many bytes (``most`` at most, 255 in all) two segments share: bytes ``from`` on, ``n`` of them, are asked for by halves."""
     steps = F.array(*(F.lit(1 << k) for k in range(7, -1, -1)))
@@ -195,7 +194,7 @@ def _shared(mine: Callable[[Column, Column], Column], other: Callable[[Column, C
 
 
 def split_groups(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Splits crowded anchors; cut: anchor, content, n, bytes of all their segments.
+    """Splits crowded anchors; cut: anchor, content, n, bytes, at of all their segments.
 
     Gives groups (grp, anchor, content, n, bytes) of at most MANY_SEGMENTS whose
     windows are still to be compared, and ranges (anchor, content, froms, tos) known
@@ -206,7 +205,7 @@ def split_groups(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
     half of the missing bytes on one side.  Either way a segment joins one group by its
     bytes to the left and one by those to the right, until groups are small.
     """
-    rows = stage(place_anchors(cut).withColumn("grp", F.col("anchor")), "substring-crowded-0")
+    rows = stage(cut.withColumn("grp", F.col("anchor")), "substring-crowded-0")
     whole = rows.where("n > 1").select("anchor", "content", F.array(F.lit(0)).alias("froms"), F.array(F.length("bytes")).alias("tos"))
     groups, known = rows.limit(0).drop("at"), whole
     span = LENGTH - GRAM
@@ -289,14 +288,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     place = F.min(F.struct("key", "start", "size"))
     shown = candidates.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), place.alias("p"))
     shown = stage(shown.join(again, "anchor", "left_semi").select("anchor", "content", "n", "p.key", "p.start", "p.size"), "substring-shown")
-    showing = marked(docs, "key", bitmap_of(shown, "key", DOC_BITS), DOC_BITS).where("maybe").drop("maybe")
     crowded = stage(shown.groupBy("anchor").count().where(F.col("count") > MANY_SEGMENTS).select("anchor"), "substring-crowded")
     calm = shown.join(crowded, "anchor", "left_anti")
-    groups = cut_segments(showing, calm).withColumn("grp", F.col("anchor"))
+    groups = cut_segments(docs, calm).withColumn("grp", F.col("anchor"))
     if crowded.isEmpty():
         found = repeated_ranges(groups)
     else:
-        split, known = split_groups(cut_segments(showing, shown.join(crowded, "anchor", "left_semi")))
+        split, known = split_groups(cut_segments(docs, shown.join(crowded, "anchor", "left_semi"), placed=True))
         found = repeated_ranges(groups.unionByName(split)).unionByName(known)
     repeats = stage(found, "substring-repeats")
     hits = candidates.join(repeats, ["anchor", "content"])

@@ -117,3 +117,25 @@ def test_keys_of_all_suffixes_are_not_held_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(order) == 101_000 and peak < 40 * len(data)
+
+
+def test_only_texts_that_show_the_asked_segments_are_dealt(spark):
+    """A cut of few segments (those of crowded anchors) does not move the texts that show others."""
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(k, "".join(rnd.choice("abcdefgh") for _ in range(300))) for k in range(50)], "key long, text string")
+    shown = spark.createDataFrame([(1, 2, 3, 7, 10, 200)], "anchor long, content long, n long, key long, start int, size short")
+    cut = m.cut_segments(docs, shown)
+    assert [(r.anchor, r.content, r.n, len(r.bytes)) for r in cut.collect()] == [(1, 2, 3, 200)]
+    assert "bitmap_construct_agg" in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.columns == ["anchor", "content", "n", "bytes"]
+
+
+def test_anchors_are_placed_where_segments_are_cut(spark):
+    raw = np.random.default_rng(9).integers(97, 105, 700, np.uint8)
+    docs = spark.createDataFrame([(0, raw.tobytes().decode())], "key long, text string")
+    rows = [(int(a), int(c), 1, 0, int(x), int(n)) for a, c, x, n in zip(*(y.view(np.int64) for y in m.segments(raw)))]
+    shown = spark.createDataFrame(rows, "anchor long, content long, n long, key long, start int, size short")
+    cut = m.cut_segments(docs, shown, placed=True)
+    assert cut._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = cut.collect()
+    assert len(got) == len(rows) and all(m.gram_hashes(np.frombuffer(r.bytes, np.uint8))[r["at"]] == np.uint64(r.anchor % 2**64) for r in got)
