@@ -14,10 +14,10 @@ from sparkloom.storage import stage
 
 def resolve(imports: DataFrame, spec: Column, files: DataFrame, endings: tuple[str, ...], root: str = "lib/") -> DataFrame:
     """The imports with path: the first candidate (spec with an ending) that is a file, or null."""
-    # each text is looked up once, however many files import it
-    asked = imports.select(spec.alias("asked")).distinct().select("asked", F.posexplode(F.array(*map(F.lit, endings))).alias("k", "ending"))
-    hits = asked.withColumn("path", F.concat(F.lit(root), "asked", F.col("ending"))).join(files.select("path"), "path")
-    found = hits.groupBy("asked").agg(F.min(F.struct("k", "path"))["path"].alias("path"))
+    # a file tells which texts ask for it, so imports are only met once, by their text
+    told = F.array_compact(F.array(*(F.when(F.startswith("path", F.lit(root)) & F.endswith("path", F.lit(e)) & (F.length("path") >= len(root) + len(e)), F.struct(
+        F.substring("path", F.lit(len(root) + 1), F.length("path") - len(root) - len(e)).alias("asked"), F.lit(k).alias("k"))) for k, e in enumerate(endings))))
+    found = files.select("path", F.explode(told).alias("t")).groupBy("t.asked").agg(F.min(F.struct("t.k", "path"))["path"].alias("path"))
     return imports.join(found, spec == found["asked"], "left").select(*imports.columns, "path")
 
 

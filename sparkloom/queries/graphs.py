@@ -49,9 +49,11 @@ def agg_edge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 def join_import_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Imports resolved to the first existing candidate path."""
     lines = B.table(spark, sf, "lineitem")
-    li = spread(lines.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("spec")), lines.count(), "src", "spec").distinct()
+    # dealt by what is asked, once for both the distinct pairs and the join
+    asked = lines.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("spec"), F.col("l_partkey").cast("string").alias("name"))
+    li = spread(asked, lines.count(), "name").distinct()
     files = B.table(spark, sf, "part").where("p_size % 3 <> 0").select(F.concat(F.lit("lib/"), F.col("p_partkey").cast("string"), F.element_at(F.array(F.lit(".js"), F.lit(".ts"), F.lit("/index.js")), (F.col("p_size") % 3 + 1).cast("int"))).alias("path"))
-    return V.resolve(li, F.col("spec").cast("string"), files, ("", ".js", ".ts", "/index.js"))
+    return V.resolve(li, F.col("name"), files, ("", ".js", ".ts", "/index.js")).drop("name")
 
 
 def agg_import_tally(spark: SparkSession, sf: str) -> DataFrame:

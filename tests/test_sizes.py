@@ -9,6 +9,7 @@ from sparkloom import bindings as B
 from sparkloom import code_tables as K
 from sparkloom.operators import graph as G
 from sparkloom.plans import docs as T
+from sparkloom.plans import views as V
 from sparkloom.queries import QUERIES, guides
 
 
@@ -74,3 +75,21 @@ def test_hubs_are_listed_in_parts(spark, monkeypatch):
         want = {n: 0.15 / 41 + 0.85 * sum(want[a] / out[a] for a, b in pairs if b == n) for n in want}
     assert all(abs(rank[n] - want[n]) < 1e-9 for n in want)
     assert {r.depth for r in G.reach(nodes.where("node = 3").select(F.lit(1).alias("key"), "node"), edges).collect()} == {0, 1, 2}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_imports_are_read_and_dealt_once(spark, sf_dir):
+    plan = _plan(QUERIES["agg_unresolved_top"](spark, sf_dir))
+    assert plan.count("Relation [l_orderkey") == 1 and "RepartitionByExpression [name" in plan
+
+
+def test_texts_are_resolved_from_the_files(spark):
+    paths = ["lib/a", "lib/a.js", "lib/a.js.js", "lib/b.ts", "lib/b.ts", "lib/c/index.js", "lib/.js", "lib/", "other/d.js", "lib", None]
+    asked = ["a", "a.js", "b", "c", "", "d", "b.ts", "li", None, "a"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = V.resolve(spark.createDataFrame(list(enumerate(asked)), "src int, spec string"), F.col("spec"), files, ("", ".js", ".ts", "/index.js")).collect()
+    want = [next((f"lib/{a}{e}" for e in ("", ".js", ".ts", "/index.js") if a is not None and f"lib/{a}{e}" in paths), None) for a in asked]
+    assert [r.path for r in sorted(got)] == want
