@@ -41,10 +41,10 @@ def pairs(commits: DataFrame) -> DataFrame:
 def _pairs(commits: DataFrame) -> tuple[DataFrame, int]:
     """The pairs, and how many they are at most."""
     commits = stage(commits.select("commit", "path"), "pairs-commits")
-    dealt = spread(commits, commits.count(), "commit")
-    fit = stage(dealt.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, MAX_FILES)), "pairs-sizes")
-    most = fit.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("most")).first().most
-    lists = dealt.join(fit.select("commit"), "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("p"))
+    # dealt once: counts and lists stay in their task, and a window keeps the rows of a large commit on disk
+    dealt = spread(commits, commits.count(), "commit").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("commit")))
+    lists = stage(dealt.where(F.col("n").between(2, MAX_FILES)).groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("p")), "pairs-lists")
+    most = lists.agg(F.coalesce(F.sum(F.expr("size(p) * (size(p) - 1L) div 2")), F.lit(0)).alias("most")).first().most
     at = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return lists.select("commit", F.explode(at).alias("x")).select("commit", "x.a", "x.b"), most
 

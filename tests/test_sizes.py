@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom import bindings as B
 from sparkloom import code_tables as K
 from sparkloom.operators import graph as G
+from sparkloom.operators import history as H
 from sparkloom.plans import docs as T
 from sparkloom.plans import views as V
 from sparkloom.queries import QUERIES, guides
@@ -93,3 +94,15 @@ def test_texts_are_resolved_from_the_files(spark):
     got = V.resolve(spark.createDataFrame(list(enumerate(asked)), "src int, spec string"), F.col("spec"), files, ("", ".js", ".ts", "/index.js")).collect()
     want = [next((f"lib/{a}{e}" for e in ("", ".js", ".ts", "/index.js") if a is not None and f"lib/{a}{e}" in paths), None) for a in asked]
     assert [r.path for r in sorted(got)] == want
+
+
+def test_commits_are_dealt_before_they_are_distinct(spark, sf_dir):
+    plan = _plan(B.commits(spark, sf_dir))
+    assert "RepartitionByExpression [commit" in plan and plan.index("Aggregate [commit") < plan.index("RepartitionByExpression [commit")
+
+
+def test_files_of_a_commit_meet_where_they_are_counted(spark):
+    rows = [(1, p) for p in "cab"] + [(2, "a")] + [(3, "b"), (3, "a"), (3, "b")] + [(4, f"f{k}") for k in range(H.MAX_FILES + 1)]
+    found = H.pairs(spark.createDataFrame(rows, "commit int, path string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", "b"), (1, "a", "c"), (1, "b", "c"), (3, "a", "b")]
+    assert "Join" not in _plan(found)
