@@ -7,6 +7,7 @@ statements (``grammar``); all that follows is joins and groups over these rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,16 +34,20 @@ def extract(files: DataFrame) -> DataFrame:
     class.  ``names`` are imported names, annotations, or a method's receiver.
     """
 
+    told = itemgetter(*(name for name, _ in _FIELDS[2:]))
+
+    def columns(rows: list[tuple[object, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows) if rows else [()] * len(_FIELDS), _FIELDS)], schema=pa.schema(_FIELDS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(_FIELDS)
         for batch in batches:
-            rows: list[dict[str, object]] = []
+            rows: list[tuple[object, ...]] = []
             for path, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                rows += [{"path": path, "lang": lang, **r} for r in statements(path, lang, text or "")]
+                rows += [(path, lang, *told(r)) for r in statements(path, lang, text or "")]
                 if len(rows) >= BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield columns(rows)
                     rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield columns(rows)
 
     return files.select("path", "lang", "text").mapInArrow(run, ROWS)
 

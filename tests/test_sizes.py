@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import bindings as B
 from sparkloom import code_tables as K
+from sparkloom.operators import grammar
 from sparkloom.operators import graph as G
 from sparkloom.operators import history as H
 from sparkloom.plans import docs as T
@@ -106,3 +107,10 @@ def test_files_of_a_commit_meet_where_they_are_counted(spark):
     found = H.pairs(spark.createDataFrame(rows, "commit int, path string"))
     assert sorted(tuple(r) for r in found.collect()) == [(1, "a", "b"), (1, "a", "c"), (1, "b", "c"), (3, "a", "b")]
     assert "Join" not in _plan(found)
+
+
+def test_statements_that_begin_with_keywords_are_not_tried_at_every_place():
+    slow = [s.pattern for rules in grammar._COMPILED.values() for s, p in rules if p.pattern.startswith("(?<!") and s.pattern.startswith(("import ", "export ", "(?<=\\n )from ", "class "))]
+    assert not slow
+    found = grammar.statements("a.js", "javascript", "export class A {}\nimportant\nimport './b.js'; reexport class B {}")
+    assert [(r["kind"], r["name"]) for r in found] == [("import", "./b.js"), ("export", "A"), ("class", "A"), ("class", "B")]
