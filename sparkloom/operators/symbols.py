@@ -102,3 +102,13 @@ def package_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     members = spread(files.select(P.dir_of(F.col("path")).alias("package"), F.col("path").alias("dst")), files.count(), "package", "dst").distinct().withColumn("share", share)
     every = imports.select("package", F.col("path").alias("src")).distinct().withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
     return members.join(every, ["package", "share"]).where("src <> dst").select("src", "dst")
+
+
+def directories_by_suffix(files: DataFrame, most: int = 3) -> DataFrame:
+    """suffix, dir, n: directories by their last one to ``most`` parts; of several the first, and how many there are.
+
+    A file without a path is in no directory.
+    """
+    dirs = files.select(P.dir_of(F.col("path")).alias("dir")).where("dir is not null").distinct().withColumn("p", F.split("dir", "/"))
+    each = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("p"), F.lit(most))), lambda k: F.array_join(F.slice("p", -k, k), "/"))).alias("suffix"))
+    return each.groupBy("suffix").agg(F.min("dir").alias("dir"), F.count(F.lit(1)).alias("n"))

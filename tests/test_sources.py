@@ -93,6 +93,12 @@ def test_packages_and_dead_exports(spark):
     assert [(r.path, r.name) for r in S.dead_exports(exports, used, spark.createDataFrame([("c",)], "path string")).orderBy("path", "name").collect()] == [("a", "g"), ("e", "j")]
 
 
+def test_directories_by_their_last_parts(spark):
+    files = spark.createDataFrame([("a/b/c/d/f.cs",), ("a/b/c/d/g.cs",), ("x/c/d/h.cs",), ("d/i.cs",), (None,)], "path string")
+    got = {(r.suffix, r.dir, r.n) for r in S.directories_by_suffix(files).collect()}
+    assert got == {("d", "a/b/c/d", 3), ("c/d", "a/b/c/d", 2), ("b/c/d", "a/b/c/d", 1), ("x/c/d", "x/c/d", 1)}
+
+
 def test_texts_of_one_repository_keep_apart(spark):
     one = "diff --git a/f b/f\n@@ -1 +1 @@\n-x\n+y\n"
     two = "diff --git a/g b/g\n@@ -1 +1 @@\n+z\n"
