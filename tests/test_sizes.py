@@ -10,6 +10,7 @@ from sparkloom import code_tables as K
 from sparkloom.operators import grammar
 from sparkloom.operators import graph as G
 from sparkloom.operators import history as H
+from sparkloom.operators import symbols as S
 from sparkloom.plans import docs as T
 from sparkloom.plans import views as V
 from sparkloom.queries import QUERIES, guides
@@ -33,6 +34,25 @@ def test_pairs_of_packages_are_not_compared(spark, sf_dir):
     assert "Aggregate" in plan and "Aggregate" not in plan.split("Join")[0]
 
 
+def _packages(spark, packages, imports, files):
+    name = F.concat(F.lit("p"), (F.col("id") % packages).cast("string"))
+    return spark.range(imports).select(F.concat(F.lit("s"), "id").alias("path"), name.alias("package")), spark.range(files).select(F.concat(name, F.lit("/"), F.col("id").cast("string")).alias("path"))
+
+
+def test_pairs_of_packages_are_written_small(spark, tmp_path):
+    S.package_targets(*_packages(spark, 25, 10_000, 5000)).write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1_000_000  # half a byte for each of 2,000,000 pairs
+
+
+def test_packages_are_cut_into_blocks(spark, monkeypatch):
+    for name, size in (("LIST", 3), ("DOWN", 20), ("ACROSS", 11)):
+        monkeypatch.setattr(S, name, size)
+    imports, files = _packages(spark, 2, 50, 90)
+    want = sorted((r.path, f.path) for r in imports.collect() for f in files.collect() if f.path.startswith(r.package + "/"))
+    assert sorted(tuple(r) for r in S.package_targets(imports, files).collect()) == want
+    assert S.package_targets(imports.where("package = 'none'"), files).isEmpty()
+
+
 def test_imports_are_not_multiplied_by_their_candidates(spark, sf_dir):
     plan = QUERIES["join_import_resolve"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
